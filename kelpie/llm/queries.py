@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from kelpie.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kelpie.llm.packing import op7_packing
+from kelpie.llm.quality_rules import op6_quality_rules
 from kelpie.llm.token_files import op3_token_files
 
 QUERIES = {
     "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
+    "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
 }
 SQL = {"op4_line_dedup": OP4_SQL}
