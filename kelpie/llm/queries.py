@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from kelpie.llm.language import op10_language
 from kelpie.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kelpie.llm.packing import op7_packing
+from kelpie.llm.quality_model import op2_quality_model
 from kelpie.llm.quality_rules import op6_quality_rules
 from kelpie.llm.token_files import op3_token_files
+from kelpie.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_quality_model": op2_quality_model,
     "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op10_language": op10_language,
 }
 SQL = {"op4_line_dedup": OP4_SQL}
