@@ -79,7 +79,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
             for lo, hi in blocks(texts):
                 rows, end = [], np.array([END], "<u4").tobytes()
                 for i, x in enumerate(enc.batch(texts[lo:hi])):
-                    x, step = x + end, 4 * capacity
+                    x, step = x.astype("<u4").tobytes() + end, 4 * capacity
                     rows += [(lo + i, at // step, at // 4, len(part := x[at : at + step]) // 4, zlib.crc32(part)) for at in range(0, len(x), step)]
                 cols = np.array(rows, np.int64).T
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])

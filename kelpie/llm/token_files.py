@@ -106,7 +106,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, length:
             for b in batches:
                 ids, texts = b.column("doc_id").cast(pa.int64()), texts_of(b)
                 for lo, hi in blocks(texts):
-                    coded = [np.frombuffer(x, "<u4") for x in enc.batch(texts[lo:hi])]
+                    coded = enc.batch(texts[lo:hi])
                     sizes = np.array([len(x) + 1 for x in coded], np.int64)
                     starts = at + np.cumsum(sizes) - sizes
                     rows.write_batch(pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(starts), pa.array(sizes)], schema=schema))
