@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from kelpie.llm.language import op10_language
 from kelpie.llm.line_dedup import OP4_SQL, op4_line_dedup
+from kelpie.llm.near_duplicates import op9_jaccard_join
 from kelpie.llm.packing import op7_packing
 from kelpie.llm.quality_model import op2_quality_model
 from kelpie.llm.quality_rules import op6_quality_rules
@@ -17,6 +18,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_language": op10_language,
 }
 SQL = {"op4_line_dedup": OP4_SQL}
