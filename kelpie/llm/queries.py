@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+from kelpie.llm.decontamination import op5_decontamination
+from kelpie.llm.html_text import op8_html_text
 from kelpie.llm.language import op10_language
 from kelpie.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kelpie.llm.near_duplicates import op9_jaccard_join
@@ -12,12 +15,15 @@ from kelpie.llm.token_files import op3_token_files
 from kelpie.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "pipeline": corpus_pipeline.run,
     "op1_toxicity": op1_toxicity,
     "op2_quality_model": op2_quality_model,
     "op3_token_files": op3_token_files,
     "op4_line_dedup": op4_line_dedup,
+    "op5_decontamination": op5_decontamination,
     "op6_quality_rules": op6_quality_rules,
     "op7_packing": op7_packing,
+    "op8_html_text": op8_html_text,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language": op10_language,
 }
