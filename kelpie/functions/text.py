@@ -55,7 +55,7 @@ CAUSAL_VERBS = "update change transition set modify trigger call invoke execute
 LINE_NUMBER = r"^\s*\d+[\s:|\-]+\s*"
 DATE_TIME, DATE = r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?", r"\d{4}-\d{2}-\d{2}"
 #: The characters that end a line, as Python's splitlines sees them; a carriage return takes a line feed with it.
-LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85\u2028\u2029]"
 UNICODE = "(?U)"  # Java's classes as wide as Python's
 
 

@@ -323,7 +323,7 @@ def python(text: str) -> Parsed:
 
 DECLARATION = re.compile(
     r"^(?:export\s+)?(?:default\s+)?(?:pub(?:\([^)]*\))?\s+)?(?:public\s+|private\s+|internal\s+|open\s+|abstract\s+|final\s+|static\s+|async\s+|suspend\s+|data\s+|sealed\s+|unsafe\s+|inline\s+)*"
-    r"(class|interface|struct|enum|trait|impl|function|func|fun|fn|type|mod|object|protocol|extension|namespace|message|service)\b\s*(?:\([^)]*\)\s*)?(?:<[^>]*>\s*)?(\w+)?|^(?:export\s+)?(const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>|^[\w:*&<>\s]+?\b(\w+)\s*\([^;{}]*\)\s*\{",
+    r"(class|interface|struct|enum|trait|impl|function|func|fun|fn|type|mod|object|protocol|extension|namespace|message|service)\b\s*(?:\([^)]*\)\s*)?(?:<[^>]*>\s*)?(\w+)?|^(?:export\s+)?(const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:\([^)]*\)|\w+)\s*=>|^[\w:*&<> \t]+?\b(\w+)\s*\([^;{}]*\)\s*\{",
     re.M,
 )
 

@@ -18,7 +18,8 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     """
     base = root.rstrip("/")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
-    relative = F.regexp_replace(F.substring_index("path", base.removeprefix("file://").removeprefix("file:") + "/", -1), "^/+", "")
+    below = base.removeprefix("file://").removeprefix("file:") + "/"
+    relative = F.substr("path", F.locate(below, F.col("path")) + F.lit(len(below)))
     own = files.select(relative.alias("file_path"), "content", "length").filter(~paths.is_excluded("file_path"))
     return own.select("file_path", F.md5("content").alias("file_hash"), decoded(F.col("content")).alias("content"), paths.category("file_path").alias("category"), paths.language("file_path").alias("language"))
 
