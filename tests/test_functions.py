@@ -17,11 +17,11 @@ def test_fingerprint_ignores_line_numbers_dates_and_the_middle(spark):
     a = "1: first line\n2 | second  line\n"
     b = "first line\nsecond line 2024-01-02T03:04:05.678"
     long = ["x" * 100 + m + "y" * 100 for m in ("abc", "defg")]
-    got = apply(spark, text.fingerprint("a", "b", "c"), [(a, "i", "p"), (b, "i", "p"), (long[0], "i", "p"), (long[1], "i", "p"), ("", "i", "p"), (None, "i", "p"), ("2024-01-01", "i", "p")], "a string, b string, c string")
+    got = apply(spark, text.fingerprint("a", "b", "c"), [(a, "i", "p"), (b, "i", "p"), (long[0], "i", "p"), (long[1], "i", "p"), ("", "i", "p"), (None, "i", "p"), ("12 - ", "i", "p")], "a string, b string, c string")
     assert got[0] == hashlib.md5(b"first line second line").hexdigest()[:16]
     assert got[0] == got[1] and got[2] == got[3]
     assert got[4] == got[5] == hashlib.md5(b"i:p").hexdigest()[:16]
-    assert got[6] == hashlib.md5(b"2024-01-01").hexdigest()[:16]
+    assert got[6] == hashlib.md5(b"12 -").hexdigest()[:16]
 
 
 def test_entities(spark):
