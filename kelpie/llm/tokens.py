@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by a worker (about 40 bytes each); longer ones, in bytes, are encoded each time.
-STORE_PIECES, PIECE_BYTES = 3_000_000, 48
+STORE_PIECES, PIECE_BYTES = 1_500_000, 48
 SIGNS = r"[!-&(-/:-@\[-`{-~]"
 RUNS = re.compile(rf"[^\W\d_]+|{SIGNS}+|\n")
 PLAIN = re.compile(rf"(?:[^\W\d_]+|{SIGNS}+|\n(?!\n))*")
@@ -124,7 +124,7 @@ class Encoder:
                 if x not in self.parts:
                     spelt[x] = None
             plans.append(plan)
-        if len(self.parts) > 300_000:
+        if len(self.parts) > 100_000:
             self.parts.clear()
             spelt = dict.fromkeys(x for plan in plans if isinstance(plan, list) for x in plan)
         tokenize, ids, bounds = self.tokenizer.model.tokenize, array("I"), [0]

@@ -1,8 +1,8 @@
 """The symbol graph as two tables: nodes (project, fqn, name, kind, file_path) and edges (project, type, source, target).
 
-Writes are upserts, reads are joins over edges. Bounded traversals unroll to self-joins that
-carry the path's edges, so that no path uses an edge twice; which of several equally named
-symbols starts, and which neighbours a limit keeps, goes by name.
+Writes are upserts, reads are joins over edges. Traversals go hop by hop from a frontier of
+distinct nodes; a path uses no edge twice, which only matters for coming back to the start.
+Which of several equally named symbols starts, and which neighbours a limit keeps, goes by name.
 """
 
 from __future__ import annotations
@@ -94,19 +94,31 @@ def neighbors(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int =
     if types:
         edges = edges.filter(F.col("type").isin(*(t.upper() for t in types)))
     steps = directed(edges, direction)
-    front = start.select("project", F.col("fqn").alias("at"), F.array().cast("array<string>").alias("path"))
-    reached = []
-    for hop in range(1, depth + 1):
-        step = front.alias("f").join(steps.alias("s"), (F.col("f.project") == F.col("s.project")) & (F.col("f.at") == F.col("s.from")))
-        step = step.filter(~F.array_contains("path", F.col("edge")))
-        front = step.select("f.project", F.col("to").alias("at"), F.array_append("path", F.col("edge")).alias("path"))
-        reached.append(front.select("project", F.col("at").alias("fqn"), F.lit(hop).alias("hops")))
-    found = reduce(DataFrame.unionByName, reached).groupBy("project", "fqn").agg(F.min("hops").alias("hops"))
+    front = start.select("project", F.col("fqn").alias("from"))
+    seen, reached = front.withColumn("hops", F.lit(0)), []
+    for hop in range(1, depth + 1):  # a node counts where it is first reached, so hubs don't multiply paths
+        front = front.join(steps, ["project", "from"]).select("project", F.col("to").alias("from")).distinct().join(seen, ["project", "from"], "left_anti")
+        seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
+        reached.append(front.select("project", F.col("from").alias("fqn"), F.lit(hop).alias("hops")))
+    reached.append(returns(start, steps, depth))
+    found = reduce(DataFrame.unionByName, reached)
     inner = nodes.filter("kind <> 'external'").select("project", "fqn", "name", "kind")
     out = found.join(inner, ["project", "fqn"]).select("project", "fqn", "name", "kind", "hops").orderBy("hops", "fqn", "project")
     return out.limit(limit) if limit else out
 
 
+def returns(start: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
+    """(project, fqn, hops) of starts that a path of up to three hops leads back to without using an edge twice."""
+    one = steps.join(start.select("project", F.col("fqn").alias("from")), ["project", "from"])
+    loops = one.filter(F.col("to") == F.col("from")).select("project", F.col("from").alias("fqn"), F.lit(1).alias("hops"))
+    away = one.filter(F.col("to") != F.col("from")).select("project", F.col("from").alias("fqn"), F.col("to").alias("x"), F.col("edge").alias("e1"))
+    back = steps.join(start.select("project", F.col("fqn").alias("to")), ["project", "to"]).filter(F.col("to") != F.col("from")).select("project", F.col("to").alias("fqn"), F.col("from").alias("y"), F.col("edge").alias("e3"))
+    two = away.join(back.withColumnRenamed("y", "x"), ["project", "fqn", "x"]).filter("e1 <> e3").select("project", "fqn", F.lit(2).alias("hops"))
+    middle = steps.select("project", F.col("from").alias("x"), F.col("to").alias("y"), F.col("edge").alias("e2"))
+    three = away.join(middle, ["project", "x"]).join(back, ["project", "fqn", "y"]).filter("e1 <> e2 AND e2 <> e3 AND e1 <> e3").select("project", "fqn", F.lit(3).alias("hops"))
+    return reduce(DataFrame.unionByName, [loops, two, three][:depth]).groupBy("project", "fqn").agg(F.min("hops").alias("hops"))
+
+
 def reachable(spark: SparkSession, edges: DataFrame, start: Sequence[str], max_depth: int) -> DataFrame:
     """(fqn, hops): the fewest hops along the edges (source, target) to each node within the depth.
 

@@ -191,3 +191,23 @@ def test_streams(spark, tmp_path):
         q.awaitTermination()
         got.append(spark.table(f.__name__).agg({"n": "sum"}).first()[0] or 0)
     assert all(0 < n <= events.count() for n in got)
+
+
+def test_neighbors_use_no_edge_twice(spark):
+    import random
+
+    rng = random.Random(8)
+    names = [f"n{i}" for i in range(9)]
+    rows = sorted({("p", rng.choice(["CALLS", "CREATES"]), rng.choice(names), rng.choice(names)) for _ in range(14)})
+    nodes = spark.createDataFrame([("p", n, n, "class") for n in names], "project string, fqn string, name string, kind string")
+    edges = spark.createDataFrame(rows, "project string, type string, source string, target string")
+    for direction in ("out", "in", "both"):
+        steps = [(k, a, b) for k, (_, _, a, b) in enumerate(rows) if direction != "in"] + [(k, b, a) for k, (_, _, a, b) in enumerate(rows) if direction != "out"]
+        for name in names[:3]:
+            best, front = {}, [(name, ())]
+            for hop in (1, 2, 3):
+                front = [(b, (*path, k)) for at, path in front for k, a, b in steps if a == at and k not in path]
+                for n, _ in front:
+                    best.setdefault(n, hop)
+            got = graph.neighbors(nodes, edges, graph.seed(nodes, name), 3, direction, limit=None).collect()
+            assert {r["fqn"]: r["hops"] for r in got} == best
