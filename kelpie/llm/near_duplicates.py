@@ -6,9 +6,9 @@ at whole labels and shortens the prefix by one minimum at a time until the links
 the target recall is met: a link of similarity s is found at depth d with probability
 1 - (1 - s^d)^TREES, and each found link stands for the inverse of that many.
 
-Nodes that meet form candidate clusters. A cluster of bounded size is verified whole, each text
-read once. In a larger one (many near copies of one text, or chance chains) each trie node is
-verified by itself, in blocks, and a link counts in the first tree where its ends meet. Links
+Nodes that meet form candidate clusters. A cluster of bounded size is verified whole, in pairs of
+blocks. In a larger one (very many near copies of one text, or chance chains) each trie node is
+verified by itself, in pairs of blocks, and a link counts in the first tree where its ends meet. Links
 are counted where they are verified and are never written out as pairs; only a spanning forest
 of them is, for the connected classes. Exact similarities come from whole shingle sets.
 
@@ -30,9 +30,9 @@ from pyspark.sql import functions as F
 
 from kelpie.llm.common import stored, texts_of
 
-TREES, DEPTH, SHORTEST, WORDS = 24, 6, 3, 5
-#: Cluster members that one task holds together at most; and a bound for the ids a join may broadcast.
-CLUSTER, BROADCAST_ROWS = 200, 1_000_000
+TREES, DEPTH, SHORTEST, WORDS = 24, 6, 4, 5
+#: Members of clusters that are verified whole, in pairs of blocks of so many; a bound for the rows a join may broadcast (about 100 bytes each).
+CLUSTER, BLOCK, BROADCAST_ROWS = 4096, 512, 300_000
 _RANDOM = np.random.default_rng(11)
 TIMES = _RANDOM.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _RANDOM.integers(1, 1 << 63, TREES * DEPTH, np.uint64)
@@ -110,25 +110,45 @@ def found_at(s: np.ndarray, depth: int) -> np.ndarray:
 def components(edges: DataFrame) -> DataFrame:
     """node, root: the smallest node of its connected component, for edges (a, b) of numbers.
 
-    Each round takes the smallest label among neighbours and then the label's own label; rounds
-    are written to the shared folder, and end when nothing moves.
+    Each round every vertex takes its smallest neighbour, then that one's own choice; edges are
+    renamed to the choices and loops and repetitions go, so that they shrink round by round. The
+    choices of all rounds are then followed one after another. All rounds are written to the
+    shared folder.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("root")).withColumnRenamed("a", "node"), "labels")
-    while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("via"))
-        at = labels.select(F.col("node").alias("via"), F.col("root").alias("far"))
-        new = stored(step.join(at, "via").select("node", "old", F.least("via", "far").alias("root")), "labels")
-        labels = new.select("node", "root")
-        if new.filter("root <> old").isEmpty():
-            return labels
-
-
-def tree_keys(nodes: DataFrame, depth: int) -> DataFrame:
-    """A row for each node and tree: node, tree, key of the prefix."""
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.slice("signature", t * DEPTH + 1, depth)).alias("key")))
-    return nodes.filter("signature IS NOT NULL").select("node", F.explode(trees).alias("x")).select("node", "x.tree", "x.key")
+    pair = lambda df: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
+    edges, rounds = stored(pair(edges), "edges"), []
+    while not edges.isEmpty():
+        both = edges.select("a", "b").union(edges.select("b", "a"))
+        choice = stored(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), "choice")
+        far = choice.select(F.col("node").alias("to"), F.col("to").alias("root"))
+        rounds.append(stored(choice.join(far, "to").select("node", "root"), "choice"))
+        name = lambda c, own=rounds[-1]: own.select(F.col("node").alias(c), F.col("root").alias(f"{c}2"))
+        edges = stored(pair(edges.join(name("a"), "a").join(name("b"), "b").select(F.col("a2").alias("a"), F.col("b2").alias("b"))), "edges")
+    if not rounds:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    out = rounds.pop()
+    while rounds:  # what an earlier round chose may have moved on
+        later = out.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        out = rounds.pop().join(later, "root", "left").select("node", F.coalesce("far", "root").alias("root"))
+    return stored(out, "roots")
+
+
+DEPTHS = range(DEPTH, SHORTEST - 1, -1)
+
+
+def meeting(nodes: DataFrame) -> DataFrame:
+    """node, tree and its prefixes' keys k6, k5, k4: the rows that share the shortest prefix with another node.
+
+    How many nodes share a prefix is counted before it shuffles; where the shared ones are few
+    enough, they go to the nodes, otherwise nodes' rows shuffle to them.
+    """
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), *(F.xxhash64(t, F.slice("signature", t * DEPTH + 1, d)).alias(f"k{d}") for d in DEPTHS)))
+    rows = nodes.filter("signature IS NOT NULL").select("node", F.explode(keys).alias("x")).select("node", "x.*")
+    short = f"k{SHORTEST}"
+    shared = stored(rows.groupBy(short).agg(F.count("*").alias("n")).filter("n > 1").select(short), "shared")
+    if shared.count() <= BROADCAST_ROWS:
+        shared = F.broadcast(shared)
+    return stored(rows.join(shared, short), "met")
 
 
 def verify(threshold: float, depth: int):
@@ -145,9 +165,9 @@ def verify(threshold: float, depth: int):
             keys = np.array([r["keys"] for r in rows])
             for t in range(tree):  # met in an earlier tree: counted there
                 link &= keys[:, None, t] != keys[None, :, t]
-            if rows[0]["group"]["i"] != rows[0]["group"]["j"]:  # of two different blocks only what lies across
-                side = np.array([r["side"] for r in rows])
-                link &= side[:, None] != side[None, :]
+        if rows[0]["group"]["i"] != rows[0]["group"]["j"]:  # of two different blocks only what lies across
+            side = np.array([r["side"] for r in rows])
+            link &= side[:, None] != side[None, :]
         weight = np.where(link, 1 / np.maximum(found_at(s, depth), 1e-9), 0).sum(1)
         root = np.arange(len(rows))
         while True:  # smallest index that is reachable
@@ -186,14 +206,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     signed = stored(signatures(docs), "signatures")
     nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.first("signature").alias("signature"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so ids hold
-    found = spark.createDataFrame([], "node long, links long, weight double, root long")
-    for depth in range(DEPTH, SHORTEST - 1, -1):
-        found = stored(links_at(docs, nodes, threshold, depth), "links")
+    met = meeting(nodes)
+    for depth in DEPTHS:
+        found = stored(links_at(docs, nodes, met.select("node", "tree", F.col(f"k{depth}").alias("key")), threshold, depth), "links")
         n, stands_for = found.agg(F.sum("links"), F.sum("weight")).first()
-        if not n or n >= recall * stands_for:
-            # no links at all: only the depth at which the threshold itself is found surely can tell
-            if n or found_at(np.array(threshold), depth) >= recall:
-                break
+        # without any link only the depth at which the threshold itself is surely found can tell
+        if n >= recall * stands_for if n else found_at(np.array(threshold), depth) >= recall:
+            break
     # a node of a large cluster has a row for each trie node; their roots join in the classes
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -204,31 +223,35 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     return signed.select("doc_id", "copy").join(known, "copy").select("doc_id", "class_id", "copy_id", "n_links")
 
 
-def links_at(docs: DataFrame, nodes: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """Verified links among nodes that share a prefix: node, links, weight, root, in one or more rows a node."""
-    keys = tree_keys(nodes, depth)
+def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: float, depth: int) -> DataFrame:
+    """Verified links among nodes that share a key (node, tree, key): node, links, weight, root, in one or more rows a node."""
     tries = keys.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-    met = stored(keys.join(tries, ["tree", "key"]), "met")
+    met = stored(keys.join(tries, ["tree", "key"]), "tries")
     roots = components(met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    members = stored(roots.join(sizes, "root").join(nodes, "node"), "members")
-    no_keys = F.lit(None).cast("array<bigint>")
-    small = members.filter(F.col("size") <= CLUSTER).select("node", "copy", "copy_id", F.struct(F.col("root").alias("x"), F.lit(0).cast("long").alias("y"), F.lit(0).alias("i"), F.lit(0).alias("j")).alias("group"), F.lit(0).alias("side"), F.lit(-1).alias("tree"), no_keys.alias("keys"))
-    # block pairs of trie nodes, in large clusters
-    path = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.slice("signature", t * DEPTH + 1, depth)))
-    large = members.filter(F.col("size") > CLUSTER).select("node", "copy", "copy_id", path.alias("keys")).join(met, "node")
-    blocks = F.ceil(F.col("n") / (CLUSTER // 2)).cast("int")
-    large = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    large = large.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = stored(roots.join(sizes, "root").join(nodes.select("node", "copy", "copy_id"), "node"), "members")
     i, j = F.least("block", "other"), F.greatest("block", "other")
-    large = large.select("node", "copy", "copy_id", F.struct(F.col("key").alias("x"), F.col("tree").cast("long").alias("y"), i.alias("i"), j.alias("j")).alias("group"), F.when(F.col("block") == i, F.lit(0)).otherwise(F.lit(1)).alias("side"), "tree", "keys")
-    rows = small.unionByName(large)
-    texts = docs.select(F.col("doc_id").alias("copy_id"), "text")
-    wanted = members.select("copy_id").distinct()
-    if members.count() <= BROADCAST_ROWS:  # most texts have no near copy and stay where they are
-        wanted = F.broadcast(wanted)
-    texts = texts.join(wanted, texts["copy_id"].eqNullSafe(wanted["copy_id"]), "left_semi").withColumnRenamed("copy_id", "own_id")
-    whole = rows.join(texts, rows["copy_id"].eqNullSafe(texts["own_id"])).select("node", "copy", "text", "group", "side", "tree", "keys")
+    no_keys = F.lit(None).cast("array<bigint>")
+
+    def pairs(df: DataFrame, size: str) -> DataFrame:
+        """Each row once for each pair of blocks that its own is in."""
+        df = df.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        return df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.when(F.col("block") == i, F.lit(0)).otherwise(F.lit(1)))
+
+    group = lambda x, y: F.struct(x.alias("x"), y.cast("long").alias("y"), i.alias("i"), j.alias("j")).alias("group")
+    small = pairs(members.filter(F.col("size") <= CLUSTER), "size").select("node", "copy", "copy_id", group(F.col("root"), F.lit(0)), "side", F.lit(-1).alias("tree"), no_keys.alias("keys"))
+    # very large clusters: block pairs of their trie nodes; a node's keys are at most one a tree
+    big = members.filter(F.col("size") > CLUSTER).select("node", "copy", "copy_id")
+    own = met.join(big.select("node"), "node", "left_semi")
+    paths = own.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("path"))
+    path = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("path", t), F.xxhash64("node", t)))
+    large = own.join(paths, "node").select("node", "tree", "key", "n", path.alias("keys")).join(big, "node")
+    large = pairs(large, "n").select("node", "copy", "copy_id", group(F.col("key"), F.col("tree")), "side", "tree", "keys")
+    rows = stored(small.unionByName(large), "rows")
+    texts = docs.select(F.col("doc_id").alias("own_id"), "text")
+    if rows.count() <= BROADCAST_ROWS:  # most texts have no near copy and stay where they are
+        rows = F.broadcast(rows)
+    whole = texts.join(rows, texts["own_id"].eqNullSafe(rows["copy_id"])).select("node", "copy", "text", "group", "side", "tree", "keys")
     return whole.repartition("group").sortWithinPartitions("group").mapInArrow(verify(threshold, depth), "node long, links long, weight double, root long")
 
 

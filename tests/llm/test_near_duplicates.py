@@ -66,9 +66,11 @@ def test_documents(spark, sf):
     assert got(spark, rows) == brute(rows)
 
 
-@pytest.mark.parametrize("cluster", [200, 6])
-def test_odd_rows_and_groups(spark, monkeypatch, cluster):
+@pytest.mark.parametrize(("cluster", "block", "broadcast"), [(4096, 512, 10**6), (4096, 7, 10**6), (6, 4, 0)])
+def test_odd_rows_and_groups(spark, monkeypatch, cluster, block, broadcast):
     monkeypatch.setattr(nd, "CLUSTER", cluster)
+    monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(nd, "BROADCAST_ROWS", broadcast)
     texts = near_copies(40, 1) + near_copies(9, 2) + near_copies(3, 3, 400) + ["same text of seven words is here"] * 5
     texts += [None, "", " \n", "one", "one", "two words", "five words are in here", "long " * 30_000 + "end", "long " * 30_000 + "fin"]
     rows = list(enumerate(texts)) + [(None, "null id"), (None, texts[0]), (3, "same id, other text"), (3, texts[3])]
@@ -90,3 +92,22 @@ def test_signatures_estimate_similarity():
     assert abs(est - j) < 0.15
     assert (nd.minima(s) == nd.minima(s, step=16)).all()
     assert (np.diff(nd.found_at(np.linspace(0, 1, 50), 4)) >= 0).all()
+
+
+def test_components(spark):
+    rng = random.Random(9)
+    edges = [(k, k + 1) for k in range(100, 160)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(120)] + [(5, 5)]
+    root = {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            a, b = sorted((find(a), find(b)))
+            root[b] = a
+    got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {x: find(x) for x in root}
