@@ -16,24 +16,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.llm import decontamination, line_dedup, near_duplicates, packing, quality_model
 from kelpie.llm.common import stored, table
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+def aside(docs: DataFrame) -> DataFrame:
+    """doc_id and text, and the whole row in one column, so that no operator's column takes another's name."""
+    return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
+
+
+def back(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows as they were, but for the new values."""
+    return df.select(*(new[c].alias(c) if c in new else F.col(f"_row.{c}") for c in columns))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model predicts to be of quality 1."""
-    return quality_model.classify(docs, table(spark, sf_dir, "labels")).filter("predicted = 1").select(*docs.columns)
+    judged = quality_model.classify(aside(docs), table(spark, sf_dir, "labels"))
+    return back(judged.filter("predicted = 1"), docs.columns)
 
 
 def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that at least ten of them hold; n_chars is counted anew."""
-    out = line_dedup.dedup_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    out = line_dedup.dedup_lines(aside(docs))
+    return back(out, docs.columns, text=F.col("text"), n_chars=F.length("text").cast("long"))
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
