@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -28,6 +29,24 @@ def hashing_embedder(texts: Sequence[str]) -> np.ndarray:
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
+def with_retry(model: Embedder, retryable: type[Exception] | tuple = Exception, tries: int = 5, wait: float = 10.0, longest: float = 120.0) -> Embedder:
+    """The model, tried again after doubling waits when it fails in a way that may pass, as a service does at its rate limit."""
+
+    def run(texts: Sequence[str]) -> np.ndarray:
+        pause = wait
+        for left in range(tries - 1, -1, -1):
+            try:
+                return model(texts)
+            except retryable:
+                if not left:
+                    raise
+                time.sleep(pause)
+                pause = min(2 * pause, longest)
+        raise AssertionError
+
+    return run
+
+
 def embed(df: DataFrame, text: str = "content", embedder: Embedder = hashing_embedder, batch: int = 100) -> DataFrame:
     """Adds embedding; the model is called with up to ``batch`` texts at a time, on the executors."""
     schema = df.drop("embedding").schema.add("embedding", T.ArrayType(T.DoubleType()))

@@ -34,7 +34,7 @@ EXTENSIONS = {
     ("devops", "batch"): ".bat",
 }
 FILENAMES = ("Dockerfile", "docker-compose.yml", "docker-compose.yaml", ".gitignore", ".dockerignore", "Makefile")
-EXCLUDED_DIRS = ("bin", "obj", "node_modules", ".git", "packages", "__pycache__", ".venv", "venv", "dist", "build", "TestResults", ".vs", ".idea", ".agentic-rag-cache", "target", ".gradle")
+EXCLUDED_DIRS = ("bin", "obj", "node_modules", ".git", "packages", "__pycache__", ".venv", "venv", "dist", "build", "TestResults", ".vs", ".idea", ".kelpie-cache", "target", ".gradle")
 EXCLUDED_ENDINGS = (".Designer.cs", ".g.cs", ".g.i.cs", ".AssemblyInfo.cs", "GlobalUsings.g.cs", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", ".min.js", ".min.css", ".map", ".nupkg.metadata")
 HASHED_NAME = r"(?:^|\.)[a-f0-9]{6,20}(?:\.|$)"
 CATEGORIES = ("source-code", "documentation", "database", "configuration", "data", "devops")

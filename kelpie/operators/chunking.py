@@ -59,3 +59,8 @@ def token_chunks(files: DataFrame, limit: int, overlap: int = 50) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("file_path", pa.string()), ("chunk_index", pa.int32()), ("total_chunks", pa.int32()), ("content", pa.string())]))
 
     return files.select("file_path", "content").mapInArrow(run, "file_path string, chunk_index int, total_chunks int, content string")
+
+
+def two_phase(files: DataFrame, covered: DataFrame) -> DataFrame:
+    """Records of the files that no project analyser's artifact (file_path) covers; the artifacts' own come in elsewhere."""
+    return records(files.join(covered.select("file_path").distinct(), "file_path", "left_anti"))

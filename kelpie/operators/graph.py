@@ -35,6 +35,12 @@ def upsert_symbols(nodes: DataFrame, new: DataFrame) -> DataFrame:
     return latest(both, ["project", "fqn"]).drop("version")
 
 
+def upsert_files(files: DataFrame, new: DataFrame) -> DataFrame:
+    """Files (project, path, ...) with the new ones' properties; a missing hash doesn't overwrite one."""
+    both = files.withColumn("version", F.lit(0)).unionByName(new.withColumn("version", F.lit(1)), allowMissingColumns=True)
+    return latest(both, ["project", "path"]).drop("version")
+
+
 def clean_edges(edges: DataFrame) -> DataFrame:
     """Upper-case known types, one edge a (project, type, source, target)."""
     typed = edges.withColumn("type", F.upper("type")).filter(F.col("type").isin(*EDGE_TYPES))

@@ -8,7 +8,7 @@ shuffle (Spark's window group limit). Ties go to the smaller key.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
@@ -134,6 +134,22 @@ def simple_rerank(hits: DataFrame, query: str, text: str = "text", score: str =
     return out.orderBy(F.desc("score_rerank"), key).limit(m) if m else out
 
 
+def model_rerank(hits: DataFrame, query: str, make_scorer: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]], text: str = "text", m: int | None = 20, key: str = "doc_id", batch: int = 32, head: int = 512) -> DataFrame:
+    """Adds score_rerank by a model of (query, text's head) pairs, made once a task, called on batches; the best m."""
+    names = [c for c in hits.columns if c != "score_rerank"]
+    schema = hits.select(*names).schema.add("score_rerank", "double")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = make_scorer()
+        for b in batches:
+            pairs = [(query, (t or "")[:head]) for t in b.column(text).to_pylist()]
+            scores = [float(s) for k in range(0, len(pairs), batch) for s in scorer(pairs[k : k + batch])]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(scores, pa.float64())], [*names, "score_rerank"])
+
+    out = hits.select(*names).mapInArrow(run, schema).orderBy(F.desc("score_rerank"), key)
+    return out.limit(m) if m else out
+
+
 def category_counts(chunks: DataFrame, categories: Sequence[str], column: str = "category") -> DataFrame:
     """Rows by category, zero where there are none."""
     fixed = chunks.sparkSession.createDataFrame([(c,) for c in categories], f"{column} string")

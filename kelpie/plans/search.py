@@ -12,7 +12,7 @@ from typing import Protocol
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kelpie.functions.text import keyword_variants
+from kelpie.functions.text import CAUSAL_VERBS, keyword_variants
 from kelpie.operators import evidence, graph, retrieval
 from kelpie.plans.index import Index
 from kelpie.sources.store import stored
@@ -209,6 +209,18 @@ class Result:
     search_id: str
 
 
+def unsupported(statements: Sequence[str]) -> list[str]:
+    """Statements that name no cause or action: an answer's steps that need more evidence."""
+    return [s for s in statements if not any(v in s.lower() for v in CAUSAL_VERBS)]
+
+
+def to_markdown(result: Result, most: int = 10) -> str:
+    """An answer, its evidence and how it was found."""
+    lines = ["## Answer", str(result.answer.get("answer", "")).strip() or "Nothing found.", "", "## Evidence"]
+    lines += [f"- `{c['path']}` ({c['span']}, {c['source_kind']}, {c['score_rerank']:.2f}): {c['snippet']}" for c in result.cards[:most]]
+    return "\n".join([*lines, "", f"_{result.iterations} rounds, {len(result.cards)} cards, {result.reason or 'ended'}_"])
+
+
 POOL = "id string, path string, chunk_text string, score_rerank double, chunk_index int, total_chunks int, ord long, fingerprint string, snippet string, tags array<string>, source_kind string, entities struct<config_keys:array<string>,enums:array<string>,constants:array<string>>, span string, round_found int"
 
 

@@ -52,6 +52,7 @@ def test_incremental_index(spark, tree, tmp_path):
     result = e.search("how are orders sent to the Queue", max_iterations=2)
     assert result.success and result.cards and result.iterations <= 2 and result.reason
     assert len({c["fingerprint"] for c in result.cards}) == len(result.cards)
+    assert search.to_markdown(result).count("\n- `") == min(10, len(result.cards))
 
 
 def test_stop_rules(spark):
@@ -211,3 +212,29 @@ def test_neighbors_use_no_edge_twice(spark):
                     best.setdefault(n, hop)
             got = graph.neighbors(nodes, edges, graph.seed(nodes, name), 3, direction, limit=None).collect()
             assert {r["fqn"]: r["hops"] for r in got} == best
+
+
+def test_models_plug_in(spark):
+    from kelpie.functions.embed import with_retry
+    from kelpie.operators import chunking, retrieval
+
+    hits = spark.createDataFrame([(1, "aa"), (2, "a"), (3, None), (4, "aaaa")], "doc_id int, text string")
+    got = retrieval.model_rerank(hits, "q", lambda: lambda pairs: [len(t) for _, t in pairs], m=3, batch=2)
+    assert [(r["doc_id"], r["score_rerank"]) for r in got.collect()] == [(4, 4.0), (1, 2.0), (2, 1.0)]
+    calls = []
+
+    def flaky(texts):
+        calls.append(1)
+        if len(calls) < 3:
+            raise TimeoutError
+        return [len(t) for t in texts]
+
+    assert with_retry(flaky, TimeoutError, wait=0)(["ab"]) == [2]
+    with pytest.raises(TimeoutError):
+        with_retry(lambda t: (_ for _ in ()).throw(TimeoutError()), TimeoutError, tries=2, wait=0)(["x"])
+    files = spark.createDataFrame([("a.md", "# A\nx"), ("b.cs", "class B { }")], "file_path string, content string")
+    assert {r["file_path"] for r in chunking.two_phase(files, files.filter("file_path = 'b.cs'")).collect()} == {"a.md"}
+    old = spark.createDataFrame([("p", "f", "h1")], "project string, path string, hash string")
+    new = spark.createDataFrame([("p", "f", None), ("p", "g", "h2")], old.schema)
+    assert {r["path"]: r["hash"] for r in graph.upsert_files(old, new).collect()} == {"f": "h1", "g": "h2"}
+    assert search.unsupported(["it handles x", "it is x"]) == ["it is x"]
