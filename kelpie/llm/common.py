@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +55,18 @@ def blocks(texts: list[str], chars: int = 2_000_000) -> Iterator[tuple[int, int]
         yield start, len(texts)
 
 
+def tidy(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The kernel, which gives freed memory back to the system after a partition: workers live on and share an executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from kernel(batches)
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def crc32_mod(key: Column, n: int) -> Column:
     return F.crc32(key.cast("string")) % n
 
@@ -66,9 +80,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, holdout: Col
     """At most per_class labelled documents of either class, by a hash of the id.
 
     Texts are read only for the chosen ids, whose number the parameter bounds. Rows with a
-    null label, and repeated ids beyond the first, teach nothing.
+    null label, and repeated ids beyond the first (of documents the smallest text), teach nothing.
     """
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(~holdout & F.col("y").isin(0, 1)).dropDuplicates(["doc_id"])
     picks = [own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = picks[0].union(picks[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one a task and id before anything moves

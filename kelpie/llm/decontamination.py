@@ -5,7 +5,8 @@ test item, the one that fewest documents hold is a seed, so that a passage that
 share still has seeds and any unedited run of ``GRAM + SPREAD - 1`` words of an item holds one.
 Seeds join passages to items: around each hit the passage that an item could cover is aligned
 with it by Smith-Waterman over words, if it has enough of the item's words at all (which loses
-nothing), and the score over the item's length says whether the passage is an edited copy.
+nothing). A score of 0.4 of the item's length, or of 16 words, makes the passage a copy; chance
+alignments reach a third of short items and some seven words of long ones.
 
 Document frequencies cover all documents, and every whole text is searched. Test items go to
 the tasks in blocks of bounded size, each block against all documents.
@@ -27,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import stored, texts_of
+from kelpie.llm.common import stored, texts_of, tidy
 
 WORD = re.compile(r"\w+")
-GRAM, SPREAD = 3, 4
+GRAM, SPREAD = 3, 2
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
-#: Share of an item's words, as an alignment score, from which a passage is a copy.
-THRESHOLD = 0.5
+#: Share of an item's words, as an alignment score, from which a passage is a copy; so many words are enough of any item.
+THRESHOLD, ENOUGH = 0.4, 16.0
 #: Words of test items in a block, about.
 BLOCK_WORDS = 1_000_000
 
@@ -42,6 +43,11 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
+def needed(n: int, threshold: float = THRESHOLD) -> float:
+    """The alignment score that makes a passage a copy of an item of n words."""
+    return min(threshold * n, ENOUGH)
+
+
 def align(item: np.ndarray, passage: np.ndarray) -> tuple[float, int]:
     """Best local alignment score of an item within a passage, and where in the passage it ends."""
     n = len(passage)
@@ -146,12 +152,12 @@ class Block:
             for a, z in spans:
                 part = w[a:z]
                 common = np.minimum(np.bincount(part, minlength=len(self.vocabulary) + 1)[own], np.bincount(item, minlength=len(self.vocabulary) + 1)[own]).sum() if len(own) * 20 > len(self.vocabulary) else np.isin(item, part).sum()
-                if common * MATCH < self.threshold * len(item):
+                if common * MATCH < needed(len(item), self.threshold):
                     continue
                 score, end = align(item, part)
                 if score / len(item) > best[0]:
                     best = (score / len(item), a, end)
-            if best[0] >= self.threshold - 1e-12:
+            if best[0] * len(item) >= needed(len(item), self.threshold) - 1e-9:
                 score, a, end = best
                 length = align(item[::-1], w[a : a + end][::-1])[1]
                 out.append((k, score / MATCH, a + end - length, length))
@@ -185,7 +191,7 @@ def with_seeds(docs: DataFrame, block: Block) -> Block:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["gram", "n"])
 
     frequency = np.zeros(len(block.grams), np.int64)
-    for r in docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
         frequency[r["gram"]] = r["n"]
     block.choose_seeds(frequency)
     return block
@@ -207,7 +213,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
                     cols = list(zip(*rows, strict=True)) or [[]] * 5
                     yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], ITEM_TYPES[item_kind]), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "score", "first_word", "n_words"])
 
-            found = docs.select("doc_id", "text").mapInArrow(run, schema)
+            found = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
             out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -226,7 +232,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
                 for b in batches:
                     yield b.filter(pa.array([not shared.value.leaks(t) for t in texts_of(b)], pa.bool_()))
 
-            docs = docs.mapInArrow(run, docs.schema)
+            docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs
 
 

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from kelpie.llm.common import tidy
+
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-main="1"')
@@ -382,7 +384,7 @@ def extract_text(pages: DataFrame, model: Field | None = None) -> DataFrame:
             texts = [shared.value.extract(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(texts, pa.string())], [*names, "text"])
 
-    return pages.mapInArrow(run, schema)
+    return pages.mapInArrow(tidy(run), schema)
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import code_points, crc32_mod
+from kelpie.llm.common import code_points, crc32_mod, tidy
 
 BUCKETS, GRAMS = 1 << 14, (1, 2, 3)
 #: Bounds of the training sample.
@@ -150,7 +150,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             kept = [x for x in b.schema.names if x not in new]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in kept), pa.array(names, pa.string()), pa.array(scores, pa.float64())], [*kept, *new])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import shared_dir, texts_of
+from kelpie.llm.common import shared_dir, texts_of, tidy
 
 WHITE = b" \t\n\v\f\r"
 SLOTS = 4
@@ -161,7 +161,7 @@ class LineIndex:
                 hi, lo = (d.index.get_level_values(i).to_numpy(np.int64) for i in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(d.to_numpy(np.int64))], ["hi", "lo", "n"])
 
-        return docs.select("text").mapInArrow(run, "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
+        return docs.select("text").mapInArrow(tidy(run), "hi long, lo long, n long").groupBy("hi", "lo").agg(F.sum("n").alias("n"))
 
     def insert(self, docs: DataFrame) -> None:
         self._change(docs, 1)
@@ -234,7 +234,7 @@ class LineIndex:
                 shard = (keys[:, 0].astype(np.int64).view(np.uint64) % np.uint64(n_shards)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([k.tobytes() for k in keys], pa.binary())], ["shard", "key"])
 
-        light = self.counts.filter(F.col("n") < self.min_docs).select("hi", "lo").mapInArrow(run, "shard int, key binary")
+        light = self.counts.filter(F.col("n") < self.min_docs).select("hi", "lo").mapInArrow(tidy(run), "shard int, key binary")
         wrong = light.groupBy("shard").agg(F.concat_ws("", F.sort_array(F.collect_list(F.hex("key")))).alias("wrong"))
         return part.join(wrong, "shard", "left").select("shard", "slots", F.unhex(F.coalesce("wrong", F.lit(""))).alias("wrong"))
 
@@ -259,7 +259,7 @@ class LineIndex:
                 gone &= np.fromiter(map(bool, keys), bool, len(keys))
                 yield kept_batch(b, ts, per, gone)
 
-        return docs.mapInArrow(run, kept_schema(docs))
+        return docs.mapInArrow(tidy(run), kept_schema(docs))
 
     def _drop_by_join(self, docs: DataFrame) -> DataFrame:
         """For more live keys than tasks can hold: join the documents' distinct keys with the counts."""
@@ -285,10 +285,10 @@ class LineIndex:
 
         live = self.counts.filter(F.col("n") >= self.min_docs).select("hi", "lo")
         id_type = docs.schema["doc_id"].dataType.simpleString()
-        found = docs.select("doc_id", "text").mapInArrow(keyed, f"doc_id {id_type}, hi long, lo long").join(live, ["hi", "lo"]).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("live_keys"))
+        found = docs.select("doc_id", "text").mapInArrow(tidy(keyed), f"doc_id {id_type}, hi long, lo long").join(live, ["hi", "lo"]).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("live_keys"))
         found = found.withColumnRenamed("doc_id", "found_id")
         both = docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left").drop("found_id")
-        return both.mapInArrow(cut, kept_schema(docs))
+        return both.mapInArrow(tidy(cut), kept_schema(docs))
 
 
 def kept_schema(docs: DataFrame):

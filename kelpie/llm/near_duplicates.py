@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import stored, texts_of
+from kelpie.llm.common import stored, texts_of, tidy
 
 TREES, DEPTH, SHORTEST, WORDS = 24, 6, 4, 5
 #: Members of clusters that are verified whole, in pairs of blocks of so many; a bound for the rows a join may broadcast (about 100 bytes each).
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "copy", "signature"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, copy binary, signature array<int>")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, copy binary, signature array<int>")
 
 
 def similarities(sets: list[np.ndarray]) -> np.ndarray:
@@ -252,9 +252,25 @@ def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: floa
     if rows.count() <= BROADCAST_ROWS:  # most texts have no near copy and stay where they are
         rows = F.broadcast(rows)
     whole = texts.join(rows, texts["own_id"].eqNullSafe(rows["copy_id"])).select("node", "copy", "text", "group", "side", "tree", "keys")
-    return whole.repartition("group").sortWithinPartitions("group").mapInArrow(verify(threshold, depth), "node long, links long, weight double, root long")
+    return whole.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify(threshold, depth)), "node long, links long, weight double, root long")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return near_duplicates(docs)
+
+
+OP9_SQL = r"""
+WITH RECURSIVE texts AS (SELECT coalesce(text, '') AS t, min(doc_id) AS copy_id FROM documents GROUP BY 1),
+words AS (SELECT copy_id, list_filter(string_split_regex(t, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM texts),
+grams AS (SELECT DISTINCT copy_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM words),
+sizes AS (SELECT copy_id, count(*) AS n FROM grams GROUP BY ALL),
+shared AS (SELECT a.copy_id AS a, b.copy_id AS b, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.copy_id <> b.copy_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes x ON x.copy_id = a JOIN sizes y ON y.copy_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+reach AS (SELECT copy_id AS node, copy_id AS root FROM texts UNION SELECT b, root FROM reach JOIN links ON a = node),
+classes AS (SELECT node AS copy_id, min(root) AS class_id FROM reach GROUP BY ALL),
+counts AS (SELECT a AS copy_id, count(*) AS n_links FROM links GROUP BY ALL)
+SELECT doc_id, class_id, copy_id, coalesce(n_links, 0)::BIGINT AS n_links
+FROM documents JOIN texts ON t = coalesce(text, '') JOIN classes USING (copy_id) LEFT JOIN counts USING (copy_id)
+"""

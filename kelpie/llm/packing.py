@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import blocks, stored, texts_of
+from kelpie.llm.common import blocks, stored, texts_of, tidy
 from kelpie.llm.tokens import encoder
 
 CAPACITY, END = 2048, 0
@@ -85,7 +85,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *(pa.array(c) for c in cols[2:])], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
@@ -116,7 +116,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq[at] + nth // each[at]), pa.array(offset[at] + nth % each[at] * own)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return places.mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return places.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

@@ -7,7 +7,7 @@ from kelpie.llm.decontamination import op5_decontamination
 from kelpie.llm.html_text import op8_html_text
 from kelpie.llm.language import op10_language
 from kelpie.llm.line_dedup import OP4_SQL, op4_line_dedup
-from kelpie.llm.near_duplicates import op9_jaccard_join
+from kelpie.llm.near_duplicates import OP9_SQL, op9_jaccard_join
 from kelpie.llm.packing import op7_packing
 from kelpie.llm.quality_model import op2_quality_model
 from kelpie.llm.quality_rules import op6_quality_rules
@@ -27,4 +27,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language": op10_language,
 }
-SQL = {"op4_line_dedup": OP4_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL}

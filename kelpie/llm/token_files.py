@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import blocks, shared_dir, texts_of
+from kelpie.llm.common import blocks, shared_dir, texts_of, tidy
 from kelpie.llm.tokens import encoder
 
 SEQUENCE, ROWS, END = 2048, 256, 0
@@ -127,7 +127,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, length:
 
     order = ["doc_id", "order"]
     dealt = docs.select("doc_id", "text", F.xxhash64("text").alias("order")).repartitionByRange(*order).sortWithinPartitions(*order)
-    shards = sorted(map(tuple, dealt.select("doc_id", "text").mapInArrow(run, "shard long, n_docs long, n_tokens long").collect()))  # a row a shard
+    shards = sorted(map(tuple, dealt.select("doc_id", "text").mapInArrow(tidy(run), "shard long, n_docs long, n_tokens long").collect()))  # a row a shard
     first, rows = 0, []
     for shard, n_docs, n in shards:
         rows.append((shard, first, n_docs, n, folder))
@@ -144,7 +144,7 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 yield from read_shard(row["folder"], row["shard"], row["first"])
 
     n = max(1, shards.count())
-    return shards.repartition(n, "shard").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
+    return shards.repartition(n, "shard").mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids_crc32 long, shard long")
 
 
 def read_shard(folder: str, shard: int, first: int) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by a worker (about 40 bytes each); longer ones, in bytes, are encoded each time.
-STORE_PIECES, PIECE_BYTES = 1_500_000, 48
+STORE_PIECES, PIECE_BYTES = 1_000_000, 48
 SIGNS = r"[!-&(-/:-@\[-`{-~]"
 RUNS = re.compile(rf"[^\W\d_]+|{SIGNS}+|\n")
 PLAIN = re.compile(rf"(?:[^\W\d_]+|{SIGNS}+|\n(?!\n))*")

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import blocks, crc32_mod, labelled_sample, texts_of
+from kelpie.llm.common import blocks, crc32_mod, labelled_sample, texts_of, tidy
 
 #: Documents of either class that training sees at most.
 PER_CLASS = 2500
@@ -195,7 +195,7 @@ def score_texts(docs: DataFrame, model) -> DataFrame:
             names = [x for x in b.schema.names if x != "score"]
             yield pa.RecordBatch.from_arrays([*(b.column(x) for x in names), pa.array(scores, pa.float64())], [*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=None, per_class: int = PER_CLASS) -> Model:

@@ -30,8 +30,8 @@ def brute(docs, items):
         w = d.words_of(t)
         for k, x in items:
             own = d.words_of(x)
-            if len(own) >= d.GRAM and w and (s := smith_waterman(own, w) / len(own)) >= d.THRESHOLD:
-                out.append((i, k, round(s, 9)))
+            if len(own) >= d.GRAM and w and (s := smith_waterman(own, w)) >= d.needed(len(own)) - 1e-9:
+                out.append((i, k, round(s / len(own), 9)))
     return sorted(out, key=str)
 
 
@@ -85,3 +85,10 @@ def test_blocks_and_empty_tables(spark, monkeypatch):
     assert d.decontaminate(a, b).count() == 0
     assert d.find_leaks(a.limit(0), b).count() == 0 and d.find_leaks(a, b.limit(0)).count() == 0
     assert d.decontaminate(a, b.limit(0)).count() == 8
+
+
+def test_part_of_a_long_item(spark):
+    item = " ".join(f"item{k}" for k in range(60))
+    part = lambda n: "before " + " ".join(f"item{k}" for k in range(20, 20 + n)) + " after"
+    a, b = rows(spark, [(1, part(15)), (2, part(16)), (3, part(30))], [(7, item)])
+    assert sorted((r["doc_id"], r["first_word"], r["n_words"]) for r in d.find_leaks(a, b).collect()) == [(2, 1, 16), (3, 1, 30)]

@@ -36,7 +36,7 @@ def test_stages_against_brute_force(spark):
             for i, t in before:
                 w = decontamination.words_of(t)
                 if i not in rows or i % 20 == 0:
-                    assert (i not in rows) == any(len(set(x) & set(w)) > len(set(x)) / 2 and smith_waterman(x, w) >= 0.5 * len(x) for x in items)
+                    assert (i not in rows) == any(len(set(x) & set(w)) >= decontamination.needed(len(x)) - 4 and smith_waterman(x, w) >= decontamination.needed(len(x)) for x in items)
         if name == "packing":
             tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
             sizes = {}
