@@ -8,7 +8,7 @@
 
 All but the last stage return the columns of documents. Nulls, empty and repeated rows and empty
 tables have the operators' defined results; a document without an id is kept like any other, and
-of rows that are equal in every column, or that share an id and a class, one stays.
+of rows that share id and text one stays.
 """
 
 from __future__ import annotations
@@ -22,6 +22,10 @@ from pyspark.sql import functions as F
 from kelpie.llm import decontamination, line_dedup, near_duplicates, packing, quality_model
 from kelpie.llm.common import stored, table
 
+#: Ids that a join may broadcast, eight bytes each.
+IDS = 1_000_000
+
+
 def aside(docs: DataFrame) -> DataFrame:
     """doc_id and text, and the whole row in one column, so that no operator's column takes another's name."""
     return docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text")
@@ -45,11 +49,20 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies."""
+    """The document with the smallest id of each class of near copies; rows that share an id are told apart by their texts.
+
+    Only ids move: they go to the documents where they are few enough, and texts meet only
+    where an id comes more than once.
+    """
     classes = stored(near_duplicates.near_duplicates(docs), "classes")
-    heads = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("head")).distinct()
-    kept = docs.join(heads, docs["doc_id"].eqNullSafe(heads["head"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    heads = stored(classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n")), "heads")
+
+    def those(ids: DataFrame) -> DataFrame:
+        ids = F.broadcast(ids) if ids.count() <= IDS else ids
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["head"]), "left_semi")
+
+    once, more = those(heads.filter("n = 1").select("head")), heads.filter("n > 1").select("head")
+    return once if more.isEmpty() else once.unionByName(those(more).dropDuplicates(["doc_id", "text"]))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
