@@ -76,7 +76,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFr
         enc = encoder(path, False)
         for b in batches:
             ids, texts = b.column("doc_id"), texts_of(b)
-            for lo, hi in blocks(texts):
+            for lo, hi in blocks(texts, 700_000):
                 rows, end = [], np.array([END], "<u4").tobytes()
                 for i, x in enumerate(enc.batch(texts[lo:hi])):
                     x, step = x.astype("<u4").tobytes() + end, 4 * capacity

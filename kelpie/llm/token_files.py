@@ -105,7 +105,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str | None = None, length:
             rows = pa.ipc.new_stream(index, schema)
             for b in batches:
                 ids, texts = b.column("doc_id").cast(pa.int64()), texts_of(b)
-                for lo, hi in blocks(texts):
+                for lo, hi in blocks(texts, 700_000):
                     coded = enc.batch(texts[lo:hi])
                     sizes = np.array([len(x) + 1 for x in coded], np.int64)
                     starts = at + np.cumsum(sizes) - sizes

@@ -20,7 +20,7 @@ from tokenizers import Tokenizer
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces kept by a worker (about 40 bytes each); longer ones, in bytes, are encoded each time.
-STORE_PIECES, PIECE_BYTES = 1_000_000, 48
+STORE_PIECES, PIECE_BYTES = 800_000, 48
 SIGNS = r"[!-&(-/:-@\[-`{-~]"
 RUNS = re.compile(rf"[^\W\d_]+|{SIGNS}+|\n")
 PLAIN = re.compile(rf"(?:[^\W\d_]+|{SIGNS}+|\n(?!\n))*")
@@ -137,7 +137,7 @@ class Encoder:
         parts = self.parts
         return [None if x is None else whole[x] if isinstance(x, str) else parts[x[0]] if len(x) == 1 else b"".join([parts[r] for r in x]) for x in plans]
 
-    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 200_000) -> np.ndarray:
+    def _hashes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, step: int = 40_000) -> np.ndarray:
         """A hash of each piece of up to PIECE_BYTES bytes; longer ones' hashes mean nothing."""
         out, lens = [], ends - starts
         bounds = [0, *np.searchsorted(ends, np.arange(step * 8, int(ends[-1]) + 1, step * 8)).tolist(), len(starts)]

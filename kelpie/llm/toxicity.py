@@ -29,8 +29,9 @@ from kelpie.llm.common import blocks, crc32_mod, labelled_sample, texts_of, tidy
 
 #: Documents of either class that training sees at most.
 PER_CLASS = 2500
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5), 24
+BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5), 48
 WORDS = re.compile(r"\w+")
+SHRINK = 1.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -124,21 +125,30 @@ def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.
     begin = np.cumsum(size) - size
     grams, counts = gram_ids(list(place))
     gram_at = np.cumsum(counts) - counts
-    emb = rng.normal(0, 0.1, (BUCKETS, DIM))
-    out, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
-    seen_emb, seen_out, seen_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
     first = np.searchsorted(doc, np.arange(len(texts)))
     apart = np.arange(len(texts)) % 5 == 4  # only calibrates
     if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
         apart[:] = False
-    for epoch in range(epochs):
+    # embeddings begin along one direction at how much oftener toxic documents hold an n-gram, shrunk where few do
+    docs_of, edge = np.zeros((2, BUCKETS)), np.append(begin[first], len(flat))
+    base = y[~apart].mean()
+    for k in np.flatnonzero(~apart):
+        w = np.unique(flat[edge[k] : edge[k + 1]])
+        c = counts[w]
+        docs_of[y[k], np.unique(grams[np.repeat(gram_at[w] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))])] += 1
+    share = (docs_of[1] + SHRINK * base) / (docs_of.sum(0) + SHRINK)
+    lift = np.clip(np.log(share / (1 - share)) - np.log(base / (1 - base)), -0.3, 6)
+    emb = rng.normal(0, 0.01, (BUCKETS, DIM))
+    emb[:, 0] += lift * WINDOW / 4
+    out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
+    out[0] = -0.5, 0.5
+    seen_emb, seen_out, seen_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
+    for _ in range(epochs):
         logit = bag_means(bag_means(emb @ (out[:, 1] - out[:, 0]), grams, counts), flat, size) * (size / WINDOW)
-        # of each document the highest window, of clean ones others too; at first any may be the toxic one
+        # of each document the highest window, of clean ones others too
         best = np.maximum.reduceat(logit, first)
         top = logit >= best[doc]
         use = top | (y[doc] == 0) & (rng.random(len(doc)) < 0.12)
-        if epoch == 0:
-            use = top | (rng.random(len(doc)) < 0.3)
         order = rng.permutation(np.flatnonzero(use & ~apart[doc]))
         for lo in range(0, len(order), 64):
             own = order[lo : lo + 64]
