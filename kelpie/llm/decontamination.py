@@ -1,19 +1,22 @@
-"""Benchmark decontamination by rare seeds and local alignment.
-
-Words are case-folded runs of word characters. Of every few consecutive three-word grams of a
-test item, the one that fewest documents hold is a seed, so that a passage that many documents
-share still has seeds and any unedited run of ``GRAM + SPREAD - 1`` words of an item holds one.
-Seeds join passages to items: around each hit the passage that an item could cover is aligned
-with it by Smith-Waterman over words, if it has enough of the item's words at all (which loses
-nothing). A score of 0.4 of the item's length, or of 16 words, makes the passage a copy; chance
-alignments reach a third of short items and some seven words of long ones.
-
-Document frequencies cover all documents, and every whole text is searched. Test items go to
-the tasks in blocks of bounded size, each block against all documents.
+"""Benchmark decontamination by seeds and local alignment.
+
+Words are case-folded runs of word characters. Every three words of a test item within ``REACH``
+words are a seed, however common, and meet the same three words within as many words of a text.
+Three matches in a row without a seed have three edits between them or more, so that m matches
+without any seed score at most m / 4 + 1.5: too little for items of 11 to 57 words. For other
+items three words within ``FAR`` are seeds: without any of these an alignment scores 2 at most,
+too little from 6 words on. Where a text shares a seed with an item, the item is aligned by
+Smith-Waterman with all parts of the text that have enough of the item's words for a copy (which
+loses nothing either), so that the copies are those of whole texts' alignments. A score of 0.4
+of the item's length, or of 16 words, makes a passage a copy; chance alignments reach a third of
+short items and some seven words of long ones.
+
+Every whole text is searched. Test items go to the tasks in blocks of bounded size, each block
+against all documents.
 
 Defined results: items of fewer than ``GRAM`` words (null and empty ones too) match nothing, as
-chance can't be told from copying; equal items are all reported; null and empty texts match
-nothing; repeated documents are reported each; empty tables give no rows.
+chance can't be told from copying, and items of up to five words match only where a text shares
+three of them; equal items are all reported; null and empty texts match nothing; repeated documents are reported each; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -26,12 +29,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from kelpie.llm.common import stored, texts_of, tidy
 
 WORD = re.compile(r"\w+")
-GRAM, SPREAD = 3, 2
+GRAM, REACH, FAR = 3, 5, 6
+#: Size of the hash table that most grams of texts end at, as a power of two.
+SLOT_BITS = 22
 MATCH, MISMATCH, GAP = 1.0, -0.5, 0.5
 #: Share of an item's words, as an alignment score, from which a passage is a copy; so many words are enough of any item.
 THRESHOLD, ENOUGH = 0.4, 16.0
@@ -70,11 +74,14 @@ class Block:
     vocabulary: dict[str, int]
     items: list[np.ndarray]
     ids: list[list]
-    grams: np.ndarray
-    #: Of each seed in order: its gram and, from starts on, (item, place) pairs.
-    seeds: np.ndarray = None
-    starts: np.ndarray = None
-    places: np.ndarray = None
+    #: Of each seed in order: its gram and, from starts on, the items that hold it.
+    seeds: np.ndarray
+    starts: np.ndarray
+    holders: np.ndarray
+    #: Which slots of a hash table have seeds.
+    slots: np.ndarray
+    #: Words that the seeds of any item lie within.
+    reach: int
     threshold: float = THRESHOLD
 
     @classmethod
@@ -86,81 +93,87 @@ class Block:
                 by_words[w].append(i)
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64) for w in by_words]
-        grams = np.unique(np.concatenate([cls._grams(x, len(vocabulary) + 1) for x in items])) if items else np.zeros(0, np.int64)
-        return cls(vocabulary, items, list(by_words.values()), grams, threshold=threshold)
+        # matches without a seed within REACH score a quarter and 1.5 at most
+        reaches = [REACH if len(x) / 4 + 1.5 < needed(len(x), threshold) else FAR for x in items]
+        pairs = [(g := np.unique(cls._grams(x, len(vocabulary) + 1, r)), np.full(len(g), k)) for k, (x, r) in enumerate(zip(items, reaches, strict=True))] or [(np.zeros(0, np.int64),) * 2]
+        grams, holders = (np.concatenate(x) for x in zip(*pairs, strict=True))
+        whole = grams % (len(vocabulary) + 1) > 0  # at an item's end there are no further words
+        grams, holders = grams[whole], holders[whole]
+        order = np.lexsort((holders, grams))
+        seeds, starts = np.unique(grams[order], return_index=True)
+        slots = np.zeros(1 << SLOT_BITS, bool)
+        slots[cls._slots(seeds)] = True
+        return cls(vocabulary, items, list(by_words.values()), seeds, np.append(starts, len(grams)), holders[order], slots, max(reaches, default=REACH), threshold)
 
     @staticmethod
-    def _grams(w: np.ndarray, base: int) -> np.ndarray:
-        """Numbers of the three-word grams; -1 where a word is in no item. A block's vocabulary is small enough for 63 bits."""
-        if len(w) < GRAM:
-            return np.zeros(0, np.int64)
-        a, b, c = w[:-2], w[1:-1], w[2:]
-        return np.where((a > 0) & (b > 0) & (c > 0), (a * base + b) * base + c, -1)
+    def _grams(w: np.ndarray, base: int, reach: int) -> np.ndarray:
+        """Numbers of all three words within reach, of any words. A block's vocabulary is small enough for 63 bits."""
+        i, j = np.triu_indices(reach - 1, 1)
+        near = np.lib.stride_tricks.sliding_window_view(np.append(w, np.zeros(reach - 1, np.int64)), reach)
+        return ((near[:, :1] * base + near[:, i + 1]) * base + near[:, j + 1]).ravel()
 
-    def grams_of(self, w: np.ndarray) -> np.ndarray:
-        return self._grams(w, len(self.vocabulary) + 1)
+    @staticmethod
+    def _slots(grams: np.ndarray) -> np.ndarray:
+        return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
     def numbers(self, text: str) -> np.ndarray:
         get, words = self.vocabulary.get, words_of(text)
         return np.array([get(x, 0) for x in words], np.int64)
 
-    def known(self, own: np.ndarray) -> np.ndarray:
-        """Which of the items' grams occur among these."""
-        own = own[own >= 0]
-        at = np.minimum(np.searchsorted(self.grams, own), len(self.grams) - 1)
-        return np.unique(at[self.grams[at] == own])
-
-    def choose_seeds(self, frequency: np.ndarray) -> None:
-        """The rarest gram of each SPREAD consecutive ones of an item; frequency goes by gram in order."""
-        found = defaultdict(list)
-        for k, w in enumerate(self.items):
-            g = self.grams_of(w)
-            rare = frequency[np.searchsorted(self.grams, g)]
-            picked = {lo + int(rare[lo : lo + SPREAD].argmin()) for lo in range(max(1, len(g) - SPREAD + 1))}
-            for p in sorted(picked):
-                found[int(g[p])].append((k, p))
-        self.seeds = np.array(sorted(found), np.int64)
-        self.starts = np.append(0, np.cumsum([len(found[s]) for s in self.seeds.tolist()])).astype(np.int64)
-        self.places = np.array([x for s in self.seeds.tolist() for x in found[s]], np.int64).reshape(-1, 2)
+    def met(self, w: np.ndarray, step: int = 1 << 14) -> list[int]:
+        """The items that share a seed with a text."""
+        g = []
+        for lo in range(0, len(w), step):
+            own = self._grams(w[lo : lo + step + self.reach - 1], len(self.vocabulary) + 1, self.reach)
+            g.append(own[self.slots[self._slots(own)]])
+        g = np.unique(np.concatenate(g))
+        at = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
+        at = at[self.seeds[at] == g]
+        return np.unique(np.concatenate([self.holders[self.starts[s] : self.starts[s + 1]] for s in at.tolist()])).tolist() if len(at) else []
+
+    def parts(self, w: np.ndarray, met: list[int], cells: int = 1 << 20) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+        """Items, and where in a text their copies can lie: each word of it adds what it can at most, and no alignment's beginning falls to 0."""
+        own, back = np.unique(w, return_inverse=True)
+        kind = np.float32 if len(w) < 1 << 22 else np.float64  # both hold such sums of halves exactly
+        held = np.zeros(len(self.vocabulary) + 1, bool)
+        held[own] = True
+        met = [k for k in met if np.count_nonzero(held[self.items[k]]) * MATCH >= needed(len(self.items[k]), self.threshold) - 1e-9]
+        step = max(1, cells // (len(w) + 1))
+        for lo in range(0, len(met), step):
+            some = met[lo : lo + step]
+            words = np.concatenate([self.items[k] for k in some])
+            who = np.repeat(np.arange(len(some)), [len(self.items[k]) for k in some])
+            at = np.minimum(np.searchsorted(own, words), len(own) - 1)
+            worth = np.full((len(some), len(own)), MISMATCH, kind)
+            same = own[at] == words
+            worth[who[same], at[same]] = MATCH
+            total = np.zeros((len(some), len(w) + 1), kind)
+            np.cumsum(worth[:, back], 1, out=total[:, 1:])
+            above = total - np.minimum.accumulate(total, 1)
+            least = np.array([needed(len(self.items[k]), self.threshold) for k in some]) - 1e-9
+            for x in np.flatnonzero(above.max(1) >= least).tolist():
+                zero, out = np.append(np.flatnonzero(above[x] == 0), len(w)), []
+                for y in np.flatnonzero(above[x] >= least[x]).tolist():
+                    if not out or y > out[-1][1]:
+                        z = int(np.searchsorted(zero, y))
+                        out.append((int(zero[z - 1]), int(zero[z])))
+                yield some[x], out
 
     def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
         """(item, score, first word, words) of each item that the text holds a copy of."""
-        w = self.numbers(text)
-        g = self.grams_of(w)
-        at = np.minimum(np.searchsorted(self.seeds, g), len(self.seeds) - 1)
-        hits = np.flatnonzero(self.seeds[at] == g)
-        around = defaultdict(list)
-        for h, s in zip(hits.tolist(), at[hits].tolist(), strict=True):
-            for k, p in self.places[self.starts[s] : self.starts[s + 1]].tolist():
-                around[k].append(h - p)
-        out = []
-        for k, begins in around.items():
+        w, out = self.numbers(text), []
+        for k, parts in self.parts(w, self.met(w)) if len(w) else ():
             item = self.items[k]
-            slack = len(item) // 3 + 2
+            least = needed(len(item), self.threshold)
             best = (0.0, 0, 0)
-            lo, hi = None, None
-            spans = []
-            for b in sorted(begins):  # hits of one passage lie close together
-                a, z = max(0, b - slack), min(len(w), b + len(item) + slack)
-                if hi is not None and a <= hi:
-                    hi = max(hi, z)
-                else:
-                    lo, hi = a, z
-                    spans.append([lo, hi])
-                spans[-1][1] = hi
-            own = np.unique(item)
-            for a, z in spans:
-                part = w[a:z]
-                common = np.minimum(np.bincount(part, minlength=len(self.vocabulary) + 1)[own], np.bincount(item, minlength=len(self.vocabulary) + 1)[own]).sum() if len(own) * 20 > len(self.vocabulary) else np.isin(item, part).sum()
-                if common * MATCH < needed(len(item), self.threshold):
-                    continue
-                score, end = align(item, part)
-                if score / len(item) > best[0]:
-                    best = (score / len(item), a, end)
-            if best[0] * len(item) >= needed(len(item), self.threshold) - 1e-9:
+            for a, z in parts:
+                score, end = align(item, w[a:z])
+                if score > best[0]:
+                    best = (score, a, end)
+            if best[0] >= least - 1e-9:
                 score, a, end = best
                 length = align(item[::-1], w[a : a + end][::-1])[1]
-                out.append((k, score / MATCH, a + end - length, length))
+                out.append((k, score / len(item) / MATCH, a + end - length, length))
         return out
 
 
@@ -177,26 +190,6 @@ def blocks_of(benchmark: DataFrame, threshold: float = THRESHOLD) -> Iterator[Bl
         yield Block.of(rows, threshold)
 
 
-def with_seeds(docs: DataFrame, block: Block) -> Block:
-    """Choose the block's seeds by how many documents hold each of its grams; a count a gram comes to the driver."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        n = np.zeros(len(own.grams), np.int64)
-        for b in batches:
-            for t in texts_of(b):
-                n[own.known(own.grams_of(own.numbers(t)))] += 1
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["gram", "n"])
-
-    frequency = np.zeros(len(block.grams), np.int64)
-    for r in docs.select("text").mapInArrow(tidy(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect():
-        frequency[r["gram"]] = r["n"]
-    block.choose_seeds(frequency)
-    return block
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, item_id, score, first_word, n_words: each document's best copy of each item."""
     spark, out = docs.sparkSession, None
@@ -204,7 +197,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, first_word long, n_words long"
     for block in blocks_of(benchmark, threshold):
         if block.items:
-            shared = spark.sparkContext.broadcast(with_seeds(docs, block))
+            shared = spark.sparkContext.broadcast(block)
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 own = shared.value
@@ -226,7 +219,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     for k, block in enumerate(blocks_of(benchmark, threshold)):
         if block.items:
             docs = stored(docs, "decontaminated") if k else docs
-            shared = docs.sparkSession.sparkContext.broadcast(with_seeds(docs, block))
+            shared = docs.sparkSession.sparkContext.broadcast(block)
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 for b in batches:

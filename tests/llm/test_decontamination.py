@@ -92,3 +92,31 @@ def test_part_of_a_long_item(spark):
     part = lambda n: "before " + " ".join(f"item{k}" for k in range(20, 20 + n)) + " after"
     a, b = rows(spark, [(1, part(15)), (2, part(16)), (3, part(30))], [(7, item)])
     assert sorted((r["doc_id"], r["first_word"], r["n_words"]) for r in d.find_leaks(a, b).collect()) == [(2, 1, 16), (3, 1, 30)]
+
+
+def edited(rng, own, way, step):
+    """A copy with a new word in place of, after, or without every step-th word, or so many places at random."""
+    new = lambda: f"n{rng.randrange(10**6)}"
+    at = set(rng.sample(range(len(own)), len(own) // step)) if way == "random" else {k for k in range(len(own)) if k % step == step - 1}
+    out = []
+    for k, w in enumerate(own):
+        out += [w] if k not in at else [w, new()] if way == "insert" else [] if way == "delete" else [new()]
+    return out
+
+
+def test_edits_everywhere_leave_seeds(spark):
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    items = [(k, " ".join(rng.choice(words) for _ in range(n))) for k, n in enumerate([40] * 12 + [12, 20, 57])]
+    ways = [("replace", 4), ("replace", 3), ("insert", 3), ("insert", 2), ("insert", 1), ("delete", 3), ("random", 5), ("random", 4), ("random", 3)]
+    docs = []
+    for way, step in ways:
+        for k, t in items:
+            around = lambda: [rng.choice(words) for _ in range(30)]
+            docs.append((len(docs), " ".join(around() + edited(rng, t.split(), way, step) + around())))
+    for more in ([], [(70, "eight words that make the reach go further"), (71, " ".join(f"long{k}" for k in range(90)))]):
+        a, b = rows(spark, docs, items + more)
+        found = sorted(((r["doc_id"], r["item_id"], round(r["score"], 9)) for r in d.find_leaks(a, b).collect()), key=str)
+        assert found == brute(docs, items + more)
+        assert len(found) > 0.9 * len(docs)
+        assert d.decontaminate(a, b).count() == len(docs) - len({x[0] for x in found})
