@@ -1,10 +1,10 @@
 """Jaccard self-join on word shingles through a MinHash LSH forest.
 
 Equal texts are one node. A node's signature is ``TREES`` labels of ``DEPTH`` minima, each label
-a path in its tree; nodes that share a prefix of a path meet in that trie node. Matching starts
-at whole labels and shortens the prefix by one minimum at a time until the links found say that
-the target recall is met: a link of similarity s is found at depth d with probability
-1 - (1 - s^d)^TREES, and each found link stands for the inverse of that many.
+a path in its tree; nodes that share a prefix of a path meet in that trie node. A link of
+similarity s is found at depth d with probability 1 - (1 - s^d)^TREES. The depth is the greatest
+at which a link right at the threshold has the target recall, so that every link has it, whatever
+others the table holds.
 
 Nodes that meet form candidate clusters. A cluster of bounded size is verified whole, in pairs of
 blocks. In a larger one (very many near copies of one text, or chance chains) each trie node is
@@ -133,28 +133,29 @@ def components(edges: DataFrame) -> DataFrame:
     return stored(out, "roots")
 
 
-DEPTHS = range(DEPTH, SHORTEST - 1, -1)
+def depth_for(threshold: float, recall: float) -> int:
+    """The longest prefix at which each link has the recall, or the shortest one that there is."""
+    return next((d for d in range(DEPTH, SHORTEST, -1) if found_at(np.array(threshold), d) >= recall), SHORTEST)
 
 
-def meeting(nodes: DataFrame) -> DataFrame:
-    """node, tree and its prefixes' keys k6, k5, k4: the rows that share the shortest prefix with another node.
+def meeting(nodes: DataFrame, depth: int) -> DataFrame:
+    """node, tree and its prefix's key: the rows that share the prefix with another node.
 
     How many nodes share a prefix is counted before it shuffles; where the shared ones are few
     enough, they go to the nodes, otherwise nodes' rows shuffle to them.
     """
-    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), *(F.xxhash64(t, F.slice("signature", t * DEPTH + 1, d)).alias(f"k{d}") for d in DEPTHS)))
+    keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.slice("signature", t * DEPTH + 1, depth)).alias("key")))
     rows = nodes.filter("signature IS NOT NULL").select("node", F.explode(keys).alias("x")).select("node", "x.*")
-    short = f"k{SHORTEST}"
-    shared = stored(rows.groupBy(short).agg(F.count("*").alias("n")).filter("n > 1").select(short), "shared")
+    shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     if shared.count() <= BROADCAST_ROWS:
         shared = F.broadcast(shared)
-    return stored(rows.join(shared, short), "met")
+    return stored(rows.join(shared, "key"), "met")
 
 
-def verify(threshold: float, depth: int):
+def verify(threshold: float):
     """Kernel over rows ordered by group: node, copy, text, group, side (a block pair's half, or 0), tree (or -1), keys."""
 
-    def judged(rows: list[dict]) -> Iterator[tuple[int, int, float, int]]:
+    def judged(rows: list[dict]) -> Iterator[tuple[int, int, int]]:
         rows = list({(r["node"], r["side"]): r for r in rows if xxhash.xxh3_128_digest((r["text"] or "").encode("utf-8", "surrogatepass")) == r["copy"]}.values())
         if len(rows) < 2:
             return
@@ -168,7 +169,6 @@ def verify(threshold: float, depth: int):
         if rows[0]["group"]["i"] != rows[0]["group"]["j"]:  # of two different blocks only what lies across
             side = np.array([r["side"] for r in rows])
             link &= side[:, None] != side[None, :]
-        weight = np.where(link, 1 / np.maximum(found_at(s, depth), 1e-9), 0).sum(1)
         root = np.arange(len(rows))
         while True:  # smallest index that is reachable
             new = np.minimum(root, np.where(link, root[None, :], len(rows)).min(1))
@@ -179,12 +179,12 @@ def verify(threshold: float, depth: int):
         n = link.sum(1)
         for i in np.flatnonzero(n):
             own = root == root[i]
-            yield int(node[i]), int(n[i]), float(weight[i]), int(node[own].min())
+            yield int(node[i]), int(n[i]), int(node[own].min())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows):
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], ["node", "links", "weight", "root"])
+            cols = list(zip(*rows, strict=True)) or [[]] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "root"])
 
         group, held = None, []
         for b in batches:
@@ -206,13 +206,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     signed = stored(signatures(docs), "signatures")
     nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.first("signature").alias("signature"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so ids hold
-    met = meeting(nodes)
-    for depth in DEPTHS:
-        found = stored(links_at(docs, nodes, met.select("node", "tree", F.col(f"k{depth}").alias("key")), threshold, depth), "links")
-        n, stands_for = found.agg(F.sum("links"), F.sum("weight")).first()
-        # without any link only the depth at which the threshold itself is surely found can tell
-        if n >= recall * stands_for if n else found_at(np.array(threshold), depth) >= recall:
-            break
+    found = stored(links_at(docs, nodes, meeting(nodes, depth_for(threshold, recall)), threshold), "links")
     # a node of a large cluster has a row for each trie node; their roots join in the classes
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -223,8 +217,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     return signed.select("doc_id", "copy").join(known, "copy").select("doc_id", "class_id", "copy_id", "n_links")
 
 
-def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: float, depth: int) -> DataFrame:
-    """Verified links among nodes that share a key (node, tree, key): node, links, weight, root, in one or more rows a node."""
+def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
+    """Verified links among nodes that share a key (node, tree, key): node, links, root, in one or more rows a node."""
     tries = keys.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
     met = stored(keys.join(tries, ["tree", "key"]), "tries")
     roots = components(met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
@@ -252,7 +246,7 @@ def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: floa
     if rows.count() <= BROADCAST_ROWS:  # most texts have no near copy and stay where they are
         rows = F.broadcast(rows)
     whole = texts.join(rows, texts["own_id"].eqNullSafe(rows["copy_id"])).select("node", "copy", "text", "group", "side", "tree", "keys")
-    return whole.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify(threshold, depth)), "node long, links long, weight double, root long")
+    return whole.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify(threshold)), "node long, links long, root long")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,3 +111,18 @@ def test_components(spark):
             root[b] = a
     got = {r["node"]: r["root"] for r in nd.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_a_hot_group_sets_no_depth_for_others(spark):
+    def pair(k):  # 40 of 50 shingles shared
+        w = [f"p{k}x{j}" for j in range(49)]
+        return [" ".join(w), " ".join(w[:-5] + [f"q{k}x{j}" for j in range(5)])]
+
+    texts = near_copies(60, 4, 300)
+    for k in (466, 1015, 1196, 1794):  # no whole label of six minima in common
+        a, b = map(nd.shingles, pair(k))
+        assert nd.similarities([a, b])[0, 1] == 0.8
+        assert not (nd.minima(a) == nd.minima(b)).reshape(nd.TREES, nd.DEPTH).all(1).any()
+        texts += pair(k)
+    rows = list(enumerate(texts))
+    assert got(spark, rows) == brute(rows)
