@@ -8,7 +8,7 @@
 
 All but the last stage return the columns of documents. Nulls, empty and repeated rows and empty
 tables have the operators' defined results; a document without an id is kept like any other, and
-of rows that share id and text one stays.
+of each class of near copies one row stays, even where rows share an id or have none.
 """
 
 from __future__ import annotations
@@ -49,20 +49,30 @@ def without_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def one_of_each_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near copies; rows that share an id are told apart by their texts.
+    """The document with the smallest id of each class of near copies, whether or not ids are repeated or null.
 
-    Only ids move: they go to the documents where they are few enough, and texts meet only
-    where an id comes more than once.
+    Only ids move: they go to the documents where they are few enough, and texts' digests meet
+    only where an id comes more than once.
     """
-    classes = stored(near_duplicates.near_duplicates(docs), "classes")
-    heads = stored(classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n")), "heads")
-
-    def those(ids: DataFrame) -> DataFrame:
-        ids = F.broadcast(ids) if ids.count() <= IDS else ids
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["head"]), "left_semi")
-
-    once, more = those(heads.filter("n = 1").select("head")), heads.filter("n > 1").select("head")
-    return once if more.isEmpty() else once.unionByName(those(more).dropDuplicates(["doc_id", "text"]))
+    classes = stored(near_duplicates.classes_of(docs), "classes")
+    heads = classes.filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
+    ids = classes.groupBy(F.col("doc_id").alias("head")).agg(F.count("*").alias("n"), F.max(F.col("doc_id").eqNullSafe(F.col("class_id"))).alias("first"))
+    ids = stored(ids.filter("first").select("head", "n"), "heads")
+
+    def few(df: DataFrame) -> DataFrame:
+        return F.broadcast(df) if df.count() <= IDS else df
+
+    def those(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        ids = few(ids)
+        return rows.join(ids, rows["doc_id"].eqNullSafe(ids["head"]), "left_semi")
+
+    once, more = those(docs, ids.filter("n = 1").select("head")), ids.filter("n > 1").select("head")
+    if more.isEmpty():
+        return once
+    chosen = few(stored(those(heads, more).groupBy("root", F.col("doc_id").alias("head")).agg(F.min("copy").alias("own")), "chosen"))
+    rows = near_duplicates.with_copies(aside(those(docs, more)))
+    rows = rows.join(chosen, rows["doc_id"].eqNullSafe(chosen["head"]) & (rows["copy"] == chosen["own"]), "left_semi")
+    return once.unionByName(back(rows.dropDuplicates(["doc_id", "copy"]), docs.columns))
 
 
 def without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

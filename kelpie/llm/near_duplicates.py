@@ -202,7 +202,22 @@ def verify(threshold: float):
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, copy_id (the smallest id of the same text), n_links (of the text to different ones)."""
-    spark = docs.sparkSession
+    return classes_of(docs, threshold, recall).select("doc_id", "class_id", "copy_id", "n_links")
+
+
+def with_copies(df: DataFrame) -> DataFrame:
+    """Add copy, 128 bits of the text, as classes have it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            copies = [xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")) for t in texts_of(b)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(copies, pa.binary())], [*b.schema.names, "copy"])
+
+    return df.mapInArrow(tidy(run), type(df.schema)([*df.schema.fields]).add("copy", "binary"))
+
+
+def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
+    """The rows of near_duplicates with copy and root, which tell texts and classes apart where ids are repeated or null."""
     signed = stored(signatures(docs), "signatures")
     nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.first("signature").alias("signature"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so ids hold
@@ -213,8 +228,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9
     known = nodes.select("node", "copy", "copy_id").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
     known = stored(known.drop("node"), "known")
     classes = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
-    known = known.join(classes, "root").select("copy", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "copy").join(known, "copy").select("doc_id", "class_id", "copy_id", "n_links")
+    known = known.join(classes, "root").select("copy", "root", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return signed.select("doc_id", "copy").join(known, "copy").select("doc_id", "copy", "root", "class_id", "copy_id", "n_links")
 
 
 def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:

@@ -65,3 +65,18 @@ def test_odd_rows(spark):
         assert stage(spark, docs.limit(0), sf).count() == 0
     kept = cp.one_of_each_class(spark, docs, sf).collect()
     assert sorted(r["doc_id"] for r in kept) == [1, 2, 4]
+
+
+def test_one_row_of_each_class_with_repeated_and_null_ids(spark):
+    rng = random.Random(8)
+    base = lambda k: " ".join(f"b{k}x{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, e, f = map(base, "abcef")
+    rows = [(1, a), (1, a + " end"), (1, a), (2, b), (3, b + " end"), (3, c), (None, e), (None, e + " end"), (None, a + " fin"), (None, f), (4, f + " end"), (5, "one"), (5, "two")]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t), *"abcdef") for i, t in rows], SCHEMA)
+    out = cp.one_of_each_class(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert all(tuple(r)[5:] == tuple("abcdef") for r in out.collect())
+    near = lambda t, own: [i for i, x in kept if x.startswith(own)] == t
+    assert near([1], a) and near([2], b) and near([3], c) and near([None], e) and near([4], f)
+    assert sorted(t for i, t in kept if i == 5) == ["one", "two"] and len(kept) == 7
