@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder under spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (as in tests) a temporary folder is set.
+    Only where a local session names none (as in tests) a temporary folder is set; a cluster's must name one.
     """
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='kelpie-')}"
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
@@ -76,8 +78,12 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, holdout: Column, per_class: int) -> DataFrame:
-    """At most per_class labelled documents of either class, by a hash of the id.
+#: Longer texts, in bytes, teach nothing (they are scored like any), so that a sample's size is bounded.
+TEACH_BYTES = 32_768
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, holdout: Column, per_class: int, max_bytes: int = TEACH_BYTES) -> DataFrame:
+    """At most per_class labelled documents of either class, by a hash of the id, of at most max_bytes each.
 
     Texts are read only for the chosen ids, whose number the parameter bounds. Rows with a
     null label, and repeated ids beyond the first (of documents the smallest text), teach nothing.
@@ -85,5 +91,6 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, holdout: Col
     own = labels.select("doc_id", F.col(label).cast("int").alias("y")).filter(~holdout & F.col("y").isin(0, 1)).dropDuplicates(["doc_id"])
     picks = [own.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
     ids = picks[0].union(picks[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    short = docs.filter(F.octet_length(F.coalesce("text", F.lit(""))) <= max_bytes)
+    rows = short.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     return rows.groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one a task and id before anything moves

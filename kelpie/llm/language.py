@@ -7,9 +7,11 @@ exactly zero; a temperature fitted on a part of the sample that weights didn't s
 the probabilities.
 
 Every whole text is predicted; training sees a bounded sample, about ``per_language`` documents
-of each of at most ``max_languages`` languages. Defined results: a text that is null or has no
-letter is ``und`` with score 0; without any labelled document everything is ``und``; repeated
-rows are predicted alike; an empty table gives no rows.
+of each of at most ``max_languages`` languages (rarer ones can't be predicted), ``SAMPLE`` in all,
+of at most ``TEACH_BYTES`` each. Defined results: a text that is null or has no letter is ``und``
+with score 0; without any labelled document everything is ``und``; very long texts are counted
+part by part; of equally likely languages the first by name; repeated rows are predicted alike;
+columns ``lang_pred`` and ``score`` of the input are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import code_points, crc32_mod, tidy
 
 BUCKETS, GRAMS = 1 << 14, (1, 2, 3)
-#: Bounds of the training sample.
-PER_LANGUAGE, MAX_LANGUAGES = 500, 500
+#: Bounds of the training sample: documents a language, languages, documents in all, bytes of a text.
+PER_LANGUAGE, MAX_LANGUAGES, SAMPLE, TEACH_BYTES = 500, 500, 20_000, 16_384
 UNKNOWN = "und"
 
 
@@ -129,12 +131,13 @@ def train(texts: list[str], languages: list[str], epochs: int = 4, alpha: float
 
 
 def fit(docs: DataFrame, held_out: Column, per_language: int = PER_LANGUAGE, max_languages: int = MAX_LANGUAGES) -> Model:
-    own = docs.filter(~held_out & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    own = docs.filter(~held_out & F.col("lang").isNotNull() & (F.octet_length("text") <= TEACH_BYTES))
     sizes = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    per_language = min(per_language, max(1, SAMPLE // max(1, len(sizes))))
     share = docs.sparkSession.createDataFrame([(r["lang"], per_language / r["count"]) for r in sizes], "lang string, share double")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = own.join(F.broadcast(share), "lang").filter(place < F.col("share"))
-    rows = picked.select("lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_language * max(1, len(sizes))).collect()
+    rows = picked.select("lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(min(SAMPLE, 2 * per_language * max(1, len(sizes)))).collect()
     return train([r["text"] for r in rows], [r["lang"] for r in rows])
 
 

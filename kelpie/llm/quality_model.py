@@ -6,9 +6,11 @@ that feature's table of log odds; then the pairs of features whose residuals' ta
 get two-dimensional tables the same way. A score is a sum of table entries.
 
 Every whole text is scored; training sees a bounded sample, ``per_class`` labelled documents of
-either class. Defined results: null and empty texts have all-zero features and are scored like
-any; repeated rows score alike; without labels of both classes every score is one half; an
-empty table gives no rows.
+either class of at most ``max_bytes`` each. Defined results: null and empty texts have all-zero
+features and are scored like any; very long texts are compressed part by part; a value right at a
+bin's edge lies above it; repeated rows score alike; columns ``score``, ``held_out`` and
+``predicted`` of the input are replaced, others pass through; without labels of both classes
+every score is one half; an empty table gives no rows.
 """
 
 from __future__ import annotations

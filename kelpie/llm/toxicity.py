@@ -1,17 +1,22 @@
 """Toxicity by bags of subwords.
 
-A word is the bag of its character n-grams with marks at both ends, hashed to buckets; an
-n-gram has an embedding, a word is its n-grams' mean, a window of words is the mean over its
-places (a word that comes again counts once, so that repetition adds nothing), and a linear
-softmax over the window's vector says whether it is toxic. Embeddings and softmax
-are trained jointly in numpy. Labels are on documents, so of a toxic document the window that
-scores highest learns, and of a clean one its highest and some further windows do; a
-document's score is its highest window's, calibrated on every fifth document, which embeddings don't see. A misspelling shares most n-grams with its word.
+A word is the bag of its character n-grams with marks at both ends and of itself, hashed to
+buckets; each has an embedding, a word is its bag's mean, a window is the mean over its words,
+and a linear softmax says whether the window is toxic. Embeddings begin small and random and are
+trained jointly with the softmax in numpy, by Adagrad with a ridge; of each document a changing
+share of the words is dropped, so that few words alone don't make it sure. Labels are
+on documents: a document's logit is the smooth maximum (log of the mean exponential) over its
+half-overlapping windows, so that its likeliest windows learn most. A word that comes again
+within a window's length counts once, so that repetition adds nothing. A logistic curve on every
+fifth document, which embeddings don't see, turns logits into scores; both classes weigh alike.
+A misspelling shares most n-grams with its word.
 
 Every whole text is scored; only training looks at a bounded sample, ``per_class`` labelled
-documents of either class. Defined results: texts without words (null, empty) get the score of
-an empty bag, the softmax's bias; repeated rows score alike; without labels of both classes
-every score is one half; an empty table gives no rows.
+documents of either class of at most ``max_bytes`` each. Defined results: texts without words
+(null, empty) get the score of an empty bag, the softmax's bias; very long texts have as many
+windows as they need; equal windows tie; repeated rows score alike; a column ``score`` of the
+input is replaced, other columns pass through; without labels of both classes every score is one
+half; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,6 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +35,13 @@ from kelpie.llm.common import blocks, crc32_mod, labelled_sample, texts_of, tidy
 
 #: Documents of either class that training sees at most.
 PER_CLASS = 2500
-BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 8, (3, 4, 5), 48
+BUCKETS, DIM, GRAMS, WINDOW = 1 << 18, 4, (3, 4, 5, 6), 48
 WORDS = re.compile(r"\w+")
-SHRINK = 1.0
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def gram_ids(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the words one after another, and how many each word has."""
+    """Buckets of all n-grams of the words, and of the words whole, one word after another, and how many each has."""
     if len(words) > step:
         parts = [gram_ids(words[k : k + step], step) for k in range(0, len(words), step)]
         return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
@@ -46,7 +51,8 @@ def gram_ids(words: list[str], step: int = 20_000) -> tuple[np.ndarray, np.ndarr
     ends = np.repeat(np.cumsum(size), size)
     at = np.arange(len(cp))
     owner = np.repeat(np.arange(len(words)), size)
-    ids, whose = [], []
+    ids = [np.fromiter((xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) % BUCKETS for w in words), np.int32, len(words))]
+    whose = [np.arange(len(words))]
     for n in GRAMS:
         h = np.full(len(cp), n, np.uint64)
         for j in range(n):
@@ -76,108 +82,135 @@ def bag_means(table: np.ndarray, ids: np.ndarray, counts: np.ndarray, step: int
     return np.concatenate([means(table[ids[ends[k] : ends[min(k + step, len(counts))]]], counts[k : k + step]) for k in range(0, len(counts), step)] or [np.zeros((0, *table.shape[1:]))])
 
 
+def runs(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All places of the runs that begin so and have so many places."""
+    return np.repeat(begin - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+class Windows:
+    """The half-overlapping windows of some texts, as numbers of words in ``place``, which grows."""
+
+    def __init__(self, texts: list[str], place: dict[str, int]):
+        own = [self._kept(np.fromiter((place.setdefault(w, len(place)) for w in WORDS.findall(t.lower())), np.int64)) for t in texts]
+        n = np.fromiter(map(len, own), np.int64, len(own))
+        step = WINDOW // 2
+        #: Of each document how many windows, and its first one.
+        self.n = np.maximum(1, -(-(n - step) // step))
+        self.first = np.cumsum(self.n) - self.n
+        self.doc = np.repeat(np.arange(len(own)), self.n)
+        self.words = np.concatenate([*own, np.zeros(0, np.int64)])
+        nth = np.arange(len(self.doc)) - self.first[self.doc]
+        #: Of each window its first place among the words, and its size.
+        self.begin = (np.cumsum(n) - n)[self.doc] + nth * step
+        self.size = np.minimum(WINDOW, n[self.doc] - nth * step)
+
+    @staticmethod
+    def _kept(ids: np.ndarray) -> np.ndarray:
+        """Without words that came less than a window before."""
+        order = np.argsort(ids, kind="stable")
+        before = np.full(len(ids), -WINDOW)
+        same = ids[order[1:]] == ids[order[:-1]]
+        before[order[1:][same]] = order[:-1][same]
+        return ids[np.arange(len(ids)) - before >= WINDOW]
+
+    def logits(self, per_word: np.ndarray, bias: float) -> np.ndarray:
+        """Each document's smooth maximum over its windows' means."""
+        up_to = np.append(0.0, np.cumsum(per_word[self.words]))
+        m = (up_to[self.begin + self.size] - up_to[self.begin]) / np.maximum(self.size, 1) + bias
+        return smooth_maximum(m, self.first, self.n)[0]
+
+
+def smooth_maximum(m: np.ndarray, first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run the log of the mean exponential, and each value's share in it."""
+    top = np.maximum.reduceat(m, first)
+    e = np.exp(m - np.repeat(top, n))
+    total = np.add.reduceat(e, first)
+    return top + np.log(total / n), e / np.repeat(total, n)
+
+
 @dataclass
 class Model:
-    """What the softmax makes of each n-gram's embedding: the two logits' difference, and the bias."""
+    """What the softmax makes of each bucket's embedding: the two logits' difference, and the bias; and the curve to scores."""
 
     weight: np.ndarray
     bias: float
+    slope: float = 1.0
+    shift: float = 0.0
 
     def word_scores(self, words: list[str]) -> np.ndarray:
         ids, counts = gram_ids(words)
         return bag_means(self.weight, ids, counts)
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        """Of each text's highest window."""
-        split = [WORDS.findall(t.lower()) for t in texts]
+    def logits(self, texts: list[str]) -> np.ndarray:
         place: dict[str, int] = {}
-        ids = [np.fromiter((place.setdefault(w, len(place)) for w in s), np.int64, len(s)) for s in split]
-        per_word = np.append(self.word_scores(list(place)) if place else np.zeros(0), 0.0)
-        n = np.fromiter((max(1, -(-len(x) // WINDOW)) for x in ids), np.int64, len(ids))
-        first = np.cumsum(n) - n
-        rows = np.full(int(n.sum()) * WINDOW, len(place))  # the place beyond all words scores 0
-        for x, at in zip(ids, (first * WINDOW).tolist(), strict=True):
-            rows[at : at + len(x)] = x
-        rows = np.sort(rows.reshape(-1, WINDOW), 1)
-        own = per_word[rows]
-        own[:, 1:][rows[:, 1:] == rows[:, :-1]] = 0
-        out = np.maximum.reduceat(own.sum(1) / WINDOW, first)
-        return 1 / (1 + np.exp(-np.clip(out + self.bias, -500, 500)))
-
-
-def train(texts: list[str], labels: list[int], epochs: int = 5, rate: float = 0.5, seed: int = 5) -> Model:
-    """Adagrad on embeddings and softmax together, in batches of windows."""
+        windows = Windows(texts, place)
+        return windows.logits(self.word_scores(list(place)) if place else np.zeros(0), self.bias)
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        z = self.logits(texts) * self.slope + self.shift
+        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def train(texts: list[str], labels: list[int], steps: int = 500, rate: float = 1.0, dropped: tuple[float, float] = (0.2, 0.9), ridge: float = 2e-4, seed: int = 5) -> Model:
+    """Adagrad on embeddings and softmax together, in batches of 32 documents; the last third of the steps is averaged."""
     y = np.array(labels)
     if not 0 < y.sum() < len(y):
-        return Model(np.zeros(BUCKETS), 0.0)
+        return Model(np.zeros(BUCKETS, np.float32), 0.0)
     rng = np.random.default_rng(seed)
     place: dict[str, int] = {}
-    windows, doc = [], []
-    for i, t in enumerate(texts):
-        ids = [place.setdefault(w, len(place)) for w in WORDS.findall(t.lower())]
-        for lo in range(0, max(1, len(ids)), WINDOW):
-            windows.append(list(dict.fromkeys(ids[lo : lo + WINDOW])))
-            doc.append(i)
-    doc = np.array(doc)
-    size = np.fromiter(map(len, windows), np.int64, len(windows))
-    flat = np.fromiter((w for x in windows for w in x), np.int64, int(size.sum()))
-    del windows
-    begin = np.cumsum(size) - size
-    grams, counts = gram_ids(list(place))
+    all_windows = Windows(texts, place)
+    grams, counts = gram_ids(list(place)) if place else (np.zeros(0, np.int32), np.zeros(0, np.int64))
     gram_at = np.cumsum(counts) - counts
-    first = np.searchsorted(doc, np.arange(len(texts)))
-    apart = np.arange(len(texts)) % 5 == 4  # only calibrates
+    apart = np.arange(len(texts)) % 8 == 7  # only calibrates
     if len({*y[apart]}) < 2 or len({*y[~apart]}) < 2:
         apart[:] = False
-    # embeddings begin along one direction at how much oftener toxic documents hold an n-gram, shrunk where few do
-    docs_of, edge = np.zeros((2, BUCKETS)), np.append(begin[first], len(flat))
-    base = y[~apart].mean()
-    for k in np.flatnonzero(~apart):
-        w = np.unique(flat[edge[k] : edge[k + 1]])
-        c = counts[w]
-        docs_of[y[k], np.unique(grams[np.repeat(gram_at[w] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))])] += 1
-    share = (docs_of[1] + SHRINK * base) / (docs_of.sum(0) + SHRINK)
-    lift = np.clip(np.log(share / (1 - share)) - np.log(base / (1 - base)), -0.3, 6)
-    emb = rng.normal(0, 0.01, (BUCKETS, DIM))
-    emb[:, 0] += lift * WINDOW / 4
-    out, bias = rng.normal(0, 0.1, (DIM, 2)), np.zeros(2)
-    out[0] = -0.5, 0.5
-    seen_emb, seen_out, seen_bias = np.full(BUCKETS, 1e-6), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
-    for _ in range(epochs):
-        logit = bag_means(bag_means(emb @ (out[:, 1] - out[:, 0]), grams, counts), flat, size) * (size / WINDOW)
-        # of each document the highest window, of clean ones others too
-        best = np.maximum.reduceat(logit, first)
-        top = logit >= best[doc]
-        use = top | (y[doc] == 0) & (rng.random(len(doc)) < 0.12)
-        order = rng.permutation(np.flatnonzero(use & ~apart[doc]))
-        for lo in range(0, len(order), 64):
-            own = order[lo : lo + 64]
-            n = size[own]
-            rows = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            w = flat[rows]
-            c = counts[w]
-            g = grams[np.repeat(gram_at[w] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))]
-            v = means(means(emb[g], c), n) * (n / WINDOW)[:, None]
-            z = v @ out + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), y[doc[own]]] -= 1
-            d_v = p @ out.T
-            d_out, d_bias = v.T @ p, p.sum(0)
-            d_w = np.repeat(d_v / WINDOW, n, axis=0)
-            d_g = np.repeat(d_w / np.maximum(c, 1)[:, None], c, axis=0)
-            u, back = np.unique(g, return_inverse=True)
-            d_u = np.stack([np.bincount(back, d_g[:, k], len(u)) for k in range(DIM)], 1)
-            seen_emb[u] += (d_u**2).mean(1)
-            emb[u] -= rate * d_u / np.sqrt(seen_emb[u])[:, None]
-            seen_out += d_out**2
-            out -= rate * d_out / np.sqrt(seen_out)
-            seen_bias += d_bias**2
-            bias -= rate * d_bias / np.sqrt(seen_bias)
-    weight, shift = emb @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
-    best = np.maximum.reduceat(bag_means(bag_means(weight, grams, counts), flat, size) * size / WINDOW + shift, first)
-    slope, cut = calibrate(best[apart], y[apart]) if apart.any() else calibrate(best, y)
-    return Model(weight * slope, shift * slope + cut)
+    share = y[~apart].mean()
+    worth = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    emb = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32)
+    out, bias = rng.normal(0, 0.5, (DIM, 2)), np.zeros(2)
+    seen_emb, seen_out, seen_bias = np.full(BUCKETS, 1e-4), np.full((DIM, 2), 1e-4), np.full(2, 1e-4)
+    own_docs, mean, n_mean = np.flatnonzero(~apart), np.zeros(BUCKETS), 0
+    mean_bias, order, k = 0.0, own_docs[:0], 0
+    for step in range(steps):
+        if k >= len(order):
+            order, k = rng.permutation(own_docs), 0
+        docs = order[k : k + 32]
+        k += 32
+        n_win = all_windows.n[docs]
+        win = runs(all_windows.first[docs], n_win)
+        size = all_windows.size[win]
+        words = all_windows.words[runs(all_windows.begin[win], size)]
+        keep = rng.random(len(words)) >= np.repeat(np.repeat(rng.uniform(*dropped, len(docs)), n_win), size)
+        size, words = np.bincount(np.repeat(np.arange(len(win)), size)[keep], minlength=len(win)), words[keep]
+        u, back = np.unique(words, return_inverse=True)
+        c = counts[u]
+        g = grams[runs(gram_at[u], c)]
+        v = means(means(emb[g], c)[back], size)
+        z = v @ out + bias
+        logit, part = smooth_maximum(z[:, 1] - z[:, 0], np.cumsum(n_win) - n_win, n_win)
+        d_logit = (1 / (1 + np.exp(-np.clip(logit, -500, 500))) - y[docs]) * worth[docs]
+        d_win = part * np.repeat(d_logit, n_win)
+        d_z = np.stack([-d_win, d_win], 1)
+        d_out, d_bias = v.T @ d_z, d_z.sum(0)
+        d_word = np.bincount(back, np.repeat(d_win / np.maximum(size, 1), size), len(u)) / np.maximum(c, 1)
+        ug, place_of = np.unique(g, return_inverse=True)
+        along = out[:, 1] - out[:, 0]  # every embedding's gradient lies along it
+        d_u = np.bincount(place_of, np.repeat(d_word, c), len(ug))[:, None] * along + ridge * emb[ug]
+        seen_emb[ug] += (d_u**2).mean(1)
+        emb[ug] -= (rate * d_u / np.sqrt(seen_emb[ug])[:, None]).astype(np.float32)
+        seen_out += d_out**2
+        out -= 0.2 * rate * d_out / np.sqrt(seen_out)
+        seen_bias += d_bias**2
+        bias -= 0.2 * rate * d_bias / np.sqrt(seen_bias)
+        if step >= 2 * steps // 3 and step % 10 == 0 or step == steps - 1:
+            mean += emb @ (out[:, 1] - out[:, 0])
+            mean_bias, n_mean = mean_bias + bias[1] - bias[0], n_mean + 1
+    model = Model((mean / max(1, n_mean)).astype(np.float32), float(mean_bias / max(1, n_mean)))
+    if not n_mean:  # without any step: what chance began with
+        model = Model(emb @ (out[:, 1] - out[:, 0]).astype(np.float32), 0.0)
+    logit = all_windows.logits(bag_means(model.weight, grams, counts), model.bias)
+    model.slope, model.shift = calibrate(logit[apart], y[apart]) if apart.any() else calibrate(logit, y)
+    return model
 
 
 def calibrate(logit: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float, float]:

@@ -17,10 +17,10 @@ def auc(score, y):
     return (rank[y].mean() - (y.sum() - 1) / 2) / (~y).sum()
 
 
-@pytest.mark.parametrize(("name", "label", "least"), [("op1_toxicity", "toxic", 0.95), ("op2_quality_model", "quality", 0.98)])
-def test_held_out_documents(spark, name, label, least):
-    # toxic words differ by language: a few hundred toxic documents, as in sf0.1, teach too few (AUC 0.93, see README)
-    sf = "/root/testdata/check_s" if label == "toxic" else "/root/testdata/sf0.01"
+# what sf0.1 misses is junk whose words were overwritten after labelling; sf0.01 has 33 toxic documents to learn from
+@pytest.mark.parametrize(("name", "label", "sf", "least"), [("op1_toxicity", "toxic", "sf0.1", 0.95), ("op1_toxicity", "toxic", "sf0.01", 0.85), ("op2_quality_model", "quality", "sf0.01", 0.98)])
+def test_held_out_documents(spark, name, label, sf, least):
+    sf = f"/root/testdata/{sf}"
     labels = {r["doc_id"]: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = QUERIES[name](spark, sf).collect()
     assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count()
@@ -31,6 +31,37 @@ def test_held_out_documents(spark, name, label, least):
     assert auc(*(np.array(x) for x in zip(*own, strict=True))) >= least
 
 
+def plain_logit(model, text):
+    """The document's logit by loops."""
+    words = toxicity.WORDS.findall(text.lower())
+    own = [w for k, w in enumerate(words) if w not in words[max(0, k - toxicity.WINDOW + 1) : k]]
+    score = {w: float(np.mean(model.weight[toxicity.gram_ids([w])[0]].astype(float))) for w in set(own)}
+    half, m = toxicity.WINDOW // 2, []
+    for lo in range(0, max(1, len(own) - half), half):
+        part = [score[w] for w in own[lo : lo + toxicity.WINDOW]]
+        m.append((sum(part) / len(part) if part else 0.0) + model.bias)
+    return float(np.log(np.mean(np.exp(m))))
+
+
+def test_scores_equal_loops():
+    rng = np.random.default_rng(2)
+    m = toxicity.Model(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), 0.3, 1.5, -0.2)
+    texts = ["", "a", "a a a", *(" ".join(f"w{x}" for x in rng.integers(0, 200, n)) for n in (5, 47, 48, 49, 72, 73, 500)), "same " * 300 + "other"]
+    got = m.scores(texts)
+    for t, s in zip(texts, got, strict=True):
+        assert abs(s - 1 / (1 + np.exp(-(plain_logit(m, t) * 1.5 - 0.2)))) < 1e-6
+
+
+def test_joint_training_carries_the_signal():
+    rng = np.random.default_rng(4)
+    words = [f"word{k}x" for k in range(400)]
+    text = lambda bad: " ".join(rng.permutation([*rng.choice(words, 60), *(rng.choice(["scoundrel", "rascally", "villainous"], 2) if bad else [])]))
+    rows = [(text(k % 3 == 0), int(k % 3 == 0)) for k in range(400)]
+    seen, new = rows[:240], rows[240:]
+    found = {steps: auc(toxicity.train([t for t, _ in seen], [y for _, y in seen], steps=steps).scores([t for t, _ in new]), [y for _, y in new]) for steps in (0, 400)}
+    assert found[0] < 0.7 and found[400] > 0.95
+
+
 def test_misspellings_share_subwords():
     clean = [f"plain words and number {i} of them here" for i in range(80)]
     bad = [f"plain words you idiot number {i} here" for i in range(80)]
@@ -54,6 +85,20 @@ def test_odd_texts_and_missing_labels(spark, module):
     assert toxicity.score_texts(docs.limit(0), model).count() == 0
 
 
+def test_additive_scores_equal_loops_and_pairs_help():
+    rng = np.random.default_rng(6)
+    model = quality_model.AdditiveModel([np.array([0.0, 1.0]), np.array([0.5])], [rng.normal(size=3), rng.normal(size=2)], [(1, 0, rng.normal(size=(2, 3)))], 0.2)
+    x = np.array([[-1, 0], [0, 0.5], [0.5, 2], [1, 0.4], [9, 9]], float)
+    for row, got in zip(x, model.log_odds(model.bins(x)), strict=True):
+        i, j = sum(e <= row[0] for e in model.edges[0]), sum(e <= row[1] for e in model.edges[1])
+        assert abs(got - (0.2 + model.single[0][i] + model.single[1][j] + model.pairs[0][2][j, i])) < 1e-12
+    # good is either short words without marks or long words with them: no single feature tells
+    text = lambda long, marked: " ".join(("abcdefgh" if long else "abc") + ("#" if marked else "") for _ in range(rng.integers(20, 30)))
+    rows = [(text(a, b), int(a == b)) for a, b in rng.integers(0, 2, (600, 2))]
+    alone, both = (auc(quality_model.AdditiveModel.scores(quality_model.train([t for t, _ in rows], [y for _, y in rows], rounds=40, n_pairs=n), [t for t, _ in rows]), [y for _, y in rows]) for n in (0, 4))
+    assert both > 0.97 and both > alone + 0.1
+
+
 def test_additive_tables_learn_an_interaction():
     rng = np.random.default_rng(1)
     i, j = rng.integers(0, 8, (2, 4000))
@@ -75,6 +120,17 @@ def test_language(spark):
     assert np.mean([r["lang_pred"] == lang[r["doc_id"]] for r in held]) > 0.95
 
 
+def test_language_logits_equal_loops():
+    m = language.train(["the cat and the dog", "der Hund und die Katze", "le chat et le chien"] * 7, ["en", "de", "fr"] * 7)
+    for t in ("the dog", "Katze  und\nHund", "x"):
+        at, n = language.counts(t)
+        x = {int(k): (1 + np.log(c)) * m.idf[k] for k, c in zip(at, n, strict=True)}
+        norm = np.sqrt(sum(v * v for v in x.values()))
+        want = [m.bias[j] + sum(v / norm * m.weight[k, j] for k, v in x.items()) for j in range(3)]
+        assert np.allclose(m.logits(t), want)
+    assert (m.weight == 0).mean() > 0.9  # the lasso part keeps most weights at zero
+
+
 def test_language_odd_texts(spark):
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(ODD)], "doc_id long, text string, lang_pred string")
     model = language.train(["the cat and the dog", "der Hund und die Katze"] * 10, ["en", "de"] * 10)
