@@ -3,10 +3,13 @@
 The plan sees only how many pieces have each length (at most ``capacity`` counts), places them
 by best fit, longest first, and says where the r-th piece of a length goes. Documents then take
 their slots by rank within their length. Ranks come from counts of (length, bucket), so that a
-length that a third of all pieces share is spread over buckets of bounded size.
+length that a third of all pieces share is spread over buckets of bounded size. A piece of the
+whole capacity needs no rank: it is a sequence by itself.
 
-Defined results: null or empty text is the end id alone; repeated rows are packed once each;
-pieces of one length are ranked by id and place, ties in any order; an empty table gives no rows.
+Defined results: null or empty text is the end id alone; a very long text is cut into as many
+pieces as it needs; repeated rows are packed once each; pieces of one length are ranked by id and
+place, ties in any order; further columns of the documents are left out; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from kelpie.llm.tokens import encoder
 
 CAPACITY, END = 2048, 0
 #: Pieces that are ranked in one task's group, about.
-PER_BUCKET = 5_000
+PER_BUCKET = 1_000
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
@@ -102,8 +105,11 @@ def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to stored pieces."""
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # a row a length
+    counts.pop(capacity, None)
     runs = plan_best_fit(counts, capacity)
-    places = ranked(pieces, counts).select("doc_id", "piece", "start", "length", "ids_crc32", "rank")
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    places = ranked(pieces.filter(F.col("length") < capacity), counts).select(*names, "rank")
+    used = max((int(r[3] + -(-(r[2] - r[1]) // r[5])) for r in runs), default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = np.lexsort((runs[:, 1], runs[:, 0]))
@@ -116,7 +122,9 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq[at] + nth // each[at]), pa.array(offset[at] + nth % each[at] * own)], [*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return places.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    shared = places.mapInArrow(tidy(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    alone = pieces.filter(F.col("length") == capacity).select(*names, (F.monotonically_increasing_id() + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return shared.unionByName(alone)  # stored pieces are numbered alike whenever a task runs again
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

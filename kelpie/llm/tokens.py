@@ -4,6 +4,8 @@ A pre-token never runs across a change from a visible character to a space (a by
 vocabulary takes the space to what follows, a word vocabulary drops it), so a text falls into
 pieces that can be encoded one by one with the same result. Pieces are hashed all at once with
 numpy, each distinct one goes through the tokenizers library once, and its ids are then reused.
+A special token's string in a text is that token, as the library has it; what lies between such
+strings is encoded by itself.
 """
 
 from __future__ import annotations
@@ -77,7 +79,11 @@ class Store:
 class Encoder:
     def __init__(self, path: str, keeps_space: bool):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.special = {t.content: i for i, t in added.items()}
+        #: Whether added tokens are found as plain strings; any others are left to the library.
+        self.simple = not any(t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values())
+        self.between = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.keeps_space = keeps_space
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level spelling leaves as they are
         hidden = [b for b in range(256) if b not in shown]
@@ -153,7 +159,30 @@ class Encoder:
         return np.concatenate(out)
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text."""
+        """Ids of each text, as the library's encode(text, add_special_tokens=False) gives them."""
+        if not self.simple:
+            return [np.frombuffer(x, "<u4") for x in self._encode(texts)]
+        if not self.between or not any(map(self.between.search, texts)):
+            return self._batch(texts)
+        parts, plans = [], []
+        for t in texts:
+            at, plan = 0, []
+            for m in self.between.finditer(t):
+                parts.append(t[at : m.start()])
+                plan.append(self.special[m[0]])
+                at = m.end()
+            parts.append(t[at:])
+            plans.append(plan)
+        coded, out = iter(self._batch(parts)), []
+        for plan in plans:
+            ids = [next(coded)]
+            for i in plan:
+                ids += [np.array([i], np.uint32), next(coded)]
+            out.append(np.concatenate(ids) if plan else ids[0])
+        return out
+
+    def _batch(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts without special tokens' strings."""
         if not texts:
             return []
         if len(self.store.keys) > STORE_PIECES:

@@ -1,4 +1,5 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +17,6 @@ ODD = ["", " ", "  a", "a ", "a  b", "a \n b\n\nc ", "\tx\x1c y", "don't  we'll"
 
 def plain(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda x: t.encode(x, add_special_tokens=False).ids
 
 
@@ -53,6 +53,11 @@ def test_token_files_round_trip(spark, sf):
         want.append((at, i, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
         at += len(ids)
     assert got == want
+    few = token_files.write_tokens(docs, BYTE, shard_ids=5000)
+    assert few.count() > 5 and few.filter("n_tokens < 5000").count() <= 5  # a task's last one may be short
+    assert sorted((r["start"], r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in token_files.read_tokens(few).collect()) == want
+    named = docs.selectExpr("cast(doc_id as string) AS doc_id", "text")
+    assert sorted((r["doc_id"] or "", r["ids_crc32"]) for r in token_files.read_tokens(token_files.write_tokens(named, BYTE), "string").collect()) == sorted(("" if x[1] is None else str(x[1]), x[3]) for x in want)
     flat = []
     for s in sorted(shards.collect()):
         reader = token_files.ShardReader(s["folder"], s["shard"])
@@ -60,6 +65,13 @@ def test_token_files_round_trip(spark, sf):
             assert len(reader.ids(i)) == token_files.SEQUENCE
             flat += reader.ids(i)[reader.mask(i)].tolist()
     assert flat == stream
+    folder = shards.first()["folder"].removeprefix("file://")
+    names = {r["shard"] for r in shards.collect()}
+    call = min(names).split("-")[0]
+    Path(folder, f"tokens-{call}-000000-00000-dead.arrows").touch()
+    Path(folder, "tokens-other-000000-00000-live.arrows").touch()
+    token_files.sweep(f"file://{folder}", call, names)
+    assert len(list(Path(folder).iterdir())) == 2 * len(names) + 1
     empty = token_files.write_tokens(docs.limit(0), BYTE)
     assert token_files.read_tokens(empty).count() == 0
 
