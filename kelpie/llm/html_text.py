@@ -9,14 +9,16 @@ writes in many layouts; Viterbi decodes.
 
 Defined results: null and empty pages, and pages without main text, give the empty string;
 broken markup is read as far as it goes (elements that aren't closed end with their parents, a
-``<`` that opens no tag is text); very long pages are read whole; repeated rows are extracted
-alike; an empty table gives no rows.
+``<`` that opens no tag is text), in time that follows its length; very long pages are read whole;
+of two equally likely states a block is not main text; repeated rows are extracted alike; a
+column ``text`` of the input is replaced and ``html`` left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,7 +30,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from kelpie.llm.common import tidy
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
+OPENS = re.compile(r"<(?:!--|[!?]|(/?)([a-zA-Z][^\s/<>]*+))")
+STOPS = re.compile(r"[>\"']")
+#: Open block elements that are told apart; deeper ones count as their ancestor at this depth.
+DEPTH = 50
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-main="1"')
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
@@ -74,13 +79,83 @@ def groups_of(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(found - {"main"} or found))  # "comment-body" is no body
 
 
+class Ends:
+    """Where tags end: the first ``>`` outside quotes or, where quotes don't close, the first one.
+
+    What follows a place outside quotes is looked at once, so that all tags of a page together
+    take time in proportion to its length.
+    """
+
+    def __init__(self, html: str):
+        self.at = [m.start() for m in STOPS.finditer(html)]
+        self.sign = [html[k] for k in self.at]
+        # of each sign the next one that is equal, by its number
+        after, last = [0] * len(self.at), {}
+        for k in range(len(self.at) - 1, -1, -1):
+            after[k] = last.get(self.sign[k], -1)
+            last[self.sign[k]] = k
+        self.after, self.known = after, {}
+        self.next_end, end = [0] * (len(self.at) + 1), -1
+        self.next_end[-1] = -1
+        for k in range(len(self.at) - 1, -1, -1):
+            end = k if self.sign[k] == ">" else end
+            self.next_end[k] = end
+
+    def __call__(self, place: int) -> int:
+        """The place of the tag's end, or -1."""
+        first = k = bisect_left(self.at, place)
+        path = []
+        while True:
+            if k in self.known:
+                found = self.known[k]
+                break
+            path.append(k)
+            if k >= len(self.at):
+                found = -1
+                break
+            if self.sign[k] == ">":
+                found = k
+                break
+            if self.after[k] < 0:
+                found = -1
+                break
+            k = self.after[k] + 1
+        for x in path:
+            self.known[x] = found
+        found = found if found >= 0 else self.next_end[first]
+        return self.at[found] if found >= 0 else -1
+
+
+def markup(html: str) -> Iterator[tuple[int, int, str, bool, str]]:
+    """(begin, end, tag, whether it closes, attributes) of tags, and of comments and declarations without a tag.
+
+    The receiver may send the place from which to go on.
+    """
+    ends, at = Ends(html), 0
+    while m := OPENS.search(html, at):
+        begin, tag = m.start(), m[2]
+        if tag:
+            end = ends(m.end())
+        elif m[0] == "<!--":
+            end = html.find("-->", m.end())
+            end = len(html) - 1 if end < 0 else end + 2
+        else:
+            end = html.find(">", m.end())
+        if end < 0:  # no sign ends anything any more; what begins a comment runs to the end
+            begin = html.find("<!--", m.end())
+            if begin >= 0:
+                yield begin, len(html), "", False, ""
+            return
+        at = (yield begin, end + 1, (tag or "").lower(), bool(m[1]), html[m.end() : end] if tag else "") or end + 1
+
+
 def leaves(html: str | None) -> list[Leaf]:
     """Leaf blocks in page order."""
     out: list[Leaf] = []
     stack: list[tuple[str, tuple[str, ...]]] = []
     marks: list[int] = []  # how deep each labelled element lies
     chunks: list[str] = []
-    linked, in_link, at = 0, False, 0
+    linked, in_link, at, beyond = 0, False, 0, 0
     html = html or ""
 
     def flush() -> None:
@@ -93,7 +168,9 @@ def leaves(html: str | None) -> list[Leaf]:
         linked = 0
 
     def pop(to: int) -> None:
+        nonlocal beyond
         del stack[to:]
+        beyond = 0
         while marks and marks[-1] > to:
             marks.pop()
 
@@ -104,56 +181,62 @@ def leaves(html: str | None) -> list[Leaf]:
         if in_link:
             linked += len(text.strip())
 
-    while m := TOKEN.search(html, at):
-        if m.start() > at:
-            add(html[at : m.start()])
-        at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
-            continue
-        tag, closing, attributes = tag.lower(), m[1] or m[4], m[3] or m[6] or ""
+    reader = markup(html)
+    token = next(reader, None)
+    while token:
+        begin, end, tag, closing, attributes = token
+        if begin > at:
+            add(html[at:begin])
+        at = end
         if tag in SKIPPED:
             if not closing and not attributes.endswith("/"):
-                end = re.compile(rf"</{tag}\s*>?", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                last = re.compile(rf"</{tag}\s*>?", re.I).search(html, at)
+                at = last.end() if last else len(html)
         elif tag == "a":
             in_link = not closing
-        elif tag == "br":
+        elif tag in ("br", "img", "input"):
             chunks.append(" ")
-        elif tag in BLOCKS or tag in ("img", "input"):
-            if tag in ("img", "input"):
-                chunks.append(" ")
-                continue
+        elif tag in BLOCKS:
             flush()
             in_link = False
-            if tag in VOID:
-                continue
             same = HEADINGS if tag in HEADINGS else (tag,)
-            if closing:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in same:
-                        pop(k)
-                        break
-                continue
-            if stack and (stack[-1][0] == "p" or tag in HEADINGS and stack[-1][0] in HEADINGS):
-                pop(len(stack) - 1)
-            if tag in CLOSES:
-                own, holders = CLOSES[tag]
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] in own:
-                        pop(k)
-                        break
-                    if stack[k][0] in holders:
-                        break
-            if tag == "body":
-                pop(0)
-            stack.append((tag, groups_of(attributes)))
-            if attributes and LABEL.search(attributes):
-                marks.append(len(stack))
+            if tag in VOID:
+                pass
+            elif closing:
+                if beyond:
+                    beyond -= 1
+                else:
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in same:
+                            pop(k)
+                            break
+            else:
+                if stack and (stack[-1][0] == "p" or tag in HEADINGS and stack[-1][0] in HEADINGS):
+                    pop(len(stack) - 1)
+                if tag in CLOSES:
+                    own, holders = CLOSES[tag]
+                    for k in range(len(stack) - 1, -1, -1):
+                        if stack[k][0] in own:
+                            pop(k)
+                            break
+                        if stack[k][0] in holders:
+                            break
+                if tag == "body":
+                    pop(0)
+                if len(stack) >= DEPTH:
+                    beyond += 1
+                else:
+                    stack.append((tag, groups_of(attributes)))
+                    if attributes and LABEL.search(attributes):
+                        marks.append(len(stack))
+        try:
+            token = reader.send(at)
+        except StopIteration:
+            token = None
     if at < len(html):
         add(html[at:])
     flush()
-    return [x for x in out if not any(t == "head" for t, _ in x.stack)]
+    return [x for x in out if not any(t == "head" for t, _ in x.stack[:3])]
 
 
 def stack_features(stack: tuple) -> list[str]:
@@ -349,11 +432,15 @@ def labelled_page(seed: int) -> str:
         top.append(boxed(["header", "div"], ["", "header", "masthead", "site-header"], pick([f"<h1>{text(1, 4)}</h1><p>{text(1, 8)}</p>", f"<a href=/>{text(1, 3)}</a>", text(1, 10)])))
         if "<div>" in top[-1]:
             top[-1] = top[-1].replace("<div>", '<div class="header">', 1)
+    # bars of links whose names tell nothing
+    bar = lambda: boxed(["div", "div", "p"], ["", "", word(), word()], pick([" | ", " ", " &middot; ", "&nbsp;"]).join(f'<a href="/{word()}">{text(1, 2)}</a>' for _ in range(rng.randint(2, 7))))
+    top += [bar() for _ in range(rng.randint(0, 1))]
     top += [junk() for _ in range(rng.randint(0, 3))]
     side = boxed(["aside", "aside", "div"], ["sidebar", "widget", "side"], f"<h3>{text(1, 3)}</h3>" + pick([f"<ul>{links(2, 8)}</ul>", f"<p>{text(3, 40)}</p>"])) if rng.random() < 0.5 else ""
     if rng.random() < 0.4:
         bottom.append(comments())
     bottom += [junk() for _ in range(rng.randint(0, 2))]
+    bottom += [bar() for _ in range(rng.randint(0, 1))]
     if rng.random() < 0.9:
         bottom.append(boxed(["footer", "footer", "div"], ["", "footer", "site-footer", "copyright"], pick(["&copy; ", "&copy; ", ""]) + f"{word()}.example {pick(['&middot; ', '| ', ''])}{text(1, 20)}" + pick(["", f"<ul>{links(1, 5)}</ul>"])))
         if bottom[-1].startswith("<div>"):

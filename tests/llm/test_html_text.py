@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pytest
@@ -51,6 +52,60 @@ def test_layout(model):
     assert model.extract(PAGE) == "Big & bold news\nFirst para bold after © and <tag> a < b.\nSecond! para, with words.\nPoint one\nPoint two, longer text."
 
 
+# written by hand, apart from the generator's layouts; the last ones' names tell nothing
+LAYOUTS = {
+    "blog": (
+        """<html><body class="home blog"><header id="masthead"><h1><a href="/">My Weblog</a></h1><p>Thoughts on things</p></header>
+<nav id="site-navigation"><ul><li><a href="/">Home</a></li><li><a href="/about">About me</a></li></ul></nav>
+<div id="primary"><main id="main"><article class="post hentry"><h2 class="entry-title">Making bread at home</h2><div class="entry-meta">By Ann, 3 May</div>
+<div class="entry-content"><p>Flour, water, salt and time are all that you need for a loaf.</p><p>Mix them in the evening; bake in the <a href="/m">morning</a>, when the oven is hot.</p></div></article>
+<div id="comments" class="comments-area"><h3>2 replies</h3><ol class="comment-list"><li class="comment"><p>Mine never rises, what do I do wrong?</p></li></ol></div></main></div>
+<aside id="secondary" class="widget-area"><h3>Archive</h3><ul><li><a href="/5">May</a></li><li><a href="/4">April</a></li></ul></aside>
+<footer id="colophon">Proudly served. &copy; Ann</footer></body></html>""",
+        ["Making bread at home", "Flour, water, salt and time are all that you need for a loaf.", "Mix them in the evening; bake in the morning, when the oven is hot."],
+    ),
+    "news": (
+        """<body><div class="cookie-banner"><p>This site uses cookies to measure visits. Do you agree?</p><button>Yes</button></div>
+<header class="site-header"><a href="/">The Daily</a></header><ul class="breadcrumbs"><li><a href="/">Home</a></li><li><a href="/w">World</a></li></ul>
+<article><h1>Bridge opens after ten years</h1><p>The bridge over the river was opened on Monday, ten years after work began.</p>
+<div class="ad-slot"><p>Shoes, half price, this week alone!</p></div>
+<p>&ldquo;We had stopped believing in it,&rdquo; said a man who lives nearby.</p><blockquote>It cost twice as much as planned, the town says.</blockquote></article>
+<div class="related"><h3>More stories</h3><ul><li><a href="/1">Tunnel closed</a></li><li><a href="/2">Ferry sold</a></li></ul></div>
+<form class="newsletter"><label>Get our letter</label><input name=m><button>Subscribe</button></form><footer><p>&copy; The Daily, all rights reserved.</p></footer></body>""",
+        ["Bridge opens after ten years", "The bridge over the river was opened on Monday, ten years after work began.", "“We had stopped believing in it,” said a man who lives nearby.", "It cost twice as much as planned, the town says."],
+    ),
+    "plain tags": (
+        """<html><body><nav><a href=/>Start</a> <a href=/x>Index</a></nav><h1>On the tides</h1><p>Twice a day the sea comes in, and twice it goes out again.
+<p>The moon does most of this; the sun, far heavier but farther off, does the rest.<ul><li>Spring tides come with a new or a full moon.<li>Neap tides come in between, a week later.</ul>
+<footer>Last changed in June, &copy; the harbour office</footer></body></html>""",
+        ["On the tides", "Twice a day the sea comes in, and twice it goes out again.", "The moon does most of this; the sun, far heavier but farther off, does the rest.", "Spring tides come with a new or a full moon.", "Neap tides come in between, a week later."],
+    ),
+    "untold names": (
+        """<body><div class="x1"><a href="/">Home</a> | <a href="/a">Products</a> | <a href="/b">Jobs</a></div><div class="x2"><h1>How paper is made</h1>
+<p>Wood is cut into chips, cooked, washed and beaten until its fibres part from one another.</p><p>What comes out, a thin grey soup, is poured on a moving sieve, pressed and dried.</p></div>
+<div class="x3"><a href="/p1">Ink</a> <a href="/p2">Glue</a> <a href="/p3">Card</a></div></body>""",
+        ["How paper is made", "Wood is cut into chips, cooked, washed and beaten until its fibres part from one another.", "What comes out, a thin grey soup, is poured on a moving sieve, pressed and dried."],
+    ),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts_by_hand(model, name):
+    page, want = LAYOUTS[name]
+    assert model.extract(page).split("\n") == want
+
+
+@pytest.mark.parametrize("unit", ['<a "', "<a ", '<a ">"', "<div>", "<li></ul>", "<p '", "<!--", "<!", "</ul>", "<a '\">", "<td>"])
+def test_broken_pages_take_time_in_proportion(model, unit):
+    def seconds(n):
+        began = time.process_time()
+        h.leaves(unit * n)
+        h.leaves(unit * n + ">")
+        return time.process_time() - began
+
+    assert seconds(120_000) < 20 * max(0.05, seconds(30_000))
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "plain text", "</p></div>", "<script>never closed", "<p class=\"open>text</p><p>next</p>", "<!-- open", "<div>" * 3000 + "deep", "&amp &bogus; &#x110000; &#0;", "<article>" + "<p>words, and words.</p>" * 20_000])
 def test_odd_pages(model, page):
     text = model.extract(page)
