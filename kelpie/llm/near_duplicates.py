@@ -7,28 +7,36 @@ at which a link right at the threshold has the target recall, so that every link
 others the table holds.
 
 Nodes that meet form candidate clusters. A cluster of bounded size is verified whole, in pairs of
-blocks. In a larger one (very many near copies of one text, or chance chains) each trie node is
-verified by itself, in pairs of blocks, and a link counts in the first tree where its ends meet. Links
-are counted where they are verified and are never written out as pairs; only a spanning forest
-of them is, for the connected classes. Exact similarities come from whole shingle sets.
+blocks. Of a larger one (very many near copies of one text, or chance chains) each text goes once
+to a block of its largest trie node, which keeps the shingle sets in a file; blocks that share
+trie nodes are then compared as references to their files, for the pairs that meet. Links
+are counted where they are verified and are never written out as pairs; only links between
+blocks' components are, for the connected classes. Exact similarities come from whole shingle sets.
 
 Defined results: words are runs of characters other than ASCII white space; a text of one to
 four words is one shingle; texts without words link to nothing, but equal ones are copies (null
-counts as empty); a class is a connected component of links and copies, named by its smallest
-doc_id (nulls last); repeated ids are judged by their texts; an empty table gives no rows.
+counts as empty); very long texts count by all their shingles; a similarity right at the threshold
+is a link; a class is a connected component of links and copies, named by its smallest doc_id
+(nulls last); repeated and null ids are judged by their texts; further columns of the documents
+are not read; an empty table gives no rows. Where even the shortest prefix misses the recall, a
+warning says so.
 """
 
 from __future__ import annotations
 
+import uuid
+import warnings
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import stored, texts_of, tidy
+from kelpie.llm.common import shared_dir, stored, texts_of, tidy
 
 TREES, DEPTH, SHORTEST, WORDS = 24, 6, 4, 5
 #: Members of clusters that are verified whole, in pairs of blocks of so many; a bound for the rows a join may broadcast (about 100 bytes each).
@@ -62,8 +70,13 @@ def minima(own: np.ndarray, step: int = 1 << 14) -> np.ndarray:
     return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
+def with_digest(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and a 64-bit digest, by which texts are found again whatever their ids."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.xxhash64("text"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (128 bits of the text), signature (null without words)."""
+    """doc_id, copy (128 bits of the text), digest, signature (null without words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -72,10 +85,10 @@ def signatures(docs: DataFrame) -> DataFrame:
                 copies.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
                 own = shingles(t)
                 rows.append(minima(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "copy", "signature"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), b.column("digest"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "copy", "digest", "signature"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"doc_id {kind}, copy binary, signature array<int>")
+    return with_digest(docs).mapInArrow(tidy(run), f"doc_id {kind}, copy binary, digest long, signature array<int>")
 
 
 def similarities(sets: list[np.ndarray]) -> np.ndarray:
@@ -134,8 +147,12 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def depth_for(threshold: float, recall: float) -> int:
-    """The longest prefix at which each link has the recall, or the shortest one that there is."""
-    return next((d for d in range(DEPTH, SHORTEST, -1) if found_at(np.array(threshold), d) >= recall), SHORTEST)
+    """The longest prefix at which each link has the recall, or, with a warning, the shortest one that there is."""
+    for d in range(DEPTH, SHORTEST - 1, -1):
+        if found_at(np.array(threshold), d) >= recall:
+            return d
+    warnings.warn(f"links of similarity {threshold} are found with a recall of {float(found_at(np.array(threshold), SHORTEST)):.4f}, not {recall}", stacklevel=2)
+    return SHORTEST
 
 
 def meeting(nodes: DataFrame, depth: int) -> DataFrame:
@@ -152,29 +169,34 @@ def meeting(nodes: DataFrame, depth: int) -> DataFrame:
     return stored(rows.join(shared, "key"), "met")
 
 
+def genuine(text: str, copy: bytes) -> bool:
+    return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) == copy
+
+
+def smallest_reachable(link: np.ndarray) -> np.ndarray:
+    """Of each row of a symmetric matrix of links the smallest row in its component."""
+    root = np.arange(len(link))
+    while True:
+        new = np.minimum(root, np.where(link, root[None, :], len(link)).min(1, initial=len(link)))
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def verify(threshold: float):
-    """Kernel over rows ordered by group: node, copy, text, group, side (a block pair's half, or 0), tree (or -1), keys."""
+    """Kernel over rows ordered by group: node, copy, text, group, side (a block pair's half, or 0)."""
 
     def judged(rows: list[dict]) -> Iterator[tuple[int, int, int]]:
-        rows = list({(r["node"], r["side"]): r for r in rows if xxhash.xxh3_128_digest((r["text"] or "").encode("utf-8", "surrogatepass")) == r["copy"]}.values())
+        rows = list({(r["node"], r["side"]): r for r in rows if genuine(r["text"], r["copy"])}.values())
         if len(rows) < 2:
             return
-        s = similarities([shingles(r["text"] or "") for r in rows])
-        link = s >= threshold - 1e-12
+        link = similarities([shingles(r["text"]) for r in rows]) >= threshold - 1e-12
         np.fill_diagonal(link, False)
-        if (tree := rows[0]["tree"]) >= 0:
-            keys = np.array([r["keys"] for r in rows])
-            for t in range(tree):  # met in an earlier tree: counted there
-                link &= keys[:, None, t] != keys[None, :, t]
         if rows[0]["group"]["i"] != rows[0]["group"]["j"]:  # of two different blocks only what lies across
             side = np.array([r["side"] for r in rows])
             link &= side[:, None] != side[None, :]
-        root = np.arange(len(rows))
-        while True:  # smallest index that is reachable
-            new = np.minimum(root, np.where(link, root[None, :], len(rows)).min(1))
-            if (new == root).all():
-                break
-            root = new
+        root = smallest_reachable(link)
         node = np.array([r["node"] for r in rows])
         n = link.sum(1)
         for i in np.flatnonzero(n):
@@ -182,10 +204,6 @@ def verify(threshold: float):
             yield int(node[i]), int(n[i]), int(node[own].min())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(rows):
-            cols = list(zip(*rows, strict=True)) or [[]] * 3
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "root"])
-
         group, held = None, []
         for b in batches:
             done = []
@@ -194,12 +212,183 @@ def verify(threshold: float):
                     done += judged(held)
                     group, held = r["group"], []
                 held.append(r)
-            yield out(done)
-        yield out(list(judged(held)))
+            yield found_rows(done)
+        yield found_rows(list(judged(held)))
+
+    return run
+
+
+FOUND = "node long, links long, root long"
+
+
+def found_rows(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [[]] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["node", "links", "root"])
+
+
+def whole_texts(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows (node, copy_id, digest, ...) with their texts. Ids and digests meet, so that no id is hot.
+
+    Most texts have no near copy and stay where they are; of repeated rows each task hands on one.
+    """
+    if rows.count() <= BROADCAST_ROWS:
+        rows = F.broadcast(rows)
+    texts = with_digest(docs).select(F.col("doc_id").alias("_id"), "text", F.col("digest").alias("_digest"))
+    both = rows.join(texts, (F.col("_digest") == F.col("digest")) & F.col("_id").eqNullSafe(F.col("copy_id"))).drop("_id", "_digest", "copy_id", "digest")
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = set()
+        for b in batches:
+            keys = list(zip(b.column("node").to_pylist(), map(str, b.column("group").to_pylist()), strict=True))
+            new = [k not in seen and not seen.add(k) for k in keys]
+            yield b.filter(pa.array(new, pa.bool_()))
+
+    return both.mapInArrow(once, both.schema)
+
+
+class BlockFile:
+    """A block of a large cluster: its nodes, their trie keys by tree, shingle sets and components within the block."""
+
+    def __init__(self, path: str):
+        fs, name = pafs.FileSystem.from_uri(path)
+        with fs.open_input_file(name) as f:
+            t = pa.ipc.open_stream(f).read_all()
+        self.node, self.root = t["node"].to_numpy(), t["root"].to_numpy()
+        self.keys = np.array(t["keys"].to_pylist(), np.int64).reshape(-1, TREES)
+        self.met = np.array(t["met"].to_pylist(), bool).reshape(-1, TREES)
+        self.sets = [np.array(x.as_py(), np.uint64) if x.values is None else x.values.to_numpy() for x in t["shingles"]]
+
+
+def meet(a: BlockFile, b: BlockFile) -> np.ndarray:
+    """Which nodes of two blocks share a trie node."""
+    out = np.zeros((len(a.node), len(b.node)), bool)
+    for t in range(TREES):
+        out |= (a.keys[:, None, t] == b.keys[None, :, t]) & a.met[:, None, t] & b.met[None, :, t]
+    return out
+
+
+def across(a: list[np.ndarray], b: list[np.ndarray], width: int = 1 << 14) -> np.ndarray:
+    """Jaccard similarities of the sets of one list and those of another."""
+    flat = [np.concatenate(x) for x in (a, b)]
+    values = np.intersect1d(np.unique(flat[0]), np.unique(flat[1]), assume_unique=True)
+    parts = []
+    for sets, x in zip((a, b), flat, strict=True):
+        at = np.minimum(np.searchsorted(values, x), max(0, len(values) - 1))
+        ok = values[at] == x if len(values) else np.zeros(len(x), bool)
+        who, col = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[ok], at[ok]
+        order = np.argsort(col, kind="stable")
+        parts.append((who[order], col[order]))
+    both = np.zeros((len(a), len(b)))
+    for lo in range(0, len(values), width):
+        m = []
+        for sets, (who, col) in zip((a, b), parts, strict=True):
+            x, z = np.searchsorted(col, [lo, lo + width])
+            m.append(np.zeros((len(sets), min(width, len(values) - lo)), np.float32))
+            m[-1][who[x:z], col[x:z] - lo] = 1
+        both += m[0] @ m[1].T
+    size = [np.array([len(s) for s in x]) for x in (a, b)]
+    return both / np.maximum(size[0][:, None] + size[1][None, :] - both, 1)
+
+
+def write_blocks(threshold: float, folder: str):
+    """Kernel over rows ordered by block: node, copy, text, group (the block's number), keys, met.
+
+    Gives block, file and the block's own links: node, links, root.
+    """
+
+    def written(rows: list[dict]) -> Iterator[tuple]:
+        rows = list({r["node"]: r for r in rows if genuine(r["text"], r["copy"])}.values())
+        if not rows:
+            return
+        sets, node = [shingles(r["text"]) for r in rows], np.array([r["node"] for r in rows])
+        keys, met = np.array([r["keys"] for r in rows]), np.array([r["met"] for r in rows])
+        share = np.zeros((len(rows), len(rows)), bool)
+        for t in range(TREES):
+            share |= (keys[:, None, t] == keys[None, :, t]) & met[:, None, t] & met[None, :, t]
+        link = share & (across(sets, sets) >= threshold - 1e-12)
+        np.fill_diagonal(link, False)
+        root = node[smallest_reachable(link)]
+        fs, path = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(path, recursive=True)
+        name = f"block-{uuid.uuid4().hex}.arrows"
+        t = pa.table({"node": node, "root": root, "keys": pa.array(keys.tolist(), pa.list_(pa.int64())), "met": pa.array(met.tolist(), pa.list_(pa.bool_())), "shingles": pa.array(sets, pa.list_(pa.uint64()))})
+        with fs.open_output_stream(f"{path}/{name}") as f, pa.ipc.new_stream(f, t.schema) as w:
+            w.write_table(t)
+        for k, n in enumerate(link.sum(1).tolist()):
+            yield rows[0]["group"], f"{folder}/{name}", int(node[k]), n, int(root[k])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows):
+            cols = list(zip(*rows, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["block", "file", "node", "links", "root"])
+
+        group, held = None, []
+        for b in batches:
+            for r in b.to_pylist():
+                if r["group"] != group:
+                    yield out(list(written(held)))
+                    group, held = r["group"], []
+                held.append(r)
+        yield out(list(written(held)))
+
+    return run
+
+
+def compare_blocks(threshold: float):
+    """Kernel over (file, other) ordered by file: a file's links into all others, and the components that they join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load = lru_cache(maxsize=4)(BlockFile)
+        file, own, n = None, None, None
+
+        def done() -> pa.RecordBatch:
+            return found_rows([(int(own.node[k]), int(n[k]), int(own.root[k])) for k in np.flatnonzero(n)])
+
+        for b in batches:
+            for x, y in zip(b.column("file").to_pylist(), b.column("other").to_pylist(), strict=True):
+                if x != file:
+                    if own is not None:
+                        yield done()
+                    file, own = x, BlockFile(x)
+                    n = np.zeros(len(own.node), np.int64)
+                other = load(y)
+                share = meet(own, other)
+                rows, cols = np.flatnonzero(share.any(1)), np.flatnonzero(share.any(0))
+                if not len(rows):
+                    continue
+                link = share[np.ix_(rows, cols)] & (across([own.sets[k] for k in rows], [other.sets[k] for k in cols]) >= threshold - 1e-12)
+                n[rows] += link.sum(1)
+                if x < y:  # the other way round says the same
+                    i, j = np.nonzero(link)
+                    yield found_rows([(int(p), 0, int(q)) for p, q in {*zip(own.root[rows[i]].tolist(), other.root[cols[j]].tolist(), strict=True)}])
+        if own is not None:
+            yield done()
 
     return run
 
 
+def crowd_links(docs: DataFrame, big: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """Links of the nodes of large clusters that share a trie node: node, links, root. Each text moves once."""
+    own = met.join(big.select("node"), "node", "left_semi")
+    top = own.groupBy("node").agg(F.max(F.struct("n", "tree", "key")).alias("top"), F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("path"))  # at most one a tree
+    at = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.try_element_at("path", t))
+    part = F.pmod(F.xxhash64("node"), F.ceil(F.col("top.n") / BLOCK))
+    placed = big.join(top, "node").select(
+        "node", "copy", "copy_id", "digest", F.xxhash64("top.tree", "top.key", part).alias("group"),
+        F.transform(at, lambda x: F.coalesce(x, F.lit(0))).alias("keys"), F.transform(at, lambda x: x.isNotNull()).alias("met"),
+    )
+    placed = stored(placed, "placed")
+    rows = whole_texts(docs, placed).repartition("group").sortWithinPartitions("group")
+    blocks = stored(rows.mapInArrow(tidy(write_blocks(threshold, shared_dir(docs.sparkSession, "blocks"))), f"block long, file string, {FOUND}"), "blocks")
+    files = blocks.select("block", "file").distinct()
+    seen = placed.select(F.col("group").alias("block"), F.posexplode(F.arrays_zip("keys", "met")).alias("tree", "x")).filter("x.met").select("block", "tree", F.col("x.keys").alias("key")).distinct()
+    pairs = seen.join(seen.withColumnRenamed("block", "against"), ["tree", "key"]).filter("block <> against").select("block", "against").distinct()
+    jobs = pairs.join(files, "block").join(files.select(F.col("block").alias("against"), F.col("file").alias("other")), "against").select("file", "other")
+    more = stored(jobs.repartition("file").sortWithinPartitions("file", "other").mapInArrow(tidy(compare_blocks(threshold)), FOUND), "across")
+    return blocks.select("node", "links", "root").unionByName(more)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """doc_id, class_id, copy_id (the smallest id of the same text), n_links (of the text to different ones)."""
     return classes_of(docs, threshold, recall).select("doc_id", "class_id", "copy_id", "n_links")
@@ -219,10 +408,10 @@ def with_copies(df: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """The rows of near_duplicates with copy and root, which tell texts and classes apart where ids are repeated or null."""
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.first("signature").alias("signature"))
+    nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.first("digest").alias("digest"), F.first("signature").alias("signature"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so ids hold
     found = stored(links_at(docs, nodes, meeting(nodes, depth_for(threshold, recall)), threshold), "links")
-    # a node of a large cluster has a row for each trie node; their roots join in the classes
+    # a node may have several rows; their roots join in the classes
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     known = nodes.select("node", "copy", "copy_id").join(roots, "node", "left").join(counts, "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -238,30 +427,15 @@ def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: floa
     met = stored(keys.join(tries, ["tree", "key"]), "tries")
     roots = components(met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
     sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    members = stored(roots.join(sizes, "root").join(nodes.select("node", "copy", "copy_id"), "node"), "members")
+    members = stored(roots.join(sizes, "root").join(nodes.select("node", "copy", "copy_id", "digest"), "node"), "members")
+    # a small cluster's rows once for each pair of blocks that theirs is in
+    small = members.filter(F.col("size") <= CLUSTER).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    small = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
-    no_keys = F.lit(None).cast("array<bigint>")
-
-    def pairs(df: DataFrame, size: str) -> DataFrame:
-        """Each row once for each pair of blocks that its own is in."""
-        df = df.withColumn("blocks", F.ceil(F.col(size) / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        return df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("side", F.when(F.col("block") == i, F.lit(0)).otherwise(F.lit(1)))
-
-    group = lambda x, y: F.struct(x.alias("x"), y.cast("long").alias("y"), i.alias("i"), j.alias("j")).alias("group")
-    small = pairs(members.filter(F.col("size") <= CLUSTER), "size").select("node", "copy", "copy_id", group(F.col("root"), F.lit(0)), "side", F.lit(-1).alias("tree"), no_keys.alias("keys"))
-    # very large clusters: block pairs of their trie nodes; a node's keys are at most one a tree
-    big = members.filter(F.col("size") > CLUSTER).select("node", "copy", "copy_id")
-    own = met.join(big.select("node"), "node", "left_semi")
-    paths = own.groupBy("node").agg(F.map_from_entries(F.collect_list(F.struct("tree", "key"))).alias("path"))
-    path = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.coalesce(F.try_element_at("path", t), F.xxhash64("node", t)))
-    large = own.join(paths, "node").select("node", "tree", "key", "n", path.alias("keys")).join(big, "node")
-    large = pairs(large, "n").select("node", "copy", "copy_id", group(F.col("key"), F.col("tree")), "side", "tree", "keys")
-    rows = stored(small.unionByName(large), "rows")
-    texts = docs.select(F.col("doc_id").alias("own_id"), "text")
-    if rows.count() <= BROADCAST_ROWS:  # most texts have no near copy and stay where they are
-        rows = F.broadcast(rows)
-    whole = texts.join(rows, texts["own_id"].eqNullSafe(rows["copy_id"])).select("node", "copy", "text", "group", "side", "tree", "keys")
-    return whole.repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify(threshold)), "node long, links long, root long")
+    small = stored(small.select("node", "copy", "copy_id", "digest", F.struct("root", i.alias("i"), j.alias("j")).alias("group"), F.when(F.col("block") == i, F.lit(0)).otherwise(F.lit(1)).alias("side")), "rows")
+    found = whole_texts(docs, small).repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify(threshold)), FOUND)
+    big = members.filter(F.col("size") > CLUSTER).drop("root", "size")
+    return found if big.isEmpty() else found.unionByName(crowd_links(docs, big, met, threshold))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,50 @@ def test_odd_rows_and_groups(spark, monkeypatch, cluster, block, broadcast):
     assert got(spark, rows) == brute(rows)
 
 
+def test_what_moves_follows_a_large_group(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CLUSTER", 20)
+    monkeypatch.setattr(nd, "BLOCK", 16)
+    moved, whole, store = {}, nd.whole_texts, nd.stored
+
+    def counted(docs, rows):
+        moved["texts"] = moved.get("texts", 0) + whole(docs, rows).count()
+        return whole(docs, rows)
+
+    def kept(df, what):
+        out = store(df, what)
+        moved["rows"] = moved.get("rows", 0) + out.count()
+        return out
+
+    monkeypatch.setattr(nd, "whole_texts", counted)
+    monkeypatch.setattr(nd, "stored", kept)
+    sizes = []
+    for n in (80, 240):
+        moved.clear()
+        rows = list(enumerate(near_copies(n, 12)))
+        assert got(spark, rows) == brute(rows)
+        assert moved["texts"] == n
+        sizes.append(moved["rows"])
+    assert sizes[1] < 4 * sizes[0]
+
+
+def test_a_crowd_without_ids(spark):
+    texts = near_copies(30, 14) + ["alone in the crowd of rows without any id at all"] * 20 + near_copies(12, 15)
+    rows = [(None, t) for t in texts] + [(7, texts[0]), (7, texts[31]), (7, "seven")]
+    assert got(spark, rows) == brute(rows)
+
+
+def test_unmet_recall_is_told():
+    with pytest.warns(UserWarning, match="recall"):
+        assert nd.depth_for(0.5, 0.9999) == nd.SHORTEST
+
+
+def test_across_equals_similarities():
+    sets = [nd.shingles(t) for t in near_copies(9, 3, 40)]
+    whole = nd.similarities(sets)
+    assert np.allclose(nd.across(sets[:4], sets[4:]), whole[:4, 4:])
+    assert np.allclose(nd.across(sets[:2], [sets[0][:0], sets[5]], width=4)[:, 1], whole[:2, 5])
+
+
 def test_empty(spark):
     assert got(spark, []) == []
     assert got(spark, [(1, None)]) == [(1, 1, 1, 0)]
