@@ -4,20 +4,31 @@ State is an exact reference-count table (how many documents hold a line key) and
 the key space, a cuckoo filter of the live keys, those held by at least ``min_docs`` documents.
 Documents can be inserted and deleted: counts move, and only keys that cross the threshold
 enter or leave their shard's filter. Each shard also lists the counted keys that its filter
-would hit wrongly, so that for inserted documents the filter's answer is exact.
+would hit wrongly, so that for inserted documents the filter's answer is exact. Filters that are
+small together go to every task; larger ones stay, and the documents' distinct keys go to the
+tasks that hold their shards. Shards split in two as live keys grow.
+
+The index lives in its folder: generations of tables, and a marker written last that says how
+many shards the generation has; a change that breaks off leaves the old generation, and a new
+``LineIndex`` on the folder goes on where the last one ended.
 
 Defined results: null or empty text is one empty line, which is never dropped; a line that is
-only white space has the empty key and stays; repeated rows count once each as documents; an
-empty table gives an empty result; further columns pass through untouched.
+only white space has the empty key and stays; very long texts are split whole; repeated rows
+count once each as documents; deleting documents that were never inserted raises and changes
+nothing, as far as counts can tell; an empty table gives an empty result; columns ``n_lines`` and
+``n_dropped`` of the input are replaced, further ones pass through untouched.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,9 +37,10 @@ from kelpie.llm.common import shared_dir, texts_of, tidy
 
 WHITE = b" \t\n\v\f\r"
 SLOTS = 4
-#: All filters together are handed to every task up to this size; beyond it keys are joined.
+#: All filters together are handed to every task up to this size; beyond it keys go to their shards.
 MAX_FILTER_BYTES = 64 << 20
-KEYS_PER_SHARD = 1_000_000
+#: Live keys of a shard, at most about, and shards at first; a task holds one shard's filter at a time.
+KEYS_PER_SHARD, SHARDS = 1_000_000, 8
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -42,7 +54,7 @@ def digests(keys: list[bytes]) -> np.ndarray:
 
 
 class CuckooFilter:
-    """Partial-key cuckoo filter, four 32-bit fingerprints a bucket, all operations vectorised."""
+    """Partial-key cuckoo filter, four 32-bit fingerprints a bucket, operations on arrays of keys."""
 
     def __init__(self, slots: np.ndarray):
         self.slots = slots
@@ -105,12 +117,19 @@ class CuckooFilter:
     def delete(self, keys: np.ndarray) -> None:
         """Take one copy of each key's fingerprint out; the keys must be in."""
         fp, at = self._places(keys)
-        for f, a, b in zip(fp, at, self._other(at, fp), strict=True):
-            for x in (a, b):
-                hit = np.flatnonzero(self.slots[x] == f)
-                if len(hit):
-                    self.slots[x, hit[0]] = 0
-                    break
+        for _ in range(2):  # the r-th of equal fingerprints in a bucket takes its r-th copy out
+            if not len(fp):
+                return
+            order = np.lexsort((fp, at))
+            fp, at = fp[order], at[order]
+            first = np.r_[True, (at[1:] != at[:-1]) | (fp[1:] != fp[:-1])]
+            rank = np.arange(len(at)) - np.maximum.accumulate(np.where(first, np.arange(len(at)), 0))
+            held = self.slots[at] == fp[:, None]
+            there = rank < held.sum(1)
+            slot = np.argmax(np.cumsum(held, 1) == (rank + 1)[:, None], 1)
+            self.slots[at[there], slot[there]] = 0
+            fp, at = fp[~there], at[~there]
+            at = self._other(at, fp)
 
 
 class Probe:
@@ -119,7 +138,7 @@ class Probe:
     def __init__(self, shards: dict[int, tuple[bytes, bytes]], n_shards: int):
         self.n = n_shards
         self.filters = {k: CuckooFilter.from_bytes(v[0]) for k, v in shards.items()}
-        self.wrong = {k: {bytes(v[1][i : i + 16]) for i in range(0, len(v[1]), 16)} for k, v in shards.items()}
+        self.wrong = {k: {bytes(v[1][i : i + 16]) for i in range(0, len(v[1]), 16)} for k, v in shards.items()}  # hi and lo, big-endian
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         hit = np.zeros(len(keys), bool)
@@ -129,24 +148,48 @@ class Probe:
                 own = np.flatnonzero(shard == k)
                 own = own[f.contains(keys[own])]
                 if wrong := self.wrong[int(k)]:
-                    own = np.array([i for i in own if keys[i].tobytes() not in wrong], np.int64)
+                    own = np.array([i for i in own if keys[i].astype(">i8").tobytes() not in wrong], np.int64)
                 hit[own] = True
         return hit
 
 
+def shard_column(n_shards: int):
+    """The unsigned remainder of hi, as Probe takes it; a power of two, so that shards split in two."""
+    return F.col("hi").bitwiseAND(F.lit(n_shards - 1).cast("long")).cast("int").alias("shard")
+
+
 class LineIndex:
     """Incremental index in a shared folder; each change makes a new generation beside the old."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10, n_shards: int | None = None):
-        self.spark, self.path, self.min_docs, self.n_shards, self.generation = spark, path or shared_dir(spark, "lines"), min_docs, n_shards, 0
+    def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10):
+        self.spark, self.path, self.min_docs = spark, path or shared_dir(spark, "lines"), min_docs
+        self._fs, self._root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+
+    @property
+    def state(self) -> dict:
+        """Of the latest whole generation: its number, the name of its tables, how many shards it has."""
+        found = self._fs.get_file_info(pafs.FileSelector(f"{self._root}/_state", allow_not_found=True))
+        names = [f.path for f in found if f.base_name.endswith(".json")]
+        if not names:
+            return {"generation": 0, "name": "", "shards": 0}
+        with self._fs.open_input_file(max(names)) as f:
+            return json.loads(f.read())
+
+    def _mark(self, state: dict) -> None:
+        self._fs.create_dir(f"{self._root}/_state", recursive=True)
+        name = f"{self._root}/_state/{state['generation']:08d}"
+        with self._fs.open_output_stream(f"{name}.{state['name']}") as f:
+            f.write(json.dumps(state).encode())
+        self._fs.move(f"{name}.{state['name']}", f"{name}.json")
 
     @property
     def counts(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/counts-{self.generation}")
+        return self.spark.read.parquet(f"{self.path}/counts-{self.state['name']}")
 
     @property
     def filters(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/filters-{self.generation}")
+        """shard, slots, wrong (the counted keys below the threshold that the filter hits)."""
+        return self.spark.read.parquet(f"{self.path}/filters-{self.state['name']}")
 
     @staticmethod
     def _document_keys(docs: DataFrame) -> DataFrame:
@@ -170,22 +213,24 @@ class LineIndex:
         self._change(docs, -1)
 
     def _change(self, docs: DataFrame, sign: int) -> None:
-        gen, live = self.generation + 1, self.min_docs
+        before, live, name = self.state, self.min_docs, uuid.uuid4().hex[:12]
+        at = lambda what: f"{self.path}/{what}-{name}"
         delta = self._document_keys(docs)
-        if self.generation:
+        if before["generation"]:
             new = self.counts.select("hi", "lo", "n", F.lit(0).cast("long").alias("d")).unionByName(delta.select("hi", "lo", F.lit(0).cast("long").alias("n"), (F.col("n") * sign).alias("d")))
             new = new.groupBy("hi", "lo").agg(F.sum("n").alias("old"), (F.sum("n") + F.sum("d")).alias("n"))
         else:
             new = delta.select("hi", "lo", F.lit(0).cast("long").alias("old"), (F.col("n") * sign).alias("n"))
-        new.write.parquet(f"{self.path}/counts-{gen}.change")
-        change = self.spark.read.parquet(f"{self.path}/counts-{gen}.change")
-        if not self.n_shards:
-            self.n_shards = max(8, -(-change.filter(F.col("n") >= live).count() // KEYS_PER_SHARD))
-        n_shards = self.n_shards
-        change.filter("n > 0").select("hi", "lo", "n").write.parquet(f"{self.path}/counts-{gen}")
-        # unsigned remainder of hi, as Probe takes it
-        sharded = lambda df: df.withColumn("shard", F.pmod(F.pmod("hi", F.lit(n_shards)) + F.when(F.col("hi") < 0, F.lit(2**64 % n_shards)).otherwise(0), F.lit(n_shards)).cast("int"))
-        crossing = sharded(change.filter((F.col("old") >= live) != (F.col("n") >= live))).select("shard", "hi", "lo", (F.col("n") >= live).alias("enters"))
+        new.write.parquet(at("change"))
+        change = self.spark.read.schema("hi long, lo long, old long, n long").parquet(at("change"))
+        n_live, least = change.agg(F.count_if(F.col("n") >= live), F.min("n")).first()
+        if (least or 0) < 0:
+            raise ValueError("documents were deleted that the index doesn't hold")
+        n_shards = max(SHARDS, before["shards"])
+        while n_live > n_shards * KEYS_PER_SHARD:
+            n_shards *= 2
+        change.filter("n > 0").select("hi", "lo", "n").write.parquet(at("counts"))
+        counts = self.spark.read.schema("hi long, lo long, n long").parquet(at("counts"))
         schema = "shard int, slots binary, overfull boolean"
 
         def update(keys: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
@@ -197,55 +242,78 @@ class LineIndex:
             full = not f.insert(enter)
             return pd.DataFrame({"shard": [shard], "slots": [f.to_bytes()], "overfull": [full]})
 
-        old = self.filters.select("shard", "slots") if self.generation else self.spark.createDataFrame([], "shard int, slots binary")
-        crossing.groupBy("shard").cogroup(old.groupBy("shard")).applyInPandas(update, schema).write.parquet(f"{self.path}/filters-{gen}.part")
-        part = self.spark.read.parquet(f"{self.path}/filters-{gen}.part")
-
         def rebuild(keys: pd.DataFrame) -> pd.DataFrame:
             own, n = np.ascontiguousarray(keys[["hi", "lo"]].to_numpy(np.int64)), len(keys)
             while not (f := CuckooFilter.sized(n)).insert(own):
                 n *= 2
             return pd.DataFrame({"shard": [int(keys["shard"].iloc[0])], "slots": [f.to_bytes()], "overfull": [False]})
 
-        self.generation = gen
+        live_keys = counts.filter(F.col("n") >= live).select(shard_column(n_shards), "hi", "lo")
+        if n_shards != before["shards"]:  # the first generation, or shards have split
+            part = live_keys.groupBy("shard").applyInPandas(rebuild, schema)
+        else:
+            crossing = change.filter((F.col("old") >= live) != (F.col("n") >= live)).select(shard_column(n_shards), "hi", "lo", (F.col("n") >= live).alias("enters"))
+            part = crossing.groupBy("shard").cogroup(self.filters.select("shard", "slots").groupBy("shard")).applyInPandas(update, schema)
+        part.write.parquet(at("part"))
+        part = self.spark.read.schema(schema).parquet(at("part"))
         again = [r[0] for r in part.filter("overfull").select("shard").collect()]
         if again:
-            live_keys = sharded(self.counts.filter(F.col("n") >= live)).filter(F.col("shard").isin(again))
-            part = part.filter(~F.col("shard").isin(again)).unionByName(live_keys.groupBy("shard").applyInPandas(rebuild, schema))
+            part = part.filter(~F.col("shard").isin(again)).unionByName(live_keys.filter(F.col("shard").isin(again)).groupBy("shard").applyInPandas(rebuild, schema))
         part = part.select("shard", "slots")
-        if self._bytes(part) <= MAX_FILTER_BYTES:
-            self._with_exceptions(part).write.parquet(f"{self.path}/filters-{gen}")
-        else:  # then keys are joined with the counts, and the filters only wait for the next change
-            part.withColumn("wrong", F.lit(b"")).write.parquet(f"{self.path}/filters-{gen}")
+        light = counts.filter(F.col("n") < live).select("hi", "lo")
+        hits = self._hits(light, part, n_shards)
+        wrong = hits.groupBy("shard").agg(F.array_join(F.array_sort(F.collect_list(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))), "").alias("wrong"))
+        part.join(wrong, "shard", "left").select("shard", "slots", F.unhex(F.coalesce("wrong", F.lit(""))).alias("wrong")).write.parquet(at("filters"))
+        self._mark({"generation": before["generation"] + 1, "name": name, "shards": n_shards})
 
     @staticmethod
     def _bytes(filters: DataFrame) -> int:
         return filters.agg(F.sum(F.length("slots"))).first()[0] or 0
 
-    def _with_exceptions(self, part: DataFrame) -> DataFrame:
-        """Add to each shard the counted keys below the threshold that its filter hits."""
-        shared, n_shards = self.spark.sparkContext.broadcast({r["shard"]: (bytes(r["slots"]), b"") for r in part.collect()}), self.n_shards
+    def _hits(self, keys: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
+        """shard, hi, lo: those of the distinct keys (hi, lo) that their shard's filter holds, without those known to be wrong."""
+        own = keys.select(shard_column(n_shards), "hi", "lo")
+        if self._bytes(filters) <= MAX_FILTER_BYTES:
+            shared = self.spark.sparkContext.broadcast(held(filters))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            probe = Probe(shared.value, n_shards)
-            for b in batches:
-                keys = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], 1)
-                keys = np.ascontiguousarray(keys)[probe(np.ascontiguousarray(keys))] if len(keys) else keys
-                shard = (keys[:, 0].astype(np.int64).view(np.uint64) % np.uint64(n_shards)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(shard), pa.array([k.tobytes() for k in keys], pa.binary())], ["shard", "key"])
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                probe = Probe(shared.value, n_shards)
+                for b in batches:
+                    yield b.filter(pa.array(probe(key_rows(b)), pa.bool_()))
 
-        light = self.counts.filter(F.col("n") < self.min_docs).select("hi", "lo").mapInArrow(tidy(run), "shard int, key binary")
-        wrong = light.groupBy("shard").agg(F.concat_ws("", F.sort_array(F.collect_list(F.hex("key")))).alias("wrong"))
-        return part.join(wrong, "shard", "left").select("shard", "slots", F.unhex(F.coalesce("wrong", F.lit(""))).alias("wrong"))
+            return own.mapInArrow(tidy(run), "shard int, hi long, lo long")
+
+        # a filter goes ahead of its shard's keys, which follow it batch by batch
+        none = F.lit(None).cast("long")
+        heads = with_wrong(filters).select("shard", none.alias("hi"), none.alias("lo"), "slots", "wrong")
+        rows = heads.unionByName(own, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("slots").isNull())
+
+        def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            shard, probe = None, None
+            for b in batches:
+                shards = b.column(0).to_numpy()
+                cuts = [0, *(np.flatnonzero(shards[1:] != shards[:-1]) + 1).tolist(), len(shards)]
+                for lo, hi in zip(cuts, cuts[1:], strict=False):
+                    part = b.slice(lo, hi - lo)
+                    if not part.num_rows:
+                        continue
+                    if shard != int(shards[lo]):
+                        shard, probe = int(shards[lo]), None
+                    if (slots := part.column(3)[0].as_py()) is not None:
+                        probe, part = Probe({shard: (slots, part.column(4)[0].as_py() or b"")}, n_shards), part.slice(1)
+                    if probe and part.num_rows:
+                        part = part.select([0, 1, 2])
+                        yield part.filter(pa.array(probe(key_rows(part)), pa.bool_()))
+
+        return rows.mapInArrow(tidy(probed), "shard int, hi long, lo long")
 
     def drop(self, docs: DataFrame) -> DataFrame:
         """The documents without lines of live keys: text replaced, n_lines and n_dropped added."""
-        if self._bytes(self.filters) <= MAX_FILTER_BYTES:
-            return self._drop_by_filter(docs)
-        return self._drop_by_join(docs)
+        return self._drop_here(docs) if self._bytes(self.filters) <= MAX_FILTER_BYTES else self._drop_by_shard(docs)
 
-    def _drop_by_filter(self, docs: DataFrame) -> DataFrame:
-        shared, n_shards = self.spark.sparkContext.broadcast({r["shard"]: (bytes(r["slots"]), bytes(r["wrong"])) for r in self.filters.collect()}), self.n_shards
+    def _drop_here(self, docs: DataFrame) -> DataFrame:
+        """All filters are in each task."""
+        shared, n_shards = self.spark.sparkContext.broadcast(held(self.filters)), self.state["shards"]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             probe = Probe(shared.value, n_shards)
@@ -261,36 +329,52 @@ class LineIndex:
 
         return docs.mapInArrow(tidy(run), kept_schema(docs))
 
-    def _drop_by_join(self, docs: DataFrame) -> DataFrame:
-        """For more live keys than tasks can hold: join the documents' distinct keys with the counts."""
+    def _drop_by_shard(self, docs: DataFrame) -> DataFrame:
+        """For more live keys than a task can hold: each distinct key asks its shard's filter once.
+
+        What it says goes to the texts that have the key, by the texts' hash: equal texts are one, and ids don't matter.
+        """
 
         def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                ids, keys = [], []
-                for i, t in zip(b.column("doc_id").to_pylist(), texts_of(b), strict=True):
-                    own = {k for k in line_keys(t) if k}
-                    ids += [i] * len(own)
-                    keys += own
+                own, keys = [], []
+                for i, t in zip(b.column("own").to_pylist(), texts_of(b), strict=True):
+                    ks = {k for k in line_keys(t) if k}
+                    own += [i] * len(ks)
+                    keys += ks
                 d = digests(keys)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.field("doc_id").type), pa.array(d[:, 0]), pa.array(d[:, 1])], ["doc_id", "hi", "lo"])
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(d[:, 0]), pa.array(d[:, 1])], ["own", "hi", "lo"])
 
         def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 per, gone = [], []
-                for t, live in zip(ts := texts_of(b), b.column("live_keys").to_pylist(), strict=True):
+                for t, live in zip(ts := texts_of(b), b.column("_live").to_pylist(), strict=True):
                     keys, own = line_keys(t), {(x["hi"], x["lo"]) for x in live or ()}
                     per.append(len(keys))
                     gone += [bool(k) and tuple(d) in own for k, d in zip(keys, digests(keys).tolist(), strict=True)]
-                yield kept_batch(b.drop_columns(["live_keys"]), ts, per, np.array(gone, bool))
+                yield kept_batch(b.drop_columns(["_live", "_own"]), ts, per, np.array(gone, bool))
 
-        live = self.counts.filter(F.col("n") >= self.min_docs).select("hi", "lo")
-        id_type = docs.schema["doc_id"].dataType.simpleString()
-        found = docs.select("doc_id", "text").mapInArrow(tidy(keyed), f"doc_id {id_type}, hi long, lo long").join(live, ["hi", "lo"]).groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("live_keys"))
-        found = found.withColumnRenamed("doc_id", "found_id")
-        both = docs.join(found, docs["doc_id"].eqNullSafe(found["found_id"]), "left").drop("found_id")
+        digest = F.xxhash64(F.coalesce("text", F.lit("")))
+        keys = docs.select(digest.alias("own"), "text").mapInArrow(tidy(keyed), "own long, hi long, lo long").distinct()
+        live = self._hits(keys.select("hi", "lo").distinct(), self.filters, self.state["shards"]).select("hi", "lo")
+        found = keys.join(live, ["hi", "lo"]).groupBy(F.col("own").alias("_own")).agg(F.collect_set(F.struct("hi", "lo")).alias("_live"))
+        both = docs.join(found, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_own"], "left")
         return both.mapInArrow(tidy(cut), kept_schema(docs))
 
 
+def with_wrong(filters: DataFrame) -> DataFrame:
+    return filters if "wrong" in filters.columns else filters.withColumn("wrong", F.lit(b""))
+
+
+def held(filters: DataFrame) -> dict[int, tuple[bytes, bytes]]:
+    """Filters that are small together, on the driver."""
+    return {r["shard"]: (bytes(r["slots"]), bytes(r["wrong"])) for r in with_wrong(filters).collect()}
+
+
+def key_rows(b: pa.RecordBatch) -> np.ndarray:
+    return np.ascontiguousarray(np.stack([b.column("hi").to_numpy(), b.column("lo").to_numpy()], 1))
+
+
 def kept_schema(docs: DataFrame):
     own = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     schema = type(docs.schema)(own)

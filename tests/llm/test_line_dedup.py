@@ -40,9 +40,41 @@ def test_brute_force(spark, sf):
     assert dedup_lines(frame(spark, ROWS).limit(0)).count() == 0
 
 
-def test_join_beyond_the_filters_bound(spark, monkeypatch):
+@pytest.mark.parametrize("keys_per_shard", [10**6, 2])
+def test_filters_beyond_a_task(spark, sf, monkeypatch, keys_per_shard):
     monkeypatch.setattr(line_dedup, "MAX_FILTER_BYTES", -1)
-    assert out(dedup_lines(frame(spark, ROWS), 2)) == brute(ROWS, 2)
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", keys_per_shard)
+    monkeypatch.setattr(line_dedup, "held", None)  # no filter comes to the driver
+    own = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    for rows, least in ((ROWS, 2), (own, 2)):
+        assert out(dedup_lines(frame(spark, rows), least)) == brute(rows, least)
+
+
+def test_an_index_is_opened_again(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "lines")
+    LineIndex(spark, path, min_docs=2).insert(frame(spark, ROWS[:4]))
+    monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", 0.3)  # the shards split
+    index = LineIndex(spark, path, min_docs=2)
+    index.insert(frame(spark, ROWS[4:]))
+    assert index.state["shards"] > 8
+    assert out(LineIndex(spark, path, min_docs=2).drop(frame(spark, ROWS))) == brute(ROWS, 2)
+    before = index.state
+    with pytest.raises(ValueError, match="doesn't hold"):
+        index.delete(frame(spark, [(99, "never inserted")]))
+    with monkeypatch.context() as m:
+        m.setattr(LineIndex, "_mark", lambda self, state: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.insert(frame(spark, ROWS))
+    assert index.state == before
+    assert out(index.drop(frame(spark, ROWS))) == brute(ROWS, 2)
+
+
+def test_wrong_hits_are_listed():
+    keys = np.frombuffer(b"".join(hashlib.md5(str(i).encode()).digest() for i in range(40)), "<i8").reshape(-1, 2)
+    f = CuckooFilter.sized(40)
+    f.insert(keys)
+    probe = line_dedup.Probe({0: (f.to_bytes(), b"".join(k.astype(">i8").tobytes() for k in keys[10:]))}, 1)
+    assert probe(keys).tolist() == [True] * 10 + [False] * 30
 
 
 def test_inserts_and_deletions_undo_each_other(spark):
