@@ -14,9 +14,13 @@ short items and some seven words of long ones.
 Every whole text is searched. Test items go to the tasks in blocks of bounded size, each block
 against all documents.
 
-Defined results: items of fewer than ``GRAM`` words (null and empty ones too) match nothing, as
-chance can't be told from copying, and items of up to five words match only where a text shares
-three of them; equal items are all reported; null and empty texts match nothing; repeated documents are reported each; empty tables give no rows.
+Defined results: items without words (null and empty ones too) match nothing; items of one or two
+words match texts that consist of just these words, as chance can't be told from copying within
+others; items of up to five words match only where a text shares three of them; equal items are
+all reported; of equally good copies in a text the first is; null and empty texts match nothing;
+very long texts and items are aligned whole; repeated documents are reported each; ids may be of
+any type; further columns of the documents pass through a filter and are not read otherwise;
+empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -24,11 +28,12 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
 
 from kelpie.llm.common import stored, texts_of, tidy
 
@@ -83,14 +88,16 @@ class Block:
     #: Words that the seeds of any item lie within.
     reach: int
     threshold: float = THRESHOLD
+    #: Ids of items of fewer words than a seed, by these words.
+    short: dict[tuple, list] = field(default_factory=dict)
 
     @classmethod
     def of(cls, rows: list[tuple], threshold: float = THRESHOLD) -> Block:
-        by_words = defaultdict(list)
+        by_words, short = defaultdict(list), defaultdict(list)
         for i, t in rows:
             w = tuple(words_of(t))
-            if len(w) >= GRAM:
-                by_words[w].append(i)
+            if w:
+                (by_words if len(w) >= GRAM else short)[w].append(i)
         vocabulary: dict[str, int] = {}
         items = [np.array([vocabulary.setdefault(x, len(vocabulary) + 1) for x in w], np.int64) for w in by_words]
         # matches without a seed within REACH score a quarter and 1.5 at most
@@ -103,7 +110,7 @@ class Block:
         seeds, starts = np.unique(grams[order], return_index=True)
         slots = np.zeros(1 << SLOT_BITS, bool)
         slots[cls._slots(seeds)] = True
-        return cls(vocabulary, items, list(by_words.values()), seeds, np.append(starts, len(grams)), holders[order], slots, max(reaches, default=REACH), threshold)
+        return cls(vocabulary, items, list(by_words.values()), seeds, np.append(starts, len(grams)), holders[order], slots, max(reaches, default=REACH), threshold, dict(short))
 
     @staticmethod
     def _grams(w: np.ndarray, base: int, reach: int) -> np.ndarray:
@@ -116,8 +123,8 @@ class Block:
     def _slots(grams: np.ndarray) -> np.ndarray:
         return (grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SLOT_BITS)
 
-    def numbers(self, text: str) -> np.ndarray:
-        get, words = self.vocabulary.get, words_of(text)
+    def numbers(self, words: list[str]) -> np.ndarray:
+        get = self.vocabulary.get
         return np.array([get(x, 0) for x in words], np.int64)
 
     def met(self, w: np.ndarray, step: int = 1 << 14) -> list[int]:
@@ -159,10 +166,14 @@ class Block:
                         out.append((int(zero[z - 1]), int(zero[z])))
                 yield some[x], out
 
-    def leaks(self, text: str) -> list[tuple[int, float, int, int]]:
-        """(item, score, first word, words) of each item that the text holds a copy of."""
-        w, out = self.numbers(text), []
-        for k, parts in self.parts(w, self.met(w)) if len(w) else ():
+    def leaks(self, text: str) -> list[tuple[list, float, int, int]]:
+        """(ids, score, first word, words) of each item that the text holds a copy of."""
+        words = words_of(text)
+        if len(words) < GRAM:
+            found = self.short.get(tuple(words))
+            return [(found, 1.0, 0, len(words))] if found else []
+        w, out = self.numbers(words), []
+        for k, parts in self.parts(w, self.met(w)) if self.items else ():
             item = self.items[k]
             least = needed(len(item), self.threshold)
             best = (0.0, 0, 0)
@@ -173,7 +184,7 @@ class Block:
             if best[0] >= least - 1e-9:
                 score, a, end = best
                 length = align(item[::-1], w[a : a + end][::-1])[1]
-                out.append((k, score / len(item) / MATCH, a + end - length, length))
+                out.append((self.ids[k], score / len(item) / MATCH, a + end - length, length))
         return out
 
 
@@ -194,30 +205,28 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHO
     """doc_id, item_id, score, first_word, n_words: each document's best copy of each item."""
     spark, out = docs.sparkSession, None
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
+    arrow = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {doc_kind}, item_id {item_kind}, score double, first_word long, n_words long"
     for block in blocks_of(benchmark, threshold):
-        if block.items:
+        if block.items or block.short:
             shared = spark.sparkContext.broadcast(block)
 
             def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 own = shared.value
                 for b in batches:
-                    rows = [(i, item, *x[1:]) for i, t in enumerate(texts_of(b)) for x in own.leaks(t) for item in own.ids[x[0]]]
+                    rows = [(i, item, *x[1:]) for i, t in enumerate(texts_of(b)) for x in own.leaks(t) for item in x[0]]
                     cols = list(zip(*rows, strict=True)) or [[]] * 5
-                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], ITEM_TYPES[item_kind]), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "score", "first_word", "n_words"])
+                    yield pa.RecordBatch.from_arrays([b.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], arrow), pa.array(cols[2], pa.float64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "score", "first_word", "n_words"])
 
             found = docs.select("doc_id", "text").mapInArrow(tidy(run), schema)
             out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
-ITEM_TYPES = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The documents that hold a copy of no item, all columns as they are."""
     for k, block in enumerate(blocks_of(benchmark, threshold)):
-        if block.items:
+        if block.items or block.short:
             docs = stored(docs, "decontaminated") if k else docs
             shared = docs.sparkSession.sparkContext.broadcast(block)
 

@@ -2,17 +2,22 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a document's statistics. Documents are
 counted by vote pattern (at most 3 to the number of rules of them), and expectation-maximisation
-over these counts estimates how often each rule is right. The posterior of a document's pattern decides, in place of a
-filter that every rule must pass.
+over these counts estimates the share of good documents and, of each rule and either class, how
+often its votes are good ones: most junk is of one kind, on which other rules' good votes say
+little. The posterior of a document's pattern decides, in place of a filter that every rule must
+pass.
 
 Defined results: null text has no words; documents of fewer than 50 words or with more than
-half of their words in repeated three-word windows fail the base and are not kept; repeated
-rows are judged once each; an empty table gives no rows.
+half of their words in repeated three-word windows fail the base and are not kept; a very long
+text is judged whole, within one row; a posterior right at the threshold is kept; repeated rows
+are judged once each; further columns of the documents are left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,8 +25,10 @@ from pyspark.sql import functions as F
 from kelpie.llm.common import stored
 
 WHITE = r"[ \x09-\x0D]"
-#: The accuracy that estimation starts from.
-START = 0.9
+#: Where estimation starts: the share of good votes on good and on bad documents, and the share of good documents.
+GOOD, BAD, SHARE = 0.998, 0.9, 0.85
+#: Imagined votes that smooth, and how many more each vote brings: that good documents rarely get bad votes, and bad ones few, as junk is mostly of one kind, is known before.
+IMAGINED, KNOWN = 10.0, 1.0
 STATISTICS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters", "n_marks")
 
 
@@ -63,59 +70,77 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def rules() -> dict[str, Column]:
-    """Votes from the statistics; ratios are written as products, so that nothing is divided by zero.
-
-    A detector's silence says little, so detectors vote bad or abstain, and one rule votes good
-    on evidence of ordinary prose. Else the many detectors that a kind of junk doesn't concern
-    would outvote the one that it does.
-    """
+    """Votes from the statistics, abstaining between two bounds; ratios are written as products, so that nothing is divided by zero."""
     c = F.col
-    bad = {
-        "symbols": c("n_symbols") > 0.25 * c("n_words"),
-        "length": c("n_words") < 50,
-        "word_length": (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 12 * c("n_words")),
-        "dup_lines": c("n_dup_lines") > 0.3 * c("n_lines"),
-        "repeats": c("n_repeat_words") > 0.4 * c("n_words"),
-        "capitals": c("n_upper") > 0.4 * c("n_letters"),
-        "letters": c("n_letters") < 0.7 * c("word_chars"),
-        "marks": c("n_marks") > 0.1 * c("n_words"),
+
+    def vote(good: Column, bad: Column) -> Column:
+        return F.when(bad, F.lit(-1)).when(good, F.lit(1)).otherwise(F.lit(0)).cast("int")
+
+    return {
+        "symbols": vote(c("n_symbols") <= 0.05 * c("n_words"), c("n_symbols") > 0.2 * c("n_words")),
+        "length": vote(c("n_words") >= 80, c("n_words") < 50),
+        "word_length": vote((c("word_chars") >= 4 * c("n_words")) & (c("word_chars") <= 9 * c("n_words")), (c("word_chars") < 3 * c("n_words")) | (c("word_chars") > 12 * c("n_words"))),
+        "dup_lines": vote(c("n_dup_lines") <= 0.1 * c("n_lines"), c("n_dup_lines") > 0.3 * c("n_lines")),
+        "repeats": vote(c("n_repeat_words") <= 0.15 * c("n_words"), c("n_repeat_words") > 0.35 * c("n_words")),
+        "capitals": vote(c("n_upper") <= 0.15 * c("n_letters"), c("n_upper") > 0.35 * c("n_letters")),
+        "letters": vote(c("n_letters") >= 0.85 * c("word_chars"), c("n_letters") < 0.72 * c("word_chars")),
+        "marks": vote(c("n_marks") <= 0.02 * c("n_words"), c("n_marks") > 0.08 * c("n_words")),
+        "sentences": vote((c("n_words") > 0) & (c("n_lines") * 60 >= c("n_words")) & (c("n_lines") * 4 <= c("n_words")), c("n_lines") * 2 > c("n_words")),
     }
-    prose = (c("n_words") > 0) & (c("n_symbols") <= 0.1 * c("n_words")) & (c("n_letters") >= 0.75 * c("word_chars")) & (c("n_upper") <= 0.25 * c("n_letters")) & (c("n_marks") <= 0.05 * c("n_words")) & (c("n_repeat_words") <= 0.3 * c("n_words"))
-    votes = {k: F.when(x, F.lit(-1)).otherwise(F.lit(0)).cast("int") for k, x in bad.items()}
-    return votes | {"prose": F.when(prose, F.lit(1)).otherwise(F.lit(0)).cast("int")}
 
 
-def posterior(names: list[str], right: dict[str, float]) -> Column:
-    """Probability that a document of these votes is good; without votes one half."""
-    odds = F.lit(0.0)
+@dataclass(frozen=True)
+class Rates:
+    """The share of good documents, and of each rule's votes on good and on bad documents the share of good ones."""
+
+    share: float
+    good: dict[str, float]
+    bad: dict[str, float]
+
+
+def begin(names: list[str]) -> Rates:
+    return Rates(SHARE, dict.fromkeys(names, GOOD), dict.fromkeys(names, BAD))
+
+
+def posterior(names: list[str], rates: Rates) -> Column:
+    """Probability that a document of these votes is good; without votes the share of good documents."""
+    odds = F.lit(math.log(rates.share / (1 - rates.share)))
     for k in names:
-        odds = odds + F.col(k) * F.lit(math.log(right[k] / (1 - right[k])))
+        yes, no = math.log(rates.good[k] / rates.bad[k]), math.log((1 - rates.good[k]) / (1 - rates.bad[k]))
+        odds = odds + F.when(F.col(k) > 0, yes).when(F.col(k) < 0, no).otherwise(0.0)
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-odds))
 
 
-def accuracy(agreed: float, votes: float) -> float:
-    """Smoothed by ten imagined votes at the accuracy that estimation starts from, and bounded."""
-    return min(0.999, max(0.55, (agreed + 10 * START) / (votes + 10)))
+def smoothed(yes: float, votes: float, start: float, known: float = KNOWN) -> float:
+    """By imagined votes that begin so, and bounded away from certainty."""
+    imagined = IMAGINED + known * votes
+    return min(0.9995, max(0.0005, (yes + imagined * start) / (votes + imagined)))
 
 
-def estimate(patterns: DataFrame, names: list[str], rounds: int = 30) -> dict[str, float]:
-    """Accuracies by expectation-maximisation over vote-pattern counts; a row of sums comes back each round.
+def improved(names: list[str], s: Mapping[str, float]) -> Rates:
+    """From expected counts: good documents (p) of all (n), and of each rule good and all votes, on good documents and on all."""
+    good = {k: smoothed(s[f"{k}_yes_p"], s[f"{k}_all_p"], GOOD) for k in names}
+    # a rule tells bad from good or nothing: of two classes the better one has at least as many good votes
+    bad = {k: min(good[k], smoothed(s[f"{k}_yes"] - s[f"{k}_yes_p"], s[f"{k}_all"] - s[f"{k}_all_p"], BAD)) for k in names}
+    return Rates(smoothed(s["p"], s["n"], SHARE), good, bad)
 
-    Both classes count alike beforehand and a vote's chance doesn't depend on the class, so a
-    rule's accuracy is the expected share of its votes that agree with the class.
-    """
-    right = dict.fromkeys(names, START)
+
+def estimate(patterns: DataFrame, names: list[str], rounds: int = 40) -> Rates:
+    """Expectation-maximisation over vote-pattern counts; a row of sums comes back each round."""
+    rates = begin(names)
+    p, n = F.col("_p"), F.col("n")
+    sums = [F.sum(n).alias("n"), F.sum(p * n).alias("p")]
+    for k in names:
+        yes, voted = (F.col(k) > 0).cast("double"), (F.col(k) != 0).cast("double")
+        sums += [F.sum(x * n * w).alias(f"{k}_{a}{b}") for x, a in ((yes, "yes"), (voted, "all")) for w, b in ((p, "_p"), (F.lit(1.0), ""))]
     for _ in range(rounds):
-        p, n = F.col("p"), F.col("n")
-        sums = [F.sum(F.when(F.col(k) > 0, p * n).when(F.col(k) < 0, (1 - p) * n).otherwise(0.0)).alias(f"{k}_agreed") for k in names]
-        sums += [F.sum(F.when(F.col(k) != 0, n).otherwise(0.0)).alias(f"{k}_votes") for k in names]
-        s = patterns.withColumn("p", posterior(names, right)).agg(*sums).first()
-        if s[0] is None:  # no documents
+        s = patterns.withColumn("_p", posterior(names, rates)).agg(*sums).first()
+        if s["n"] is None:  # no documents
             break
-        old, right = right, {k: accuracy(s[f"{k}_agreed"], s[f"{k}_votes"]) for k in names}
-        if max(abs(right[k] - old[k]) for k in names) < 1e-6:
+        old, rates = rates, improved(names, s.asDict())
+        if max(abs(x[k] - y[k]) for x, y in ((old.good, rates.good), (old.bad, rates.bad)) for k in names) < 1e-5:
             break
-    return right
+    return rates
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -123,9 +148,9 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     names = list(rules())
     voted = stored(statistics(docs).select("*", *(c.alias(k) for k, c in rules().items())), "votes")
     patterns = stored(voted.groupBy(*names).agg(F.count("*").cast("double").alias("n")).coalesce(1), "patterns")
-    right = estimate(patterns, names)
+    rates = estimate(patterns, names)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return voted.select("*", base.alias("base_failed"), posterior(names, right).alias("quality")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+    return voted.select("*", base.alias("base_failed"), posterior(names, rates).alias("quality")).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
