@@ -14,6 +14,7 @@ from kelpie.operators import chunking, graph, retrieval
 from kelpie.plans import search
 from kelpie.plans.index import Index
 from kelpie.sources import artifacts, projects, scan
+from kelpie.sources.store import stored
 
 SECRET = re.compile(r"key|token|secret|password|credential", re.I)
 
@@ -44,7 +45,7 @@ class Engine:
         files = scan.scan(self.spark, root)
         if extensions:
             files = files.filter(F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1)).isin(*extensions))
-        records = chunking.records(files)
+        records = stored(chunking.records(files), "records")  # each file is split once
         if output:
             artifacts.write(records, output)
         counts = {r["record"]: r["count"] for r in records.groupBy("record").count().collect()}
@@ -56,10 +57,10 @@ class Engine:
         return graph.neighbors(nodes, self.idx.edges(), graph.seed(nodes, name), depth, direction, types)
 
     def graph_query(self, sql: str, args: dict | None = None) -> DataFrame:
-        return graph.query(self.spark, sql, self.idx.symbols(), self.idx.edges(), self.idx.tables["files"].read(), args)
+        return graph.query(self.spark, sql, self.idx.symbols(), self.idx.edges(), self.idx.table("files"), args)
 
     def graph_status(self) -> DataFrame:
-        return graph.stats(self.idx.symbols(), self.idx.tables["files"].read(), self.idx.edges())
+        return graph.stats(self.idx.symbols(), self.idx.table("files"), self.idx.edges())
 
     def graph_projects(self) -> DataFrame:
         return graph.projects(self.idx.symbols())

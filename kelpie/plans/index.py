@@ -12,40 +12,47 @@ from kelpie.functions import embed, paths, sparse
 from kelpie.operators import chunking, graph, retrieval
 from kelpie.sources import scan
 from kelpie.sources.cache import EmbeddingCache
-from kelpie.sources.store import Table, stored
+from kelpie.sources.store import ChangeLog, stored
 
 CHUNKS = "chunk_id string, file_path string, file_hash string, category string, language string, name string, node_type string, fqn string, content string, chunk_index int, total_chunks int, start_line int, end_line int, embedding array<double>"
 POSTINGS = "chunk_id string, file_path string, term int, tf long"
 FILES = "file_path string, file_hash string, category string, language string"
 EDGES = "project string, type string, source string, target string, file_path string"
-META = "identity string, sparse string, dimension int"
 
 
 class Index:
-    """Parquet tables below one folder: files (the manifest, written last), chunks, postings, edges, cache."""
+    """Tables below one folder that change together (files, chunks, postings, edges), and the embedding cache."""
 
     def __init__(self, spark: SparkSession, path: str, identity: str = "hashing-64", embedder: embed.Embedder = embed.hashing_embedder, project: str = "default"):
         self.spark, self.path, self.identity, self.embedder, self.project = spark, path, identity, embedder, project
-        self.tables = {k: Table(spark, f"{path}/{k}", v) for k, v in (("files", FILES), ("chunks", CHUNKS), ("postings", POSTINGS), ("edges", EDGES), ("meta", META))}
+        self._dimension: int | None = None
+        self.log = ChangeLog(spark, f"{path}/log", {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "edges": EDGES}, ["file_path"])
         self.cache = EmbeddingCache(spark, f"{path}/cache", identity, embedder)
 
+    def table(self, name: str) -> DataFrame:
+        return self.log.read(name)
+
     def chunks(self) -> DataFrame:
-        return self.tables["chunks"].read()
+        return self.table("chunks")
 
     def needs_rebuild(self) -> bool:
         """Whether the index was made by another model or another kind of sparse vectors."""
-        meta = self.tables["meta"].read().first()
-        return meta is not None and (meta["identity"], meta["sparse"]) != (self.identity, "bm25")
+        about = self.log.state()["about"]
+        return bool(about) and (about["identity"], about["sparse"], about["dimension"]) != (self.identity, "bm25", self.dimension())
+
+    def dimension(self) -> int:
+        """The length of the embedder's vectors."""
+        if self._dimension is None:
+            self._dimension = len(self.embedder(["dimension"])[0])
+        return self._dimension
 
     def index(self, root: str) -> dict[str, int]:
         """Take in what changed below the root; a second call on the same tree finds nothing to do."""
         if self.needs_rebuild():
-            for t in self.tables.values():
-                if t.exists():
-                    t.drop()
+            self.log.drop()
         found = scan.scan(self.spark, root).withColumn("root", F.lit(root.rstrip("/")))
         files = found.withColumn("file_path", F.concat_ws("/", "root", "file_path")).drop("root")
-        known = self.tables["files"].read()
+        known = self.table("files")
         status = stored(scan.delta(files, known, root.rstrip("/") + "/"), "delta")
         counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
         gone = status.filter("status IN ('changed', 'deleted')").select("file_path")
@@ -61,25 +68,22 @@ class Index:
         new = stored(self.cache.embed(own).select(*names), "chunks")
         new_postings = sparse.postings(new, "chunk_id", "content").join(new.select("chunk_id", "file_path"), "chunk_id").select("chunk_id", "file_path", "term", "tf")
         edges = records.filter("record = 'edge'").select(F.lit(self.project).alias("project"), F.col("node_type").alias("type"), "source", "target", "file_path")
-        for name, rows in (("chunks", new), ("postings", new_postings), ("edges", edges)):
-            t = self.tables[name]
-            t.write(t.read().join(gone, "file_path", "left_anti").unionByName(rows))
-        self.tables["meta"].write(self.spark.createDataFrame([(self.identity, "bm25", embed.DIMENSION)], META))
-        manifest = self.tables["files"]  # last: what breaks off before is taken in again
-        manifest.write(known.join(gone, "file_path", "left_anti").unionByName(fresh.select("file_path", "file_hash", "category", "language")))
+        # one change: what breaks off before its end is as if it had never begun, and is taken in again
+        about = {"identity": self.identity, "sparse": "bm25", "dimension": self.dimension()}
+        self.log.commit(gone, {"chunks": new, "postings": new_postings, "edges": edges, "files": fresh.select("file_path", "file_hash", "category", "language")}, about)
         return out
 
     def status(self) -> dict[str, object]:
         chunks = self.chunks()
         by = retrieval.category_counts(chunks, paths.CATEGORIES).collect()
-        return {"files": self.tables["files"].read().count(), "chunks": chunks.count(), "identity": self.identity, "categories": {r["category"]: r["n"] for r in by}}
+        return {"files": self.table("files").count(), "chunks": chunks.count(), "identity": self.identity, "categories": {r["category"]: r["n"] for r in by}}
 
     def symbols(self) -> DataFrame:
         c = self.chunks().filter("fqn IS NOT NULL")
-        return graph.with_endpoints(c.select(F.lit(self.project).alias("project"), "fqn", "name", F.col("node_type").alias("kind"), "file_path").dropDuplicates(["project", "fqn"]), graph.clean_edges(self.tables["edges"].read()))
+        return graph.with_endpoints(c.select(F.lit(self.project).alias("project"), "fqn", "name", F.col("node_type").alias("kind"), "file_path").dropDuplicates(["project", "fqn"]), graph.clean_edges(self.table("edges")))
 
     def edges(self) -> DataFrame:
-        return graph.clean_edges(self.tables["edges"].read())
+        return graph.clean_edges(self.table("edges"))
 
     def _ranked(self, queries: Sequence[tuple[int, str]], operator: str, filters: dict | None, n: int) -> DataFrame:
         """(query_ord, chunk_id, score, rank) of queries that share an operator and filters."""
@@ -87,7 +91,7 @@ class Index:
         where = retrieval.filters(filters)
         legs = []
         if operator in ("keyword", "hybrid", "exact"):
-            postings = self.tables["postings"].read()
+            postings = self.table("postings")
             weights = sparse.idf(postings, "chunk_id", chunks.count())
             own = postings.join(chunks.filter(where).select("chunk_id"), "chunk_id", "left_semi") if filters else postings
             legs.append(retrieval.keyword_top_k(own, weights, retrieval.query_terms(self.spark, queries), "chunk_id", n).withColumn("score", F.col("score") / 1_000_000.0))

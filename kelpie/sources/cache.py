@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.functions import embed, text
-from kelpie.sources.store import Table
+from kelpie.sources.store import ChangeLog
 
 SCHEMA = "identity string, content_hash string, embedding array<double>"
 
@@ -15,22 +15,25 @@ class EmbeddingCache:
     """Only distinct texts that the cache lacks reach the model; hits need the same model identity."""
 
     def __init__(self, spark: SparkSession, path: str, identity: str, embedder: embed.Embedder = embed.hashing_embedder):
-        self.table, self.identity, self.embedder = Table(spark, path, SCHEMA), identity, embedder
+        self.log, self.identity, self.embedder = ChangeLog(spark, path, {"cache": SCHEMA}, ["identity", "content_hash"]), identity, embedder
 
     def entries(self) -> DataFrame:
-        return self.table.read().filter(F.col("identity") == self.identity)
+        return self.log.read("cache").filter(F.col("identity") == self.identity)
+
+    def misses(self, hashed: DataFrame) -> DataFrame:
+        """Of rows with a content_hash one for each that the cache lacks."""
+        return hashed.dropDuplicates(["content_hash"]).join(self.entries().select("content_hash"), "content_hash", "left_anti")
 
     def embed(self, rows: DataFrame, column: str = "content") -> DataFrame:
         """Adds embedding to the rows, and what was missing to the cache."""
         hashed = rows.drop("embedding").withColumn("content_hash", text.content_hash(column))
-        known = self.entries().select("content_hash")
-        missing = hashed.dropDuplicates(["content_hash"]).join(known, "content_hash", "left_anti").select("content_hash", column)
+        missing = self.misses(hashed).select("content_hash", column)
         new = embed.embed(missing, column, self.embedder).select(F.lit(self.identity).alias("identity"), "content_hash", "embedding")
-        self.table.write(self.table.read().unionByName(new))
+        self.log.commit(None, {"cache": new})
         return hashed.join(self.entries().select("content_hash", "embedding"), "content_hash")
 
     def clear(self) -> None:
-        self.table.delete(F.col("identity") == self.identity)
+        self.log.commit(self.entries(), {})
 
     def stats(self) -> dict[str, int]:
-        return {r["identity"]: r["count"] for r in self.table.read().groupBy("identity").count().collect()}
+        return {r["identity"]: r["count"] for r in self.log.read("cache").groupBy("identity").count().collect()}

@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from kelpie.functions import sparse
 from kelpie.sources import scan
-from kelpie.sources.store import Table
+from kelpie.sources.store import ChangeLog, Table, stored
 
 
 def parquet_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 1) -> DataFrame:
@@ -26,16 +26,19 @@ def upserts(stream: DataFrame, table: Table, keys: list[str], checkpoint: str) -
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def index_changes(stream: DataFrame, files: Table, postings: Table, checkpoint: str) -> StreamingQuery:
-    """Documents (file_path, content) that arrive: unchanged ones are skipped, changed ones' postings replaced."""
+def index_changes(stream: DataFrame, log: ChangeLog, checkpoint: str) -> StreamingQuery:
+    """Documents (file_path, content) that arrive: unchanged ones are skipped, changed ones' files and postings replaced.
+
+    A micro-batch writes in proportion to what changes; one that runs again finds nothing to do.
+    """
 
     def one(batch: DataFrame, _: int) -> None:
         own = batch.dropDuplicates(["file_path"]).withColumn("file_hash", F.md5(F.coalesce("content", F.lit(""))))
-        status = scan.delta(own, files.read().join(own.select("file_path"), "file_path", "left_semi"))
-        fresh = own.join(status.filter("status IN ('new', 'changed')"), "file_path", "left_semi")
-        new = sparse.postings(fresh, "file_path", "content")
-        postings.write(postings.read().join(fresh.select("file_path"), "file_path", "left_anti").unionByName(new))
-        files.replace(["file_path"], fresh.select("file_path", "file_hash"))
+        status = stored(scan.delta(own, log.read("files").join(own.select("file_path"), "file_path", "left_semi")), "delta")
+        fresh = stored(own.join(status.filter("status IN ('new', 'changed')"), "file_path", "left_semi"), "fresh")
+        if not fresh.isEmpty():
+            gone = status.filter("status = 'changed'").select("file_path")
+            log.commit(gone, {"postings": sparse.postings(fresh, "file_path", "content"), "files": fresh.select("file_path", "file_hash")})
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

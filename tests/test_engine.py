@@ -6,7 +6,7 @@ from kelpie.api import Engine, resolve
 from kelpie.operators import evidence, graph
 from kelpie.plans import search
 from kelpie.sources import artifacts, projects, scan, trace
-from kelpie.sources.store import Table
+from kelpie.sources.store import ChangeLog, Table
 
 FILES = {
     "src/Order.cs": "namespace Acme;\npublic class Order : Base\n{\n    public void Run() { Queue.Send(1); }\n    public int Count { get; set; }\n}\n",
@@ -55,6 +55,68 @@ def test_incremental_index(spark, tree, tmp_path):
     assert search.to_markdown(result).count("\n- `") == min(10, len(result.cards))
 
 
+def test_broken_off_index_leaves_no_trace(spark, tree, tmp_path, monkeypatch):
+    e = Engine(spark, str(tmp_path / "index"))
+    write, mark = ChangeLog._write, ChangeLog._mark
+
+    def until(table):
+        def broken(self, name, number, gone, tables):
+            schemas = dict(self.schemas)
+            try:
+                if "chunks" in schemas:
+                    self.schemas = {k: schemas[k] for k in list(schemas)[: list(schemas).index(table) + 1]}
+                write(self, name, number, gone, tables)
+            finally:
+                self.schemas = schemas
+            if "chunks" in schemas:
+                raise OSError(table)
+
+        return broken
+
+    def state():
+        return {t: sorted(map(str, e.idx.table(t).drop("embedding").collect())) for t in ("files", "chunks", "postings", "edges")}
+
+    before = state()
+    for table in ("files", "chunks", "postings", "edges"):
+        monkeypatch.setattr(ChangeLog, "_write", until(table))
+        with pytest.raises(OSError, match=table):
+            e.index(str(tree))
+        assert state() == before
+    monkeypatch.setattr(ChangeLog, "_write", write)
+    monkeypatch.setattr(ChangeLog, "_mark", lambda self, s: mark(self, s) if "chunks" not in self.schemas else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        e.index(str(tree))
+    monkeypatch.setattr(ChangeLog, "_mark", mark)
+    assert e.index(str(tree)) == {"indexed": 4, "deleted": 0, "skipped": 0, "errors": 0}
+    chunks = e.idx.chunks()
+    assert chunks.count() == chunks.select("chunk_id").distinct().count() > 4
+    e.idx.log.vacuum()
+    assert e.idx.chunks().count() == chunks.count()
+
+
+def test_changes_are_written_in_proportion(spark, tmp_path, monkeypatch):
+    tree = tmp_path / "many"
+    tree.mkdir()
+    for k in range(60):
+        (tree / f"f{k}.md").write_text(f"# Title {k}\n" + " ".join(f"word{k}x{j}" for j in range(400)))
+    e = Engine(spark, str(tmp_path / "index"))
+    e.index(str(tree))
+    (tree / "f7.md").write_text("# Title 7\nnew words")
+    assert e.index(str(tree)) == {"indexed": 1, "deleted": 0, "skipped": 59, "errors": 0}
+    first, second = e.idx.log.state()["changes"]
+    assert e.idx.log._size([second]) < e.idx.log._size([first]) / 10
+    monkeypatch.setattr(ChangeLog, "MOST", 2)
+    for k in range(3):  # the small changes are merged, the large one stays
+        (tree / "f7.md").write_text(f"# Title 7\nnew words {k}")
+        (tree / f"f{10 + k}.md").unlink()
+        e.index(str(tree))
+    assert first in e.idx.log.state()["changes"] and len(e.idx.log.state()["changes"]) <= 3
+    assert e.idx.table("files").count() == 57 == e.idx.chunks().select("file_path").distinct().count()
+    assert "new words 2" in e.idx.by_path(str(tree / "f7.md")).first()["content"]
+    e.idx.log.merge()
+    assert e.idx.table("files").count() == 57 and e.idx.chunks().filter("file_path LIKE '%/f7.md'").count() == 1
+
+
 def test_stop_rules(spark):
     pool = spark.createDataFrame([], search.POOL)
     b = search.Budget(max_iterations=3, max_tokens=100)
@@ -177,13 +239,13 @@ def test_streams(spark, tmp_path):
 
     rows = spark.createDataFrame([("a", "one two"), ("b", "two three")], "file_path string, content string")
     rows.coalesce(1).write.parquet(str(tmp_path / "in"))
-    files, postings = Table(spark, str(tmp_path / "files"), "file_path string, file_hash string"), Table(spark, str(tmp_path / "post"), "file_path string, term int, tf long")
-    go = lambda: stream.index_changes(stream.parquet_stream(spark, str(tmp_path / "in"), rows.schema), files, postings, str(tmp_path / "cp")).awaitTermination()
+    log = ChangeLog(spark, str(tmp_path / "log"), {"files": "file_path string, file_hash string", "postings": "file_path string, term int, tf long"}, ["file_path"])
+    go = lambda: stream.index_changes(stream.parquet_stream(spark, str(tmp_path / "in"), rows.schema), log, str(tmp_path / "cp")).awaitTermination()
     go()
-    assert postings.read().count() == 4
+    assert log.read("postings").count() == 4
     spark.createDataFrame([("a", "one"), ("b", "two three")], rows.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     go()
-    assert sorted(r["file_path"] for r in postings.read().collect()) == ["a", "b", "b"]
+    assert sorted(r["file_path"] for r in log.read("postings").collect()) == ["a", "b", "b"]
     events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
     events.coalesce(1).write.parquet(str(tmp_path / "events"))
     got = []
