@@ -23,8 +23,8 @@ class Engine:
     def __init__(self, spark: SparkSession, path: str, **options):
         self.spark, self.idx = spark, Index(spark, path, **options)
 
-    def index(self, root: str) -> dict[str, int]:
-        return self.idx.index(root)
+    def index(self, root: str, artifacts_path: str | None = None) -> dict[str, int]:
+        return self.idx.index(root, artifacts_path)
 
     def index_status(self) -> dict[str, object]:
         return self.idx.status()
@@ -40,12 +40,19 @@ class Engine:
         nodes, edges = (self.idx.symbols(), self.idx.edges()) if with_graph else (None, None)
         return search.run(self.idx, query, planner, search.Budget(max_iterations=max_iterations), nodes, edges)
 
-    def analyze(self, root: str, output: str | None = None, extensions: tuple[str, ...] = ()) -> dict[str, object]:
-        """Counts of what a tree would give, its kind, and the first errors; artifacts go to the output folder."""
+    def analyze(self, root: str, output: str | None = None, extensions: tuple[str, ...] = (), artifacts_path: str | None = None) -> dict[str, object]:
+        """Counts of what a tree would give, its kind, and the first errors; artifacts go to the output folder.
+
+        Files that other analysers' artifacts cover count by these, the rest by the built-in splitters.
+        """
         files = scan.scan(self.spark, root)
         if extensions:
             files = files.filter(F.lower(F.regexp_extract("file_path", r"(\.[^./]+)$", 1)).isin(*extensions))
-        records = stored(chunking.records(files), "records")  # each file is split once
+        records = chunking.records(files)
+        if artifacts_path:
+            covered = artifacts.below(artifacts.read(self.spark, artifacts_path), root).join(files.select("file_path"), "file_path", "left_semi")
+            records = chunking.two_phase(files, covered).unionByName(artifacts.records(covered, self.idx.project), allowMissingColumns=True)
+        records = stored(records, "records")  # each file is split once
         if output:
             artifacts.write(records, output)
         counts = {r["record"]: r["count"] for r in records.groupBy("record").count().collect()}

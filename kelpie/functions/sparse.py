@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +37,32 @@ def tokens_of(text: str) -> list[str]:
     return re.findall(r"\w+", text.lower())
 
 
-def postings(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf): raw term frequencies; tokens that share a number add up."""
-    one = df.select(key, F.explode(tokens(text)).alias("token"))
-    # each token is hashed once a document, not once an occurrence
-    counted = one.groupBy(key, "token").agg(F.count("*").alias("tf"))
-    return counted.select(key, term_number(F.col("token")).alias("term"), "tf").groupBy(key, "term").agg(F.sum("tf").alias("tf"))
+def postings(df: DataFrame, key: str, text: str, only: Iterable[int] | None = None) -> DataFrame:
+    """(key, term, tf): raw term frequencies of texts whose keys are unique; tokens that share a number add up.
+
+    A document's counts lie within its row, so nothing shuffles: tokens are found in the JVM and
+    counted in an Arrow kernel, which hashes each token once a batch. With ``only`` the terms of
+    some queries alone are handed on.
+    """
+    kept = None if only is None else np.unique(np.fromiter(only, np.int32))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column(1)
+            encoded = own.flatten().dictionary_encode()
+            if not len(encoded):
+                continue
+            terms = np.fromiter(map(term_number_of, encoded.dictionary.to_pylist()), np.int64, len(encoded.dictionary))
+            at = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy())
+            pairs, tf = np.unique(at * VOCABULARY + terms[encoded.indices.to_numpy()], return_counts=True)
+            row, term = np.divmod(pairs, VOCABULARY)
+            if kept is not None:
+                some = np.isin(term, kept)
+                row, term, tf = row[some], term[some], tf[some]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(term.astype(np.int32)), pa.array(tf.astype(np.int64))], [key, "term", "tf"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, tokens(text).alias("tokens")).mapInArrow(run, f"{key} {kind}, term int, tf long")
 
 
 def idf(postings: DataFrame, key: str, n_docs: Column | int) -> DataFrame:

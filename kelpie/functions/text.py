@@ -24,9 +24,9 @@ CONFIG_KEY_PATTERNS = (
 ENUM_PATTERNS = (r"enum\s+(\w+)", r"(\w+Status)\.\w+", r"(\w+State)\.\w+", r"(\w+Type)\.\w+")
 CONSTANT_PATTERN = r"\b([A-Z][A-Z0-9_]{2,})\b"
 CONSTANT_NOISE = (
-    "SELECT UPDATE INSERT DELETE FROM WHERE NULL TRUE FALSE AND OR NOT JOIN LEFT RIGHT INNER OUTER ORDER GROUP "
-    "HAVING LIMIT OFFSET CREATE ALTER DROP TABLE INDEX BEGIN END DECLARE SET EXEC PROCEDURE FUNCTION"
-).split()
+    "SELECT", "UPDATE", "INSERT", "DELETE", "FROM", "WHERE", "NULL", "TRUE", "FALSE", "AND", "OR", "NOT", "JOIN", "LEFT", "RIGHT", "INNER", "OUTER", "ORDER", "GROUP",
+    "HAVING", "LIMIT", "OFFSET", "CREATE", "ALTER", "DROP", "TABLE", "INDEX", "BEGIN", "END", "DECLARE", "SET", "EXEC", "PROCEDURE", "FUNCTION",
+)
 TAG_PATTERNS = {
     "timeout": r"timeout|ttl|deadline",
     "state-machine": r"state\s*machine|transition|enum.*status",
@@ -50,7 +50,7 @@ ACCEPT_PATTERNS = {
     "entry point": (r"public\s+(async\s+)?Task", r"\[Http", r"@\w+Mapping", r"Main\("),
     "call edge": (r"\w+\.\w+\(", r"await\s+\w+", r"\.Invoke\(", r"\.Execute\("),
 }
-CAUSAL_VERBS = "update change transition set modify trigger call invoke execute retry timeout handle process create delete insert save".split()
+CAUSAL_VERBS = ("update", "change", "transition", "set", "modify", "trigger", "call", "invoke", "execute", "retry", "timeout", "handle", "process", "create", "delete", "insert", "save")
 
 LINE_NUMBER = r"^\s*\d+[\s:|\-]+\s*"
 DATE_TIME, DATE = r"\d{4}-\d{2}-\d{2}[T\s]\d{2}:\d{2}:\d{2}(?:\.\d+)?", r"\d{4}-\d{2}-\d{2}"
@@ -105,9 +105,27 @@ def named_entities(c: Column | str) -> Column:
     return F.struct(config_keys(c).alias("config_keys"), enums(c).alias("enums"), constants(c).alias("constants"))
 
 
+def occurs(t: Column, pattern: str) -> Column:
+    """Whether one of a pattern's alternatives occurs in a lower-cased text.
+
+    Plain words are looked for as strings; an expression runs only where the plain words that it
+    begins and ends with occur. A run at either end of an expression may as well be one character.
+    """
+    found = []
+    for part in pattern.split("|"):
+        if re.fullmatch(r"(?:[a-z]|\\\.)+", part):
+            found.append(t.contains(part.replace("\\", "")))
+            continue
+        plain = {m for m in (re.match(r"[a-z]*", part)[0], re.search(r"[a-z]*$", re.sub(r"\\.", " ", part))[0]) if m}
+        short = re.sub(r"\\w\+$", r"\\w", re.sub(r"^\\w\+", r"\\w", part))
+        found.append(reduce(lambda a, b: a & b, [*(t.contains(m) for m in sorted(plain)), t.rlike(UNICODE + short)]))
+    return reduce(lambda a, b: a | b, found)
+
+
 def tags(text: Column | str, path: Column | str) -> Column:
     t, p = F.lower(text_or_empty(text)), F.lower(text_or_empty(path))
-    found = [F.when(t.rlike("(?iU)" + x), F.lit(k)) for k, x in TAG_PATTERNS.items()]
+    t = F.translate(t, "ſı", "si")  # in any case these are s and i, though lower-casing leaves them
+    found = [F.when(occurs(t, x), F.lit(k)) for k, x in TAG_PATTERNS.items()]
     found += [F.when(reduce(lambda a, b: a | b, [p.contains(x) for x in xs]), F.lit(k)) for k, xs in PATH_TAGS]
     return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
 

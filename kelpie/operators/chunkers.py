@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 from html.parser import HTMLParser
 
 MAX_TOKENS = 2000
@@ -209,9 +211,10 @@ def closing(text: str, at: int) -> int:
             while k < n and text[k] != c:
                 k += 2 if text[k] == "\\" else 1
         elif text.startswith("//", k):
-            k = text.find("\n", k) if "\n" in text[k:] else n
+            k = text.find("\n", k)
+            k = n if k < 0 else k
         elif text.startswith("/*", k):
-            k = text.find("*/", k + 2) + 1 if "*/" in text[k + 2 :] else n
+            k = text.find("*/", k + 2) + 1 or n
         elif c == "{":
             depth += 1
         elif c == "}":
@@ -222,8 +225,14 @@ def closing(text: str, at: int) -> int:
     return n
 
 
+@lru_cache(maxsize=1)
+def line_starts(text: str) -> list[int]:
+    """Where lines begin; kept for the file that is being split."""
+    return [0, *(m.end() for m in re.finditer("\n", text))]
+
+
 def line_at(text: str, at: int) -> int:
-    return text.count("\n", 0, at) + 1
+    return bisect_right(line_starts(text), at)
 
 
 def bare_type(name: str) -> str:

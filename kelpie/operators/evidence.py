@@ -38,13 +38,13 @@ def cards(hits: DataFrame, round_found: int) -> DataFrame:
 def upsert(rounds: DataFrame) -> DataFrame:
     """One card a fingerprint of (fingerprint, score_rerank, round_found, ord, ...): the best score, the earlier on ties.
 
-    It keeps the first round and place that the fingerprint had, whichever card wins.
+    It keeps the first round and place that the fingerprint had, whichever card wins. Cards are
+    compared before they shuffle, so that boilerplate of one fingerprint meets nowhere.
     """
-    by = W.partitionBy("fingerprint")
-    came = by.orderBy("round_found", "ord")
-    ranked = rounds.withColumn("_best", F.row_number().over(by.orderBy(F.desc("score_rerank"), "round_found", "ord")))
-    ranked = ranked.withColumn("_round", F.first("round_found").over(came)).withColumn("_ord", F.first("ord").over(came))
-    return ranked.filter("_best = 1").withColumn("round_found", F.col("_round")).withColumn("ord", F.col("_ord")).drop("_best", "_round", "_ord")
+    rest = [c for c in rounds.columns if c not in ("fingerprint", "round_found", "ord")]
+    best = F.max_by(F.struct(*rest), F.struct("score_rerank", -F.col("round_found"), -F.col("ord")))
+    one = rounds.groupBy("fingerprint").agg(best.alias("_best"), F.min(F.struct("round_found", "ord")).alias("_came"))
+    return one.select("fingerprint", *(F.col(f"_best.`{c}`").alias(c) for c in rest), "_came.round_found", "_came.ord").select(*rounds.columns)
 
 
 def new_cards(pool: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -15,9 +15,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # The relations that are stored, those that help a search, and names that say nothing.
-EDGE_TYPES = "MEMBER_OF INHERITS IMPLEMENTS IMPORTS CALLS USES_TYPE DEFINED_IN CREATES OVERRIDES REFERENCES SUBSECTION_OF PUBLISHES_TO SUBSCRIBES_TO ANNOTATED_BY".split()
-USEFUL_TYPES = "INHERITS IMPLEMENTS MEMBER_OF USES_TYPE CALLS CREATES".split()
-NOISE_PREFIXES = "System Microsoft Newtonsoft AutoMapper Flurl NLog Casbin Serilog Swashbuckle Hangfire".split()
+EDGE_TYPES = (
+    "MEMBER_OF", "INHERITS", "IMPLEMENTS", "IMPORTS", "CALLS", "USES_TYPE", "DEFINED_IN", "CREATES", "OVERRIDES", "REFERENCES", "SUBSECTION_OF", "PUBLISHES_TO", "SUBSCRIBES_TO",
+    "ANNOTATED_BY",
+)
+USEFUL_TYPES = ("INHERITS", "IMPLEMENTS", "MEMBER_OF", "USES_TYPE", "CALLS", "CREATES")
+NOISE_PREFIXES = ("System", "Microsoft", "Newtonsoft", "AutoMapper", "Flurl", "NLog", "Casbin", "Serilog", "Swashbuckle", "Hangfire")
 NODE_LABELS = {"class": "Class", "interface": "Interface", "enum": "Enum", "struct": "Struct", "method": "Method", "constructor": "Constructor", "property": "Property", "record": "Record"}
 
 
@@ -94,16 +97,23 @@ def directed(edges: DataFrame, direction: str) -> DataFrame:
 def neighbors(nodes: DataFrame, edges: DataFrame, start: DataFrame, depth: int = 1, direction: str = "both", types: Sequence[str] | None = None, limit: int | None = 50) -> DataFrame:
     """(project, fqn, name, kind, hops): symbols within one to three hops that aren't external, by hops and name.
 
-    Paths reach as far as they do without the limit; only the report is cut.
+    Paths reach as far as they do without the limit; only the report is cut. Edges, starts and each
+    hop's frontier are written to the shared folder, so that no hop is done again for the next.
     """
+    from kelpie.sources.store import stored
+
     depth = min(3, max(1, depth))
     if types:
         edges = edges.filter(F.col("type").isin(*(t.upper() for t in types)))
-    steps = directed(edges, direction)
+    start = stored(start.select("project", "fqn"), "start")
+    steps = directed(stored(edges.select("project", "type", "source", "target"), "steps"), direction)
     front = start.select("project", F.col("fqn").alias("from"))
     seen, reached = front.withColumn("hops", F.lit(0)), []
     for hop in range(1, depth + 1):  # a node counts where it is first reached, so hubs don't multiply paths
         front = front.join(steps, ["project", "from"]).select("project", F.col("to").alias("from")).distinct().join(seen, ["project", "from"], "left_anti")
+        front = stored(front, "frontier")
+        if front.isEmpty():
+            break
         seen = seen.unionByName(front.withColumn("hops", F.lit(hop)))
         reached.append(front.select("project", F.col("from").alias("fqn"), F.lit(hop).alias("hops")))
     reached.append(returns(start, steps, depth))
@@ -209,7 +219,9 @@ def card_symbols(cards: DataFrame, limit: int = 8) -> DataFrame:
 
 def expand(symbols: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataFrame, seen_paths: DataFrame, top_k: int = 5, per_file: int = 2) -> DataFrame:
     """Chunks of the files that most symbols lead to in one hop: (path, chunk_index, hits), per_file of each, top_k in all."""
-    start = nodes.alias("n").join(symbols.alias("s"), (F.col("n.name") == F.col("s.symbol")) | (F.col("n.fqn") == F.col("s.symbol"))).select("n.project", F.col("n.fqn").alias("from")).distinct()
+    own = symbols.select("symbol").distinct()
+    called = [nodes.join(own, F.col(c) == F.col("symbol"), "left_semi").select("project", F.col("fqn").alias("from")) for c in ("name", "fqn")]
+    start = called[0].unionByName(called[1]).distinct()
     steps = directed(edges.filter(F.col("type").isin(*USEFUL_TYPES)), "both")
     ends = steps.join(F.broadcast(start), ["project", "from"]).select("project", F.col("to").alias("fqn"), "edge")
     inner = nodes.filter("kind <> 'external' AND file_path IS NOT NULL").select("project", "fqn", F.col("file_path").alias("path"))

@@ -56,5 +56,5 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k in (2, 3):
         out = out.union(edge(supplier, "CALLS", name("supplier", s), name("supplier", s * k % 97 + 1)))
     items, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
-    used = items.join(orders, c("l_orderkey") == c("o_orderkey")).filter("l_linenumber = 1").select("o_custkey", "l_suppkey")
+    used = items.join(orders, c("l_orderkey") == c("o_orderkey")).select("o_custkey", "l_suppkey")
     return out.union(edge(used, "USES_TYPE", name("customer", c("o_custkey")), name("supplier", c("l_suppkey"))))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kelpie.functions import embed, paths, sparse
 from kelpie.operators import chunking, graph, retrieval
-from kelpie.sources import scan
+from kelpie.sources import artifacts, scan
 from kelpie.sources.cache import EmbeddingCache
 from kelpie.sources.store import ChangeLog, stored
 
@@ -46,8 +46,11 @@ class Index:
             self._dimension = len(self.embedder(["dimension"])[0])
         return self._dimension
 
-    def index(self, root: str) -> dict[str, int]:
-        """Take in what changed below the root; a second call on the same tree finds nothing to do."""
+    def index(self, root: str, artifacts_path: str | None = None) -> dict[str, int]:
+        """Take in what changed below the root; a second call on the same tree finds nothing to do.
+
+        Changed files that an analyser's artifact covers come in from there, others are split here.
+        """
         if self.needs_rebuild():
             self.log.drop()
         found = scan.scan(self.spark, root).withColumn("root", F.lit(root.rstrip("/")))
@@ -60,7 +63,12 @@ class Index:
         out = {"indexed": counts.get("new", 0) + counts.get("changed", 0), "deleted": counts.get("deleted", 0), "skipped": counts.get("same", 0), "errors": 0}
         if not out["indexed"] and not out["deleted"]:
             return out
-        records = stored(chunking.records(fresh), "records")
+        records = chunking.records(fresh)
+        if artifacts_path:
+            covered = artifacts.below(artifacts.read(self.spark, artifacts_path), root)
+            covered = covered.withColumn("file_path", F.concat_ws("/", F.lit(root.rstrip("/")), "file_path")).join(fresh.select("file_path"), "file_path", "left_semi")
+            records = chunking.two_phase(fresh, covered).unionByName(artifacts.records(covered, self.project), allowMissingColumns=True)
+        records = stored(records, "records")
         out["errors"] = records.filter("record = 'error'").count()
         own = records.filter("record = 'symbol'").join(fresh.select("file_path", "file_hash", "category", "language"), "file_path")
         own = own.withColumn("chunk_id", F.sha2(F.concat_ws("\x00", "file_path", F.col("chunk_index").cast("string"), "content"), 256))

@@ -61,9 +61,11 @@ keyword AS (SELECT *, row_number() OVER (PARTITION BY query_ord ORDER BY score D
 hits AS (SELECT query_ord::INTEGER AS query_ord, doc_id, score, rank::INTEGER AS rank FROM keyword WHERE rank <= {k})"""
 
 
-def built(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def built(spark: SparkSession, sf_dir: str, queries: list[tuple[int, str]] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Documents, postings and idf; of queries' terms alone where they are given, which is all that these read."""
     docs = fixtures.documents(spark, sf_dir)
-    postings = stored(sparse.postings(docs, "doc_id", "text"), "postings")
+    only = None if queries is None else {sparse.term_number_of(t) for _, q in queries for t in sparse.tokens_of(q)}
+    postings = stored(sparse.postings(docs, "doc_id", "text", only), "postings")
     return docs, postings, sparse.idf(postings, "doc_id", docs.count())
 
 
@@ -90,13 +92,13 @@ def idf_table(spark, sf_dir):
 
 @query("keyword_topk", keyword_sql(10) + " SELECT * FROM hits")
 def keyword_topk(spark, sf_dir):
-    _, postings, idf = built(spark, sf_dir)
+    _, postings, idf = built(spark, sf_dir, WORD_QUERIES)
     return retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, WORD_QUERIES), "doc_id", 10)
 
 
 @query("filtered_topk", keyword_sql(10, "lang IN ('en', 'de') AND source = 'src0'") + " SELECT * FROM hits")
 def filtered_topk(spark, sf_dir):
-    docs, postings, idf = built(spark, sf_dir)
+    docs, postings, idf = built(spark, sf_dir, WORD_QUERIES)
     allowed = docs.filter(retrieval.filters({"lang": ["en", "de"], "source": "src0", "doc_id": None})).select("doc_id")
     own = postings.join(allowed, "doc_id", "left_semi")
     return retrieval.keyword_top_k(own, idf, retrieval.query_terms(spark, WORD_QUERIES), "doc_id", 10)
@@ -130,7 +132,7 @@ SELECT * FROM (SELECT query_ord, doc_id, score, (row_number() OVER (PARTITION BY
 )
 def hybrid_rrf(spark, sf_dir):
     """Terms over documents and vectors over embeddings, whose ids are taken to be the same things."""
-    _, postings, idf = built(spark, sf_dir)
+    _, postings, idf = built(spark, sf_dir, WORD_QUERIES)
     e, q = query_vectors(spark, sf_dir)
     words = retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, WORD_QUERIES), "doc_id", 50)
     near = retrieval.semantic_top_k(e, "vec_id", "embedding", [x for x in q if x[0] < 5], 50).withColumnRenamed("vec_id", "doc_id")
@@ -147,7 +149,7 @@ placed AS (SELECT query_ord, doc_id, exact_match, (row_number() OVER (PARTITION
 SELECT query_ord, doc_id, exact_match, place AS rank FROM placed WHERE place <= 10""",
 )
 def exact_search(spark, sf_dir):
-    docs, postings, idf = built(spark, sf_dir)
+    docs, postings, idf = built(spark, sf_dir, WORD_QUERIES)
     hits = retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, WORD_QUERIES), "doc_id", 20)
     return retrieval.exact_top_k(hits, docs, "doc_id", SUBSTRING_QUERIES, 10)
 
@@ -159,7 +161,7 @@ def exact_search(spark, sf_dir):
 SELECT query_ord, doc_id, score, rank FROM firsts WHERE n = 1""",
 )
 def batch_merge(spark, sf_dir):
-    _, postings, idf = built(spark, sf_dir)
+    _, postings, idf = built(spark, sf_dir, WORD_QUERIES)
     return retrieval.merge(retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, WORD_QUERIES), "doc_id", 30), "doc_id")
 
 
@@ -172,7 +174,7 @@ def batch_merge(spark, sf_dir):
 SELECT doc_id, score_rerank FROM scored ORDER BY score_rerank DESC, doc_id LIMIT 20""",
 )
 def simple_rerank(spark, sf_dir):
-    docs, postings, idf = built(spark, sf_dir)
+    docs, postings, idf = built(spark, sf_dir, WORD_QUERIES)
     hits = retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, WORD_QUERIES[:1]), "doc_id", 60)
     hits = hits.withColumn("score", F.col("score") / 1_000_000.0).join(docs.select("doc_id", "text"), "doc_id")
     return retrieval.simple_rerank(hits, WORD_QUERIES[0][1]).select("doc_id", "score_rerank")
@@ -255,13 +257,15 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY fingerprint ORDER BY score_
 pool AS (SELECT id, path, chunk_text, fingerprint, tags, source_kind, score_rerank, first_round AS round_found, first_ord AS ord FROM ranked WHERE best = 1)"""
 
 
-def pool(spark, sf_dir) -> DataFrame:
-    return stored(evidence.upsert(fixtures.cards(spark, sf_dir)), "pool")
+def pool(spark, sf_dir, *unread: str) -> DataFrame:
+    """The pool without what its reader doesn't look at; what is stored would be worked out, read or not."""
+    return stored(evidence.upsert(fixtures.cards(spark, sf_dir).drop(*unread)), "pool")
 
 
 @query("pool_upsert", f"WITH {CARDS} SELECT fingerprint, id, score_rerank, round_found, ord FROM pool")
 def pool_upsert(spark, sf_dir):
-    return evidence.upsert(fixtures.cards(spark, sf_dir)).select("fingerprint", "id", "score_rerank", "round_found", "ord")
+    # columns are named before: an aggregate of whole cards keeps all of them
+    return evidence.upsert(fixtures.cards(spark, sf_dir).select("fingerprint", "id", "score_rerank", "round_found", "ord"))
 
 
 EVICTION = """
@@ -275,12 +279,12 @@ scored AS (SELECT pool.*, round(score_rerank + 0.2::DOUBLE * greatest(0, 2 - (2
 
 @query("eviction_scores", f"WITH {CARDS}, {EVICTION} SELECT fingerprint, evict_score FROM scored")
 def eviction_scores(spark, sf_dir):
-    return evidence.eviction_scores(pool(spark, sf_dir), 2).select("fingerprint", "evict_score")
+    return evidence.eviction_scores(pool(spark, sf_dir, "entities", "chunk_text"), 2).select("fingerprint", "evict_score")
 
 
 @query("evicted_pool", f"WITH {CARDS}, {EVICTION} SELECT fingerprint FROM scored ORDER BY evict_score DESC, ord DESC LIMIT 200")
 def evicted_pool(spark, sf_dir):
-    return evidence.evict(pool(spark, sf_dir), 2).select("fingerprint")
+    return evidence.evict(pool(spark, sf_dir, "entities", "chunk_text"), 2).select("fingerprint")
 
 
 @query(
@@ -294,7 +298,7 @@ kept AS (SELECT fresh.*, row_number() OVER (ORDER BY rn) AS rank FROM fresh WHER
 SELECT rank::INTEGER AS rank, id, module, score_rerank FROM kept WHERE rank <= 20""",
 )
 def working_set(spark, sf_dir):
-    return evidence.working_set(stored(evidence.evict(pool(spark, sf_dir), 2), "small")).select("rank", "id", "module", "score_rerank")
+    return evidence.working_set(stored(evidence.evict(pool(spark, sf_dir, "entities", "chunk_text"), 2), "small")).select("rank", "id", "module", "score_rerank")
 
 
 @query(
@@ -373,7 +377,7 @@ edges AS (SELECT DISTINCT * FROM (SELECT 'MEMBER_OF' AS type, 'nation.' || n_nat
   UNION ALL SELECT 'IMPLEMENTS', 'supplier.' || s_suppkey, 'nation.' || s_nationkey FROM supplier
   UNION ALL SELECT 'CALLS', 'supplier.' || s_suppkey, 'supplier.' || (s_suppkey * 2 % 97 + 1) FROM supplier
   UNION ALL SELECT 'CALLS', 'supplier.' || s_suppkey, 'supplier.' || (s_suppkey * 3 % 97 + 1) FROM supplier
-  UNION ALL SELECT 'USES_TYPE', 'customer.' || o_custkey, 'supplier.' || l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_linenumber = 1)),
+  UNION ALL SELECT 'USES_TYPE', 'customer.' || o_custkey, 'supplier.' || l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey)),
 both_ways AS (SELECT type || '|' || source || '|' || target AS edge, type, source AS a, target AS b FROM edges UNION ALL SELECT type || '|' || source || '|' || target, type, target, source FROM edges)"""
 
 
@@ -422,7 +426,16 @@ def graph_call_reach(spark, sf_dir):
     return graph.reachable(spark, graph_tables(spark, sf_dir)[1].filter("type = 'CALLS'"), ["supplier.1"], 5)
 
 
-@query("graph_call_chain")
+@query(
+    "graph_call_chain",
+    f"""WITH RECURSIVE {GRAPH.strip().replace(chr(10), ' ')},
+calls AS (SELECT source, target FROM edges WHERE type = 'CALLS'),
+r AS (SELECT 'supplier.1' AS fqn, 0 AS hops UNION SELECT target, hops + 1 FROM r JOIN calls ON source = fqn WHERE hops < 8),
+near AS (SELECT fqn, min(hops) AS hops FROM r GROUP BY fqn),
+prior AS (SELECT c.target AS fqn, min(c.source) AS prior FROM calls c JOIN near t ON t.fqn = c.target JOIN near s ON s.fqn = c.source AND s.hops = t.hops - 1 GROUP BY c.target),
+chain AS (SELECT fqn, hops FROM near WHERE fqn = 'supplier.28' UNION ALL SELECT prior, hops - 1 FROM chain JOIN prior USING (fqn) WHERE hops > 0)
+SELECT hops::INTEGER AS pos, fqn FROM chain""",
+)
 def graph_call_chain(spark, sf_dir):
     chain = graph.call_chain(spark, graph_tables(spark, sf_dir)[1], "supplier.1", "supplier.28", 8)
     return spark.createDataFrame(list(enumerate(chain)), "pos int, fqn string")
@@ -514,7 +527,7 @@ def cache_misses(spark, sf_dir):
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Terms to cards: keyword top 10 of a query, reranked, with fingerprints, tags and snippets."""
-    docs, postings, idf = built(spark, sf_dir)
+    docs, postings, idf = built(spark, sf_dir, WORD_QUERIES)
     hits = retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, WORD_QUERIES[:1]), "doc_id", 10).join(docs, "doc_id")
     best = retrieval.simple_rerank(hits.withColumn("score", F.col("score") / 1_000_000.0), WORD_QUERIES[0][1])
     path = F.concat_ws("/", "source", "lang", F.concat("doc_id", F.lit(".txt")))

@@ -52,13 +52,31 @@ def nodes(artifacts: DataFrame, project: str, source_root: str | None = None, ze
     )
 
 
+def below(artifacts: DataFrame, root: str) -> DataFrame:
+    """Artifacts with their files' paths relative to the root: given below it, below /src/, or relative."""
+    p, start = F.col("file_path"), root.rstrip("/") + "/"
+    own = F.when(p.startswith(start), F.substr(p, F.lit(len(start) + 1))).otherwise(F.regexp_replace(p, "^/(src/)?", ""))
+    return artifacts.withColumn("file_path", own)
+
+
+def records(artifacts: DataFrame, project: str) -> DataFrame:
+    """Artifacts as the chunkers' records, so that an index takes both in alike; a symbol without content has its name."""
+    s = artifacts.select("file_path", F.size("symbols").alias("total_chunks"), F.posexplode("symbols").alias("chunk_index", "s"))
+    symbols = s.select(
+        "file_path", F.lit("symbol").alias("record"), short_name(F.col("s.name")).alias("name"), F.lower("s.node_type").alias("node_type"), F.coalesce("s.content", "s.name").alias("content"),
+        F.col("s.metadata.namespace").alias("namespace"), F.col("s.name").alias("fqn"), "s.start_line", "s.end_line", "chunk_index", "total_chunks",
+    )
+    links = edges(artifacts, project).select("file_path", F.lit("edge").alias("record"), F.col("type").alias("node_type"), "source", "target")
+    return symbols.unionByName(links, allowMissingColumns=True)
+
+
 def edges(artifacts: DataFrame, project: str) -> DataFrame:
     """Graph edges: the artifacts', callees without parameter lists resolved to the methods that have them, and enums' members."""
-    r = artifacts.select(F.explode("relationships").alias("r")).select(F.upper("r.type").alias("type"), "r.source", "r.target", "r.kind", "r.target_name", F.col("r.metadata.line").alias("line"), F.col("r.metadata.queue_name").alias("queue_name"))
+    r = artifacts.select("file_path", F.explode("relationships").alias("r")).select("file_path", F.upper("r.type").alias("type"), "r.source", "r.target", "r.kind", "r.target_name", F.col("r.metadata.line").alias("line"), F.col("r.metadata.queue_name").alias("queue_name"))
     names = artifacts.select(F.explode("symbols").alias("s")).select(F.col("s.name").alias("full"), F.substring_index("s.name", "(", 1).alias("bare")).filter(F.col("full") != F.col("bare"))
     one = names.groupBy("bare").agg(F.min("full").alias("full"))
     calls = (F.col("type") == "CALLS") & (F.col("target") == F.col("bare"))
     r = r.join(one, calls, "left").withColumn("target", F.coalesce("full", "target")).drop("bare", "full")
-    members = artifacts.select(F.explode("symbols").alias("s")).filter("lower(s.node_type) = 'enum_member'")
-    members = members.select(F.lit("MEMBER_OF").alias("type"), F.col("s.name").alias("source"), F.regexp_extract("s.name", r"^(.*)\.[^.]*$", 1).alias("target"))
+    members = artifacts.select("file_path", F.explode("symbols").alias("s")).filter("lower(s.node_type) = 'enum_member'")
+    members = members.select("file_path", F.lit("MEMBER_OF").alias("type"), F.col("s.name").alias("source"), F.regexp_extract("s.name", r"^(.*)\.[^.]*$", 1).alias("target"))
     return r.unionByName(members, allowMissingColumns=True).withColumn("project", F.lit(project)).filter("source <> target")

@@ -300,3 +300,20 @@ def test_models_plug_in(spark):
     new = spark.createDataFrame([("p", "f", None), ("p", "g", "h2")], old.schema)
     assert {r["path"]: r["hash"] for r in graph.upsert_files(old, new).collect()} == {"f": "h1", "g": "h2"}
     assert search.unsupported(["it handles x", "it is x"]) == ["it is x"]
+
+
+def test_artifacts_go_into_the_index(spark, tmp_path):
+    src, given = tmp_path / "src", tmp_path / "artifacts"
+    src.mkdir()
+    given.mkdir()
+    (src / "A.cs").write_text("class A { }")
+    (src / "b.py").write_text("def f():\n    pass\n")
+    run = {"name": "N.A.Run(int)", "node_type": "Method", "content": "void Run(int x) {}", "start_line": 1, "end_line": 1}
+    calls = {"type": "calls", "source": "N.A.Go", "target": "N.A.Run"}
+    (given / "A.json").write_text(json.dumps({"file_path": "/src/A.cs", "language": "csharp", "symbols": [run], "relationships": [calls]}))
+    e = Engine(spark, str(tmp_path / "index"))
+    assert e.index(str(src), str(given))["indexed"] == 2
+    assert {(r["file_path"].rsplit("/", 1)[-1], r["fqn"]) for r in e.idx.chunks().collect()} == {("A.cs", "N.A.Run(int)"), ("b.py", "f")}
+    assert [(r["type"], r["source"], r["target"]) for r in e.idx.edges().collect()] == [("CALLS", "N.A.Go", "N.A.Run(int)")]
+    found = e.analyze(str(src), artifacts_path=str(given))
+    assert (found["symbols"], found["relations"]) == (2, 1)

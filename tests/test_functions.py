@@ -83,3 +83,11 @@ def test_terms(spark):
 def test_hashing_embedder():
     v = hashing_embedder(["a b c", "a b c", "", "other words"])
     assert (v[0] == v[1]).all() and abs((v[0] ** 2).sum() - 1) < 1e-9 and not v[2].any()
+
+
+def test_tags_equal_whole_patterns(spark):
+    words = ["enum OrderStatus", "status enum", "state  machine", "statemachine", "state", "tbl", "tblx", "stored proc", "sp1", "a.b(", ".b(", "a.(", "a::b", "::b", "x.config", "xconfig", "ROBOT", "tımeout", "ſelect", "K", "", None]
+    rows = [(i, t) for i, t in enumerate(words)]
+    got = {r["i"]: r["tags"] for r in spark.createDataFrame(rows, "i int, t string").select("i", text.tags("t", F.lit("")).alias("tags")).collect()}
+    for i, t in rows:
+        assert got[i] == sorted(k for k, p in text.TAG_PATTERNS.items() if re.search(p, (t or "").lower(), re.I)), t
