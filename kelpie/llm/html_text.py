@@ -36,6 +36,7 @@ STOPS = re.compile(r"[>\"']")
 DEPTH = 50
 NAMES = re.compile(r"""(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 LABEL = re.compile(r'data-main="1"')
+LONG_REFERENCE = re.compile(r"&#([0-9]{8,})")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 BLOCKS = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -63,6 +64,16 @@ GROUP = {w: g for g, ws in WORDS.items() for w in ws.split()}
 TAGS = frozenset("article main section nav header footer aside form ul ol table figure figcaption blockquote dl button label select fieldset dialog details".split())
 
 
+def decoded(raw: str) -> str:
+    """Character references decoded; decimal numbers beyond Unicode, of any length, are U+FFFD."""
+
+    def short(m: re.Match) -> str:
+        digits = m[1].lstrip("0") or "0"
+        return f"&#{digits}" if len(digits) < 8 else "&#9999999"
+
+    return unescape(LONG_REFERENCE.sub(short, raw)) if "&" in raw else raw
+
+
 @dataclass
 class Leaf:
     text: str
@@ -176,7 +187,7 @@ def leaves(html: str | None) -> list[Leaf]:
 
     def add(raw: str) -> None:
         nonlocal linked
-        text = unescape(raw) if "&" in raw else raw
+        text = decoded(raw)
         chunks.append(text)
         if in_link:
             linked += len(text.strip())

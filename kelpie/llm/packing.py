@@ -8,7 +8,7 @@ whole capacity needs no rank: it is a sequence by itself.
 
 Defined results: null or empty text is the end id alone; a very long text is cut into as many
 pieces as it needs; repeated rows are packed once each; pieces of one length are ranked by id and
-place, ties in any order; further columns of the documents are left out; an empty table gives no
+place, then by the checksum of their ids, and pieces that are still equal are the same rows; further columns of the documents are left out; an empty table gives no
 rows.
 """
 
@@ -98,7 +98,8 @@ def ranked(pieces: DataFrame, counts: dict[int, int]) -> DataFrame:
     dealt = pieces.join(buckets, "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
     sizes = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.withColumn("before", F.sum("n").over(W.partitionBy("length").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
-    own = dealt.withColumn("own", F.row_number().over(W.partitionBy("length", "bucket").orderBy("doc_id", "piece")))
+    order = ("doc_id", "piece", "start", "ids_crc32")  # what is still equal then is the same row, whichever slot it takes
+    own = dealt.withColumn("own", F.row_number().over(W.partitionBy("length", "bucket").orderBy(*order)))
     return own.join(before.drop("n"), ["length", "bucket"]).withColumn("rank", F.col("own") - 1 + F.coalesce("before", F.lit(0))).drop("own", "before", "bucket")
 
 

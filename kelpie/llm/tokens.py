@@ -25,7 +25,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 STORE_PIECES, PIECE_BYTES = 800_000, 48
 SIGNS = r"[!-&(-/:-@\[-`{-~]"
 RUNS = re.compile(rf"[^\W\d_]+|{SIGNS}+|\n")
-PLAIN = re.compile(rf"(?:[^\W\d_]+|{SIGNS}+|\n(?!\n))*")
+#: Possessive, as the kinds of runs have no character in common: nothing is ever tried twice.
+PLAIN = re.compile(rf"(?:[^\W\d_]++|{SIGNS}++|\n(?!\n))*+")
 _RANDOM = np.random.default_rng(20_240_229)
 #: A multiplier for each byte value (none for the separator) and each place in a piece.
 BYTE, PLACE = (_RANDOM.integers(1, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1) for n in (256, PIECE_BYTES + 1))

@@ -114,6 +114,13 @@ def test_odd_pages(model, page):
         assert text.count("\n") == 19_999
 
 
+def test_long_references():
+    long = "9" * 100_000
+    got = h.decoded(f"&#{long};|&#{'0' * 6000}65;|&#{'0' * 9000};|&#x{long};|&#00000038;amp;|&#1114112;|&#12345678")
+    assert got == "\ufffd|A|\ufffd|\ufffd|&amp;|\ufffd|\ufffd"
+    assert [x.text for x in h.leaves(f"<p>&#{long};</p><p>a</p>")] == ["\ufffd", "a"]
+
+
 def test_pages_table(spark, model):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     rows = h.op8_html_text(spark, "/root/testdata/sf0.001").collect()

@@ -1,3 +1,4 @@
+import time
 import zlib
 from pathlib import Path
 
@@ -34,6 +35,19 @@ def test_pieces_equal_whole_texts(path, space):
     check()
 
 
+LONG = ["a" * 10_000 + "1", "日本語" * 4000 + "2024年" * 50, "https://example.org/" + "path/" * 2000 + "?" + "key=1&" * 2000, "9" * 100_000, "a-" * 20_000 + "1", "é" * 10_000 + "1"]
+
+
+@pytest.mark.parametrize(("path", "space"), [(BYTE, True), (WORD, False)])
+@pytest.mark.parametrize("text", LONG, ids=lambda t: t[:12])
+def test_long_pieces_take_time_in_proportion(path, space, text):
+    enc, ref = Encoder(path, space), plain(path)
+    began = time.process_time()
+    got = enc.batch([text, f"x {text} y"])
+    assert time.process_time() - began < 1
+    assert [x.tolist() for x in got] == [ref(text), ref(f"x {text} y")]
+
+
 def rows_of(spark, sf):
     extra = [(None, "null id", 1), (10**6, None, 2), (10**6 + 1, "", 3), (10**6 + 2, "dup", 4), (10**6 + 2, "dup", 4), (10**6 + 3, "word " * 9000, 5)]
     own = [(r["doc_id"], r["text"], 0) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
