@@ -11,6 +11,7 @@ from kelpie.llm.near_duplicates import OP9_SQL, op9_jaccard_join
 from kelpie.llm.packing import op7_packing
 from kelpie.llm.quality_model import op2_quality_model
 from kelpie.llm.quality_rules import op6_quality_rules
+from kelpie.llm.ranked_search import OP11_SQL, op11_ranked_search
 from kelpie.llm.token_files import op3_token_files
 from kelpie.llm.toxicity import op1_toxicity
 
@@ -26,5 +27,6 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language": op10_language,
+    "op11_ranked_search": op11_ranked_search,
 }
-SQL = {"op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op11_ranked_search": OP11_SQL}
