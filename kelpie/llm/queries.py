@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from kelpie.llm.centroids import OP12_SQL, op12_centroids
 from kelpie.llm.decontamination import op5_decontamination
 from kelpie.llm.html_text import op8_html_text
 from kelpie.llm.language import op10_language
@@ -28,5 +29,6 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_language": op10_language,
     "op11_ranked_search": op11_ranked_search,
+    "op12_centroids": op12_centroids,
 }
-SQL = {"op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op11_ranked_search": OP11_SQL}
+SQL = {"op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_centroids": OP12_SQL}
