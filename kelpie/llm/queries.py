@@ -7,6 +7,7 @@ from kelpie.llm.centroids import OP12_SQL, op12_centroids
 from kelpie.llm.decontamination import op5_decontamination
 from kelpie.llm.html_text import op8_html_text
 from kelpie.llm.language import op10_language
+from kelpie.llm.language_model import op13_language_model
 from kelpie.llm.line_dedup import OP4_SQL, op4_line_dedup
 from kelpie.llm.near_duplicates import OP9_SQL, op9_jaccard_join
 from kelpie.llm.packing import op7_packing
@@ -30,5 +31,6 @@ QUERIES = {
     "op10_language": op10_language,
     "op11_ranked_search": op11_ranked_search,
     "op12_centroids": op12_centroids,
+    "op13_language_model": op13_language_model,
 }
 SQL = {"op4_line_dedup": OP4_SQL, "op9_jaccard_join": OP9_SQL, "op11_ranked_search": OP11_SQL, "op12_centroids": OP12_SQL}
