@@ -123,11 +123,15 @@ def occurs(t: Column, pattern: str) -> Column:
 
 
 def tags(text: Column | str, path: Column | str) -> Column:
-    t, p = F.lower(text_or_empty(text)), F.lower(text_or_empty(path))
-    t = F.translate(t, "ſı", "si")  # in any case these are s and i, though lower-casing leaves them
-    found = [F.when(occurs(t, x), F.lit(k)) for k, x in TAG_PATTERNS.items()]
-    found += [F.when(reduce(lambda a, b: a | b, [p.contains(x) for x in xs]), F.lit(k)) for k, xs in PATH_TAGS]
-    return F.array_sort(F.array_distinct(F.array_compact(F.array(*found))))
+    """Tags of a text and its path, in order. The lowered text is a lambda's variable, and so worked out once for all patterns."""
+    p = F.lower(text_or_empty(path))
+
+    def of_text(t: Column) -> Column:
+        return F.array(*(F.when(occurs(t, x), F.lit(k)) for k, x in TAG_PATTERNS.items()))
+
+    low = F.translate(F.lower(text_or_empty(text)), "ſı", "si")  # in any case these are s and i, though lower-casing leaves them
+    of_path = F.array(*(F.when(reduce(lambda a, b: a | b, [p.contains(x) for x in xs]), F.lit(k)) for k, xs in PATH_TAGS))
+    return F.array_sort(F.array_distinct(F.array_compact(F.concat(F.flatten(F.transform(F.array(low), of_text)), of_path))))
 
 
 def source_kind(path: Column | str) -> Column:
