@@ -58,3 +58,44 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, orders = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders")
     used = items.join(orders, c("l_orderkey") == c("o_orderkey")).select("o_custkey", "l_suppkey")
     return out.union(edge(used, "USES_TYPE", name("customer", c("o_custkey")), name("supplier", c("l_suppkey"))))
+
+
+def code(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nations as namespaces: symbols, references by names of several kinds out of customers' orders, and files' imports."""
+    c, text_ = F.col, lambda x: F.replace(F.col(x), F.lit(" "), F.lit("_"))
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey")).select(c("n_nationkey").alias("n"), F.concat_ws(".", text_("r_name"), text_("n_name")).alias("ns"), text_("n_name").alias("short"))
+    nation = F.broadcast(nation)  # 25 rows
+    path = F.concat(F.replace("ns", F.lit("."), F.lit("/")), F.lit(".cs"))
+    customer = read(spark, sf_dir, "customer").join(nation, c("c_nationkey") == c("n")).select("c_custkey", "n", "ns", "c_mktsegment", F.concat_ws(".", "ns", "c_mktsegment", "c_name").alias("fqn"), path.alias("file_path"))
+    supplier = read(spark, sf_dir, "supplier").join(nation, c("s_nationkey") == c("n")).select(F.concat(c("ns"), F.lit(".suppliers."), c("s_name")).alias("fqn"), path.alias("file_path"))
+    common = nation.select(F.concat("ns", F.lit(".suppliers.Common")).alias("fqn"), path.alias("file_path"))
+    types = customer.select(F.concat_ws(".", "ns", "c_mktsegment").alias("fqn"), "file_path").distinct()
+    symbols = customer.select("fqn", "file_path").union(supplier).union(common).union(types).select(F.lit("shop").alias("project"), "fqn", "file_path")
+    after = lambda k: nation.select((c("n") - k + 25).alias("at"), c("ns").alias("next"), c("short").alias("next_short"))
+    order = read(spark, sf_dir, "orders").join(customer, c("o_custkey") == c("c_custkey")).join(F.broadcast(after(1)), c("n") == c("at") % 25)
+    k, seg = c("o_orderkey") % 7, c("c_mktsegment")
+    suppliers = F.format_string("Supplier#%09d", c("o_orderkey") % 97 + 1)
+    target = (
+        F.when(k == 0, seg).when(k == 1, F.concat_ws(".", "next_short", seg)).when(k == 2, suppliers).when(k == 3, F.concat_ws(".", "next", seg))
+        .when(k == 4, F.concat(F.lit("List<"), seg, F.lit(">[]"))).when(k == 5, F.concat(F.lit("System."), seg)).otherwise("Common")
+    )
+    references = order.select(F.lit("shop").alias("project"), F.lit("USES_TYPE").alias("type"), c("fqn").alias("source"), target.alias("target"), "file_path")
+    spaces = nation.join(after(1), c("n") == c("at") % 25).filter(c("n") % 2 == 0).select(path.alias("file_path"), F.concat("next", F.lit(".suppliers")).alias("target"))
+    named = nation.join(after(2), c("n") == c("at") % 25).filter(c("n") % 3 == 0).select(path.alias("file_path"), F.concat("next", F.lit(".suppliers.Common")).alias("target"))
+    return symbols, references.distinct(), spaces.union(named).select(F.lit("shop").alias("project"), "file_path", "target")
+
+
+def messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events' kinds, users and numbers as topics that users publish; customers' bindings of several kinds."""
+    c = F.col
+    events = read(spark, sf_dir, "events")
+    topic = F.concat_ws(".", "event_type", (c("user_id") % 12).cast("string"), F.get_json_object("props", "$.k"))
+    publishers = events.select(F.lit("shop").alias("project"), F.concat(F.lit("user."), (c("event_id") % 400).cast("string")).alias("publisher"), topic.alias("topic"))
+    n, a = c("c_custkey") % 8, (c("c_custkey") % 12).cast("string")
+    b = (c("c_custkey") % 50).cast("string")
+    kind = F.when(c("c_custkey") % 3 == 0, "click").when(c("c_custkey") % 3 == 1, "purchase").otherwise("view")
+    pattern = (
+        F.when(n == 0, F.concat_ws(".", kind, a, b)).when(n == 1, F.concat(kind, F.lit(".#"))).when(n == 2, F.concat(F.lit("*."), a, F.lit(".*"))).when(n == 3, F.concat(F.lit("#."), b))
+        .when(n == 4, F.concat(kind, F.lit(".#."), b)).when(n == 5, F.concat(F.lit("*.*."), b)).when(n == 6, F.concat(kind, F.lit(".*"))).otherwise(F.concat(F.lit("#."), a, F.lit(".#.*")))
+    )
+    return publishers, read(spark, sf_dir, "customer").select(F.lit("shop").alias("project"), c("c_name").alias("consumer"), pattern.alias("pattern"))

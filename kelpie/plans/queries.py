@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions import paths, sparse, text
-from kelpie.operators import chunking, evidence, graph, retrieval
+from kelpie.operators import chunking, evidence, graph, messaging, resolve, retrieval
 from kelpie.plans import fixtures
 from kelpie.sources import scan, trace
 from kelpie.sources.store import stored
@@ -475,6 +475,53 @@ def graph_expand(spark, sf_dir):
     return graph.expand(names, nodes, e, chunks, seen).select("path", "chunk_index", "hits")
 
 
+CODE = """
+space AS (SELECT n_nationkey AS n, replace(r_name, ' ', '_') || '.' || replace(n_name, ' ', '_') AS ns, replace(n_name, ' ', '_') AS short FROM nation JOIN region ON n_regionkey = r_regionkey),
+cust AS (SELECT c_custkey, n, ns, c_mktsegment AS seg, ns || '.' || c_mktsegment || '.' || c_name AS fqn, replace(ns, '.', '/') || '.cs' AS file_path FROM customer JOIN space ON c_nationkey = n),
+symbols AS (SELECT fqn FROM cust UNION SELECT ns || '.suppliers.' || s_name FROM supplier JOIN space ON s_nationkey = n UNION SELECT ns || '.suppliers.Common' FROM space UNION SELECT ns || '.' || seg FROM cust),
+refs AS (SELECT DISTINCT fqn AS source, file_path, CASE o_orderkey % 7 WHEN 0 THEN seg WHEN 1 THEN b.short || '.' || seg WHEN 2 THEN 'Supplier#' || lpad((o_orderkey % 97 + 1)::VARCHAR, 9, '0') WHEN 3 THEN b.ns || '.' || seg
+  WHEN 4 THEN 'List<' || seg || '>[]' WHEN 5 THEN 'System.' || seg ELSE 'Common' END AS target
+  FROM orders JOIN cust ON o_custkey = c_custkey JOIN space b ON b.n = (cust.n + 1) % 25),
+imports AS (SELECT replace(a.ns, '.', '/') || '.cs' AS file_path, b.ns || '.suppliers' AS target FROM space a JOIN space b ON b.n = (a.n + 1) % 25 WHERE a.n % 2 = 0
+  UNION SELECT replace(a.ns, '.', '/') || '.cs', b.ns || '.suppliers.Common' FROM space a JOIN space b ON b.n = (a.n + 2) % 25 WHERE a.n % 3 = 0)"""
+
+
+@query(
+    "resolved_names",
+    f"""WITH {CODE},
+asked AS (SELECT *, split_part(target, '<', 1) AS name, string_split(source, '.') AS s FROM refs),
+known AS (SELECT * FROM asked WHERE name NOT IN ('List') AND NOT starts_with(name, 'System.')),
+around AS (SELECT source, file_path, name, unnest(range(1, len(s) + 1)) AS k, s FROM known),
+scoped AS (SELECT a.source, a.file_path, a.name, arg_max(fqn, k) AS fqn FROM around a JOIN symbols ON fqn = array_to_string(s[1:k], '.') || '.' || name GROUP BY ALL),
+imported AS (SELECT DISTINCT k.file_path, name, fqn, CASE WHEN fqn = i.target THEN 0 ELSE 1 END AS place FROM known k JOIN imports i USING (file_path) JOIN symbols ON fqn = i.target || '.' || name OR (fqn = i.target AND ends_with(i.target, '.' || name))),
+first_import AS (SELECT file_path, name, arg_min(fqn, place) AS fqn, min(place) AS place FROM imported GROUP BY ALL),
+ends AS (SELECT name, count(*) AS n, min(fqn) AS fqn FROM (SELECT DISTINCT name FROM known) JOIN symbols ON ends_with(fqn, '.' || name) GROUP BY ALL)
+SELECT k.source, k.target AS name, coalesce(e.fqn, sc.fqn, i.fqn, CASE WHEN u.n = 1 THEN u.fqn END, k.target) AS target,
+  CASE WHEN x.name IS NULL THEN 'external' WHEN e.fqn IS NOT NULL THEN 'exact' WHEN sc.fqn IS NOT NULL THEN 'scope' WHEN i.place = 0 THEN 'import' WHEN i.place = 1 THEN 'namespace' WHEN u.n = 1 THEN 'suffix' WHEN u.n > 1 THEN 'ambiguous' ELSE 'unknown' END AS how
+FROM asked k LEFT JOIN (SELECT DISTINCT name FROM known) x USING (name) LEFT JOIN symbols e ON e.fqn = k.name LEFT JOIN scoped sc ON sc.source = k.source AND sc.file_path = k.file_path AND sc.name = k.name
+LEFT JOIN first_import i ON i.file_path = k.file_path AND i.name = k.name LEFT JOIN ends u ON u.name = k.name""",
+)
+def resolved_names(spark, sf_dir):
+    """Names in references as the symbols that they mean: by scope, import, or as the only one that ends so."""
+    symbols, references, imports = fixtures.code(spark, sf_dir)
+    own = references.withColumn("asked", F.col("target"))
+    return resolve.resolve(own, symbols, imports).select("source", F.col("asked").alias("name"), "target", "how")
+
+
+@query(
+    "message_routes",
+    r"""WITH pub AS (SELECT 'user.' || event_id % 400 AS publisher, event_type || '.' || user_id % 12 || '.' || (props->>'$.k') AS topic FROM events),
+con AS (SELECT c_name AS consumer, CASE c_custkey % 8 WHEN 0 THEN kind || '.' || a || '.' || b WHEN 1 THEN kind || '.#' WHEN 2 THEN '*.' || a || '.*' WHEN 3 THEN '#.' || b WHEN 4 THEN kind || '.#.' || b WHEN 5 THEN '*.*.' || b WHEN 6 THEN kind || '.*' ELSE '#.' || a || '.#.*' END AS pattern
+  FROM (SELECT c_name, c_custkey, ['click', 'purchase', 'view'][c_custkey % 3 + 1] AS kind, c_custkey % 12 AS a, c_custkey % 50 AS b FROM customer)),
+p AS (SELECT pattern, count(DISTINCT consumer)::BIGINT AS consumers, '^' || array_to_string(list_transform(string_split(pattern, '.'), lambda w: CASE w WHEN '#' THEN '(\.[^.]*)*' WHEN '*' THEN '\.[^.]*' ELSE '\.' || w END), '') || '$' AS expression FROM con GROUP BY pattern),
+t AS (SELECT topic, count(DISTINCT publisher)::BIGINT AS publishers FROM pub WHERE topic IS NOT NULL GROUP BY topic)
+SELECT topic, pattern, publishers, consumers FROM t JOIN p ON regexp_full_match('.' || topic, expression)""",
+)
+def message_routes(spark, sf_dir):
+    """Which bindings each topic reaches, and how many publish and hear it."""
+    return messaging.routes(*fixtures.messages(spark, sf_dir)).drop("project")
+
+
 @query(
     "trace_rollup",
     "SELECT date_trunc('hour', ts) AS hour, event_type, count(*)::BIGINT AS n, count(DISTINCT user_id)::BIGINT AS users, round(sum(value), 4) AS total FROM events GROUP BY ALL",
