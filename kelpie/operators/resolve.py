@@ -121,6 +121,9 @@ def resolve(edges: DataFrame, symbols: DataFrame, imports: DataFrame | None = No
     named_edges = edges.select(*rest).withColumns({"name": type_name("target"), "scope": bare("source")})
     references = named_edges.filter(~is_external(F.col("name"))).select("project", "file_path", "scope", "name").distinct()
     own = named(symbols)
+    # a target with parameters may be one of several overloads, and then is itself
+    whole = symbols.filter("fqn LIKE '%(%'").select("project", F.col("fqn").alias("target")).distinct().withColumn("whole", F.lit(True))
+    whole = whole.join(named_edges.select("project", "target").distinct(), ["project", "target"], "left_semi")
     alone = by_name_alone(references.select("project", "name").distinct(), own).select("project", "name", F.col("fqn").alias("alone"), F.col("how").alias("alone_how"))
     scoped = by_scope(references, own).withColumnRenamed("fqn", "scoped")
     out = skew_join(references, alone, ["project", "name"], "left", hot_rows)
@@ -135,7 +138,10 @@ def resolve(edges: DataFrame, symbols: DataFrame, imports: DataFrame | None = No
     how = F.when(exact, F.lit("exact")).when(F.col("scoped").isNotNull(), "scope").otherwise(F.coalesce("import_how", "alone_how", F.lit("unknown")))
     answers = out.select("project", "file_path", "scope", "name", fqn.alias("fqn"), how.alias("how"))
     keys = ["project", "file_path", "scope", "name"]
-    a, b = named_edges.alias("a"), answers.alias("b")
+    with_whole = skew_join(named_edges, whole, ["project", "target"], "left", hot_rows)
+    a, b = with_whole.alias("a"), answers.alias("b")
     met = a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left")
     external = is_external(F.col("a.name"))
-    return met.select(*(F.coalesce("b.fqn", "a.target").alias(c) if c == "target" else F.col(f"a.{c}") for c in rest), F.when(external, "external").otherwise(F.coalesce("b.how", F.lit("unknown"))).alias("how"))
+    target = F.when(F.col("a.whole"), F.col("a.target")).otherwise(F.coalesce("b.fqn", "a.target"))
+    said = F.when(F.col("a.whole"), "exact").when(external, "external").otherwise(F.coalesce("b.how", F.lit("unknown")))
+    return met.select(*(target.alias(c) if c == "target" else F.col(f"a.{c}") for c in rest), said.alias("how"))

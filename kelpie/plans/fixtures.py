@@ -99,3 +99,19 @@ def messages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
         .when(n == 4, F.concat(kind, F.lit(".#."), b)).when(n == 5, F.concat(F.lit("*.*."), b)).when(n == 6, F.concat(kind, F.lit(".*"))).otherwise(F.concat(F.lit("#."), a, F.lit(".#.*")))
     )
     return publishers, read(spark, sf_dir, "customer").select(F.lit("shop").alias("project"), c("c_name").alias("consumer"), pattern.alias("pattern"))
+
+
+def tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A source tree with a file for each customer, below folders of regions, nations and segments, some of which hold solutions or projects."""
+    c, clean = F.col, lambda x: F.replace(F.col(x), F.lit(" "), F.lit("_"))
+    nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), c("n_regionkey") == c("r_regionkey")).select(c("n_nationkey").alias("n"), clean("r_name").alias("r"), F.concat_ws("/", clean("r_name"), clean("n_name")).alias("at"))
+    customer = read(spark, sf_dir, "customer").join(F.broadcast(nation), c("c_nationkey") == c("n"))  # 25 rows
+    ext = F.when(c("c_custkey") % 3 == 0, ".java").when(c("c_custkey") % 3 == 1, ".cs").otherwise(".md")
+    own = customer.select(F.concat(c("at"), F.lit("/"), c("c_mktsegment"), F.lit("/"), c("c_custkey").cast("string"), ext).alias("file_path"), F.md5(c("c_acctbal").cast("decimal(12,2)").cast("string")).alias("file_hash"))
+    marks = [
+        nation.select(F.concat("r", F.lit("/All.sln")).alias("file_path")).distinct(), nation.filter("n % 2 = 0").select(F.concat("at", F.lit("/One.sln"))), nation.filter("n % 3 = 0").select(F.concat("at", F.lit("/pom.xml"))),
+        nation.filter("n % 6 = 0").select(F.concat("at", F.lit("/build.gradle"))), customer.filter("c_mktsegment = 'BUILDING'").select(F.concat("at", F.lit("/BUILDING/package.json"))).distinct(),
+    ]
+    for m in marks:
+        own = own.union(m.toDF("file_path").withColumn("file_hash", F.md5("file_path")))
+    return own

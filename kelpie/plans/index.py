@@ -9,24 +9,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.functions import embed, paths, sparse
-from kelpie.operators import chunking, graph, retrieval
-from kelpie.sources import artifacts, scan
+from kelpie.operators import chunking, graph, resolve, retrieval
+from kelpie.sources import artifacts, projects, scan
 from kelpie.sources.cache import EmbeddingCache
 from kelpie.sources.store import ChangeLog, stored
 
 CHUNKS = "chunk_id string, file_path string, file_hash string, category string, language string, name string, node_type string, fqn string, content string, chunk_index int, total_chunks int, start_line int, end_line int, embedding array<double>"
 POSTINGS = "chunk_id string, file_path string, term int, tf long"
-FILES = "file_path string, file_hash string, category string, language string"
+FILES = "file_path string, file_hash string, category string, language string, project_root string, project_type string, analyser string"
+#: A solution's hash lies with the file that stands for it.
+SOLUTIONS = "file_path string, solution_hash string"
 EDGES = "project string, type string, source string, target string, file_path string"
 
 
 class Index:
     """Tables below one folder that change together (files, chunks, postings, edges), and the embedding cache."""
 
-    def __init__(self, spark: SparkSession, path: str, identity: str = "hashing-64", embedder: embed.Embedder = embed.hashing_embedder, project: str = "default"):
-        self.spark, self.path, self.identity, self.embedder, self.project = spark, path, identity, embedder, project
+    def __init__(self, spark: SparkSession, path: str, identity: str = "hashing-64", embedder: embed.Embedder = embed.hashing_embedder, project: str = "default", analysers: str = "1"):
+        """analysers is the version of whatever writes artifacts; with another one all solutions count as changed."""
+        self.spark, self.path, self.identity, self.embedder, self.project, self.analysers = spark, path, identity, embedder, project, analysers
         self._dimension: int | None = None
-        self.log = ChangeLog(spark, f"{path}/log", {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "edges": EDGES}, ["file_path"])
+        self._resolved: tuple[int, DataFrame] | None = None
+        self.log = ChangeLog(spark, f"{path}/log", {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "edges": EDGES, "solutions": SOLUTIONS}, ["file_path"])
         self.cache = EmbeddingCache(spark, f"{path}/cache", identity, embedder)
 
     def table(self, name: str) -> DataFrame:
@@ -58,15 +62,32 @@ class Index:
         known = self.table("files")
         status = stored(scan.delta(files, known, root.rstrip("/") + "/"), "delta")
         counts = {r["status"]: r["count"] for r in status.groupBy("status").count().collect()}
-        gone = status.filter("status IN ('changed', 'deleted')").select("file_path")
-        fresh = stored(files.join(status.filter("status IN ('new', 'changed')"), "file_path", "left_semi"), "fresh")
+        marks = scan.named_files(self.spark, root, sorted({*scan.SOLUTIONS, *(m for ms in projects.MARKERS.values() for m in ms)}))
+        marks = marks.withColumn("file_path", F.concat_ws("/", F.lit(root.rstrip("/")), "file_path"))
+        around = stored(files.select("file_path", "file_hash").unionByName(marks).distinct(), "around")
+        members = projects.nearest_solution(around)
+        known_solutions = self.table("solutions").withColumnRenamed("file_path", "solution")
+        hashes = stored(projects.solution_hashes(members, self.analysers), "hashes")
+        solved = stored(projects.changed_solutions(hashes, known_solutions), "solutions")
+        lost = known_solutions.filter(F.col("solution").startswith(root.rstrip("/") + "/")).join(hashes, "solution", "left_anti")
         out = {"indexed": counts.get("new", 0) + counts.get("changed", 0), "deleted": counts.get("deleted", 0), "skipped": counts.get("same", 0), "errors": 0}
-        if not out["indexed"] and not out["deleted"]:
+        if not out["indexed"] and not out["deleted"] and solved.isEmpty():
             return out
-        records = chunking.records(fresh)
+        # besides what changed itself: the files that stand for changed solutions, and those of their files that an artifact covers
+        again = solved.select(F.col("solution").alias("file_path"))
+        covered = None
         if artifacts_path:
             covered = artifacts.below(artifacts.read(self.spark, artifacts_path), root)
-            covered = covered.withColumn("file_path", F.concat_ws("/", F.lit(root.rstrip("/")), "file_path")).join(fresh.select("file_path"), "file_path", "left_semi")
+            covered = covered.withColumn("file_path", F.concat_ws("/", F.lit(root.rstrip("/")), "file_path"))
+            theirs = members.join(solved.select("solution"), "solution", "left_semi").select("file_path")
+            again = again.unionByName(theirs.join(covered.select("file_path"), "file_path", "left_semi"))
+        wanted = stored(status.filter("status IN ('new', 'changed')").select("file_path").unionByName(again).distinct(), "wanted")
+        gone = status.filter("status = 'deleted'").select("file_path").unionByName(wanted).unionByName(lost.select(F.col("solution").alias("file_path")))
+        about_files = projects.nearest_project(around).join(wanted, "file_path", "left_semi")
+        fresh = stored(projects.routed(files.join(wanted, "file_path", "left_semi")).join(about_files, "file_path"), "fresh")
+        records = chunking.records(fresh)
+        if covered is not None:
+            covered = covered.join(fresh.select("file_path"), "file_path", "left_semi")
             records = chunking.two_phase(fresh, covered).unionByName(artifacts.records(covered, self.project), allowMissingColumns=True)
         records = stored(records, "records")
         out["errors"] = records.filter("record = 'error'").count()
@@ -78,7 +99,8 @@ class Index:
         edges = records.filter("record = 'edge'").select(F.lit(self.project).alias("project"), F.col("node_type").alias("type"), "source", "target", "file_path")
         # one change: what breaks off before its end is as if it had never begun, and is taken in again
         about = {"identity": self.identity, "sparse": "bm25", "dimension": self.dimension()}
-        self.log.commit(gone, {"chunks": new, "postings": new_postings, "edges": edges, "files": fresh.select("file_path", "file_hash", "category", "language")}, about)
+        rows = {"chunks": new, "postings": new_postings, "edges": edges, "files": fresh, "solutions": solved.withColumnRenamed("solution", "file_path")}
+        self.log.commit(gone, rows, about)
         return out
 
     def status(self) -> dict[str, object]:
@@ -88,10 +110,18 @@ class Index:
 
     def symbols(self) -> DataFrame:
         c = self.chunks().filter("fqn IS NOT NULL")
-        return graph.with_endpoints(c.select(F.lit(self.project).alias("project"), "fqn", "name", F.col("node_type").alias("kind"), "file_path").dropDuplicates(["project", "fqn"]), graph.clean_edges(self.table("edges")))
+        return graph.with_endpoints(c.select(F.lit(self.project).alias("project"), "fqn", "name", F.col("node_type").alias("kind"), "file_path").dropDuplicates(["project", "fqn"]), self.edges())
 
     def edges(self) -> DataFrame:
-        return graph.clean_edges(self.table("edges"))
+        """The relations of all files, with targets as the symbols that they mean; worked out once for each state of the index."""
+        number = self.log.state()["number"]
+        if self._resolved is None or self._resolved[0] != number:
+            own = graph.clean_edges(self.table("edges"))
+            imports = own.filter("type = 'IMPORTS'")
+            symbols = self.chunks().filter("fqn IS NOT NULL").select(F.lit(self.project).alias("project"), "fqn")
+            named = resolve.resolve(own.filter("type <> 'IMPORTS'"), symbols, imports).drop("how")
+            self._resolved = (number, stored(graph.clean_edges(named.unionByName(imports)), "edges"))
+        return self._resolved[1]
 
     def _ranked(self, queries: Sequence[tuple[int, str]], operator: str, filters: dict | None, n: int) -> DataFrame:
         """(query_ord, chunk_id, score, rank) of queries that share an operator and filters."""

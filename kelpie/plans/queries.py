@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kelpie.functions import paths, sparse, text
 from kelpie.operators import chunking, evidence, graph, messaging, resolve, retrieval
 from kelpie.plans import fixtures
-from kelpie.sources import scan, trace
+from kelpie.sources import projects, scan, trace
 from kelpie.sources.store import stored
 
 WORD_QUERIES = [(0, "the of and tion"), (1, "der und lich"), (2, "que del ciones"), (3, "idiot worthless"), (4, "erer thing on")]
@@ -475,6 +475,37 @@ def graph_expand(spark, sf_dir):
     return graph.expand(names, nodes, e, chunks, seen).select("path", "chunk_index", "hits")
 
 
+TREE = """
+place AS (SELECT n_nationkey AS n, replace(r_name, ' ', '_') AS r, replace(r_name, ' ', '_') || '/' || replace(n_name, ' ', '_') AS loc FROM nation JOIN region ON n_regionkey = r_regionkey),
+files AS (SELECT loc || '/' || c_mktsegment || '/' || c_custkey || CASE c_custkey % 3 WHEN 0 THEN '.java' WHEN 1 THEN '.cs' ELSE '.md' END AS file_path, md5(c_acctbal::DECIMAL(12, 2)::VARCHAR) AS file_hash FROM customer JOIN place ON c_nationkey = n
+  UNION ALL SELECT p, md5(p) FROM (SELECT DISTINCT r || '/All.sln' AS p FROM place UNION ALL SELECT loc || '/One.sln' FROM place WHERE n % 2 = 0 UNION ALL SELECT loc || '/pom.xml' FROM place WHERE n % 3 = 0
+    UNION ALL SELECT loc || '/build.gradle' FROM place WHERE n % 6 = 0 UNION ALL SELECT DISTINCT loc || '/BUILDING/package.json' FROM customer JOIN place ON c_nationkey = n WHERE c_mktsegment = 'BUILDING')),
+named AS (SELECT *, regexp_extract(file_path, '^(.*/)?[^/]*$', 1) AS folder, split_part(file_path, '/', -1) AS name FROM files),
+roots AS (SELECT folder, CASE WHEN count(DISTINCT kind) = 1 THEN min(kind) ELSE 'mixed' END AS project_type FROM (SELECT folder, CASE WHEN name LIKE '%.sln' THEN 'dotnet' WHEN name = 'pom.xml' THEN 'java-maven' WHEN name = 'build.gradle' THEN 'java-gradle' WHEN name = 'package.json' THEN 'node' END AS kind FROM named) WHERE kind IS NOT NULL GROUP BY folder),
+sol AS (SELECT file_path AS solution, folder, CASE WHEN name LIKE '%.sln' THEN '.cs' ELSE '.java' END AS ext FROM named WHERE name LIKE '%.sln' OR name IN ('pom.xml', 'build.gradle')),
+near AS (SELECT file_path, file_hash, arg_min(solution, (-length(sol.folder), solution)) AS solution FROM named JOIN sol ON starts_with(file_path, sol.folder) AND ends_with(name, ext) GROUP BY ALL)"""
+
+
+@query(
+    "file_homes",
+    f"""WITH {TREE}, home AS (SELECT file_path, arg_max(r.folder, length(r.folder)) AS project_root, arg_max(project_type, length(r.folder)) AS project_type FROM named JOIN roots r ON starts_with(file_path, r.folder) GROUP BY ALL)
+SELECT file_path, coalesce(project_root, '') AS project_root, coalesce(project_type, 'unknown') AS project_type, solution FROM files LEFT JOIN home USING (file_path) LEFT JOIN near USING (file_path)""",
+)
+def file_homes(spark, sf_dir):
+    """Each file's nearest project and solution."""
+    files = stored(fixtures.tree(spark, sf_dir), "tree")
+    return projects.nearest_project(files).join(projects.nearest_solution(files).select("file_path", "solution"), "file_path", "left")
+
+
+@query(
+    "solution_hashes",
+    f"""WITH {TREE}, part AS (SELECT solution, md5(file_path || ':' || file_hash) AS h FROM near)
+SELECT solution, count(*)::BIGINT AS files, md5('v2:' || count(*) || ':' || sum(('0x' || substr(h, 1, 14))::BIGINT)::HUGEINT || ':' || sum(('0x' || substr(h, 15, 14))::BIGINT)::HUGEINT) AS solution_hash FROM part GROUP BY solution""",
+)
+def solution_hashes(spark, sf_dir):
+    return projects.solution_hashes(projects.nearest_solution(fixtures.tree(spark, sf_dir)), "v2")
+
+
 CODE = """
 space AS (SELECT n_nationkey AS n, replace(r_name, ' ', '_') || '.' || replace(n_name, ' ', '_') AS ns, replace(n_name, ' ', '_') AS short FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT c_custkey, n, ns, c_mktsegment AS seg, ns || '.' || c_mktsegment || '.' || c_name AS fqn, replace(ns, '.', '/') || '.cs' AS file_path FROM customer JOIN space ON c_nationkey = n),

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.functions import paths
+from kelpie.operators.joins import HOT_ROWS, skew_join
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
@@ -24,6 +26,16 @@ def scan(spark: SparkSession, root: str) -> DataFrame:
     return own.select("file_path", F.md5("content").alias("file_hash"), decoded(F.col("content")).alias("content"), paths.category("file_path").alias("category"), paths.language("file_path").alias("language"))
 
 
+def named_files(spark: SparkSession, root: str, names: Sequence[str]) -> DataFrame:
+    """(file_path, file_hash) of files below a folder that are called so or, where a name begins with a dot, end so; excluded paths too."""
+    base = root.rstrip("/")
+    glob = "{" + ",".join(f"*{n}" if n.startswith(".") else n for n in names) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(base)
+    below = base.removeprefix("file://").removeprefix("file:") + "/"
+    relative = F.substr("path", F.locate(below, F.col("path")) + F.lit(len(below)))
+    return files.select(relative.alias("file_path"), F.md5("content").alias("file_hash"))
+
+
 def decoded(content: Column) -> Column:
     """Text of bytes: UTF-8, without a byte-order mark, or UTF-16 where one says so."""
     mark = F.hex(F.substring(content, 1, 2))
@@ -70,16 +82,30 @@ def known_hashes(chunks: DataFrame) -> DataFrame:
 SOLUTIONS = {".sln": (".cs",), "pom.xml": (".java",), "build.gradle": (".java",)}
 
 
-def solution_files(files: DataFrame) -> DataFrame:
-    """(solution, file_path, file_hash): each solution's files, those below its folder with its extension.
+def folder(path: Column | str) -> Column:
+    """A path's folder with a slash at its end; the root is empty."""
+    return F.regexp_extract(path, r"^(.*/)?[^/]*$", 1)
 
-    Every file looks up its own ancestors, so that no file meets every solution.
-    """
+
+def ancestors(path: Column | str) -> Column:
+    """All folders that a path lies in, the root first."""
+    parts = F.split(folder(path), "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
+    return F.array_distinct(above)
+
+
+def solutions(files: DataFrame) -> DataFrame:
+    """(solution, ext, folder): files that stand for a solution, with their files' extension."""
     marks = [(F.col("file_path").endswith(k), v) for k, v in SOLUTIONS.items()]
     ext = F.coalesce(*(F.when(m, F.lit(v[0])) for m, v in marks))
-    folder = lambda c: F.regexp_extract(c, r"^(.*/)?[^/]*$", 1)
-    solutions = files.select(F.col("file_path").alias("solution"), ext.alias("ext"), folder("file_path").alias("folder")).filter("ext IS NOT NULL")
-    parts = F.split(folder("file_path"), "/")
-    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit("")).otherwise(F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/"))))
-    own = files.select("file_path", "file_hash", paths.extension("file_path").alias("ext"), F.explode(F.array_distinct(above)).alias("folder"))
-    return own.join(solutions, ["ext", "folder"]).select("solution", "file_path", "file_hash")
+    return files.select(F.col("file_path").alias("solution"), ext.alias("ext"), folder("file_path").alias("folder")).filter("ext IS NOT NULL")
+
+
+def solution_files(files: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(solution, file_path, file_hash): each solution's files, those below its folder with its extension.
+
+    Every file looks up its own ancestors, so that no file meets every solution; the root, which
+    all files share, is dealt over several tasks.
+    """
+    own = files.select("file_path", "file_hash", paths.extension("file_path").alias("ext"), F.explode(ancestors("file_path")).alias("folder"))
+    return skew_join(own, solutions(files), ["ext", "folder"], "inner", hot_rows).select("solution", "file_path", "file_hash")

@@ -39,6 +39,8 @@ def symbols_of(rng):
 
 
 def plain_resolve(project, source, target, path, symbols, imports):
+    if "(" in target and (project, target) in symbols:
+        return target, "exact"
     name = re.sub(r"[\[\]?]+$", "", re.sub(r"[?\s]+$", "", target.split("(")[0]).split("<")[0]).strip()
     if name == "" or name in resolve.PRIMITIVES or any(name.startswith(x) if x.endswith(".") else name == x or name.startswith(x + ".") for x in resolve.EXTERNAL_NAMESPACES):
         return target, "external"
@@ -69,7 +71,7 @@ def plain_resolve(project, source, target, path, symbols, imports):
 def test_names_mean_what_plain_lookup_says(spark, seed):
     rng = random.Random(seed)
     symbols = [("p", s) for s in symbols_of(rng)] + [("q", s) for s in symbols_of(rng)]
-    names = ["Order", "Item", "Cart?", "Store[]", "List<Order>", "b.Order", "c.Cart.run", "Order.run()", "run", "size", "System.Order", "java.util.Order", "Nowhere", "a.b.Item", "x.Store.size", ""]
+    names = ["Order", "Item", "Cart?", "Store[]", "List<Order>", "b.Order", "c.Cart.run", "Order.run()", "run", "size", "System.Order", "java.util.Order", "Nowhere", "a.b.Item", "x.Store.size", "", *[s for _, s in symbols if "(" in s][:3]]
     rows = [(rng.choice("pq"), "USES_TYPE", f"{rng.choice([s for _, s in symbols])}", rng.choice(names), rng.choice(["f1", "f2", "f3"])) for _ in range(200)]
     imports = [(rng.choice("pq"), rng.choice(["f1", "f2"]), rng.choice(["a.b", "x", "x.b", "a.b.Item", "a.Order", "x.Cart", "nothing.here"])) for _ in range(8)]
     edges = spark.createDataFrame(rows, "project string, type string, source string, target string, file_path string")
