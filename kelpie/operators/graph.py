@@ -21,6 +21,8 @@ EDGE_TYPES = (
 )
 USEFUL_TYPES = ("INHERITS", "IMPLEMENTS", "MEMBER_OF", "USES_TYPE", "CALLS", "CREATES")
 NOISE_PREFIXES = ("System", "Microsoft", "Newtonsoft", "AutoMapper", "Flurl", "NLog", "Casbin", "Serilog", "Swashbuckle", "Hangfire")
+#: Symbols that a join may broadcast.
+BROADCAST_ROWS = 100_000
 NODE_LABELS = {"class": "Class", "interface": "Interface", "enum": "Enum", "struct": "Struct", "method": "Method", "constructor": "Constructor", "property": "Property", "record": "Record"}
 
 
@@ -44,10 +46,10 @@ def upsert_files(files: DataFrame, new: DataFrame) -> DataFrame:
     return latest(both, ["project", "path"]).drop("version")
 
 
-def clean_edges(edges: DataFrame) -> DataFrame:
-    """Upper-case known types, one edge a (project, type, source, target)."""
+def clean_edges(edges: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """Upper-case known types, one edge a (project, type, source, target) and what else tells edges apart."""
     typed = edges.withColumn("type", F.upper("type")).filter(F.col("type").isin(*EDGE_TYPES))
-    return typed.filter("source IS NOT NULL AND target IS NOT NULL").dropDuplicates(["project", "type", "source", "target"])
+    return typed.filter("source IS NOT NULL AND target IS NOT NULL").dropDuplicates(["project", "type", "source", "target", *also])
 
 
 def with_endpoints(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -131,6 +133,8 @@ def returns(start: DataFrame, steps: DataFrame, depth: int) -> DataFrame:
     back = steps.join(start.select("project", F.col("fqn").alias("to")), ["project", "to"]).filter(F.col("to") != F.col("from")).select("project", F.col("to").alias("fqn"), F.col("from").alias("y"), F.col("edge").alias("e3"))
     two = away.join(back.withColumnRenamed("y", "x"), ["project", "fqn", "x"]).filter("e1 <> e3").select("project", "fqn", F.lit(2).alias("hops"))
     middle = steps.select("project", F.col("from").alias("x"), F.col("to").alias("y"), F.col("edge").alias("e2"))
+    # of a neighbour's edges only those to another neighbour can lead back, so that a hub's neighbours' other edges meet nothing
+    middle = middle.join(away.select("project", "x").distinct(), ["project", "x"], "left_semi").join(back.select("project", "y").distinct(), ["project", "y"], "left_semi")
     three = away.join(middle, ["project", "x"]).join(back, ["project", "fqn", "y"]).filter("e1 <> e2 AND e2 <> e3 AND e1 <> e3").select("project", "fqn", F.lit(3).alias("hops"))
     return reduce(DataFrame.unionByName, [loops, two, three][:depth]).groupBy("project", "fqn").agg(F.min("hops").alias("hops"))
 
@@ -221,9 +225,12 @@ def expand(symbols: DataFrame, nodes: DataFrame, edges: DataFrame, chunks: DataF
     """Chunks of the files that most symbols lead to in one hop: (path, chunk_index, hits), per_file of each, top_k in all."""
     own = symbols.select("symbol").distinct()
     called = [nodes.join(own, F.col(c) == F.col("symbol"), "left_semi").select("project", F.col("fqn").alias("from")) for c in ("name", "fqn")]
-    start = called[0].unionByName(called[1]).distinct()
+    from kelpie.sources.store import stored
+
+    start = stored(called[0].unionByName(called[1]).distinct(), "start")  # a common name may have any number of symbols
+    few = F.broadcast(start) if start.count() <= BROADCAST_ROWS else start
     steps = directed(edges.filter(F.col("type").isin(*USEFUL_TYPES)), "both")
-    ends = steps.join(F.broadcast(start), ["project", "from"]).select("project", F.col("to").alias("fqn"), "edge")
+    ends = steps.join(few, ["project", "from"]).select("project", F.col("to").alias("fqn"), "edge")
     inner = nodes.filter("kind <> 'external' AND file_path IS NOT NULL").select("project", "fqn", F.col("file_path").alias("path"))
     files = ends.join(inner, ["project", "fqn"]).join(seen_paths.select("path").distinct(), "path", "left_anti").groupBy("path").agg(F.count("*").alias("hits"))
     files = files.orderBy(F.desc("hits"), "path").limit(top_k)

@@ -10,7 +10,8 @@ from kelpie.functions import paths, sparse, text
 from kelpie.operators import chunking, evidence, graph, messaging, resolve, retrieval
 from kelpie.plans import fixtures
 from kelpie.sources import projects, scan, trace
-from kelpie.sources.store import stored
+from kelpie.sources.graph_state import GraphState
+from kelpie.sources.store import shared_folder, stored
 
 WORD_QUERIES = [(0, "the of and tion"), (1, "der und lich"), (2, "que del ciones"), (3, "idiot worthless"), (4, "erer thing on")]
 SUBSTRING_QUERIES = [(0, "the "), (1, '"thing"'), (2, "und der"), (3, "Licensed under")]
@@ -506,6 +507,38 @@ def solution_hashes(spark, sf_dir):
     return projects.solution_hashes(projects.nearest_solution(fixtures.tree(spark, sf_dir)), "v2")
 
 
+@query(
+    "graph_state",
+    """WITH part AS (SELECT s_suppkey AS k, CASE s_suppkey % 3 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'c' END AS project, 'f' || s_suppkey % 20 AS file_path, s_name AS name, s_nationkey AS nation FROM supplier),
+sym AS (SELECT project, 'supplier.' || k AS fqn, name, 'class' AS kind, file_path FROM part WHERE project = 'b' OR (project = 'a' AND k % 20 >= 5 AND k % 2 = 0)),
+edge AS (SELECT DISTINCT project, 'CALLS' AS type, 'supplier.' || k AS source, 'nation.' || nation AS target FROM part WHERE project = 'b' OR (project = 'a' AND k % 20 >= 5 AND k % 2 = 0)
+  UNION SELECT DISTINCT project, 'USES_TYPE', 'nation.' || nation, 'supplier.' || (k + 3) FROM part WHERE project = 'b' OR (project = 'a' AND k % 20 >= 5 AND k % 2 = 0)),
+ends AS (SELECT project, fqn, arg_min(kind, o) AS kind, arg_min(name, o) AS name FROM (SELECT project, target AS fqn, 'external' AS kind, target AS name, 0 AS o FROM edge UNION ALL SELECT project, source, '', '', 1 FROM edge) GROUP BY ALL)
+SELECT project, fqn, name, kind, file_path FROM sym UNION ALL SELECT project, fqn, nullif(name, ''), nullif(kind, ''), NULL FROM ends e WHERE NOT EXISTS (SELECT 1 FROM sym s WHERE s.project = e.project AND s.fqn = e.fqn)""",
+)
+def graph_state(spark, sf_dir):
+    """Three projects put, one's files deleted and changed in part, another deleted whole: what is left, with placeholders for ends."""
+    c = F.col
+    project = F.when(c("s_suppkey") % 3 == 0, "a").when(c("s_suppkey") % 3 == 1, "b").otherwise("c")
+    own = fixtures.read(spark, sf_dir, "supplier").select(c("s_suppkey").alias("k"), project.alias("project"), F.concat(F.lit("f"), (c("s_suppkey") % 20).cast("string")).alias("file_path"), c("s_name").alias("name"), c("s_nationkey").alias("nation"))
+    name = lambda kind, k: F.concat(F.lit(f"{kind}."), k.cast("string"))
+
+    def parts(rows):
+        files = rows.select("project", "file_path").distinct().withColumn("file_hash", F.md5("file_path"))
+        symbols = rows.select("project", "file_path", name("supplier", c("k")).alias("fqn"), "name", F.lit("class").alias("kind"))
+        edges = rows.select("project", "file_path", F.lit("calls").alias("type"), name("supplier", c("k")).alias("source"), name("nation", c("nation")).alias("target"))
+        more = rows.select("project", "file_path", F.lit("uses_type").alias("type"), name("nation", c("nation")).alias("source"), name("supplier", c("k") + 3).alias("target"))
+        return files, symbols, edges.unionByName(more)
+
+    state = GraphState(spark, shared_folder(spark, "graph-state"))
+    state.put(*parts(own))
+    state.delete_files("a", own.filter("k % 20 < 5").select("file_path").distinct())
+    files, symbols, edges = parts(own.filter("project = 'a' AND k % 20 >= 5 AND k % 2 = 0"))
+    state.put(parts(own.filter("project = 'a' AND k % 20 >= 5"))[0], symbols, edges)
+    state.delete_project("c")
+    return state.nodes()
+
+
 CODE = """
 space AS (SELECT n_nationkey AS n, replace(r_name, ' ', '_') || '.' || replace(n_name, ' ', '_') AS ns, replace(n_name, ' ', '_') AS short FROM nation JOIN region ON n_regionkey = r_regionkey),
 cust AS (SELECT c_custkey, n, ns, c_mktsegment AS seg, ns || '.' || c_mktsegment || '.' || c_name AS fqn, replace(ns, '.', '/') || '.cs' AS file_path FROM customer JOIN space ON c_nationkey = n),

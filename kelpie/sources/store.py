@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -158,24 +158,39 @@ class ChangeLog:
     def read(self, table: str) -> DataFrame:
         return self._rows(table, self.state()["changes"]).drop("_number")
 
-    def _write(self, name: str, number: int, gone: DataFrame | None, tables: Mapping[str, DataFrame]) -> None:
+    def _write(self, name: str, number: int, gone: DataFrame | None, tables: Mapping[str, DataFrame]) -> dict[str, int]:
+        """Rows written of each table, and keys as "gone", counted as they are written."""
+        counts = {t: 0 for t in (*self.schemas, "gone")}
         for t, schema in self.schemas.items():
-            rows = tables[t] if t in tables else self.spark.createDataFrame([], schema)
             names = [x.split()[0] for x in schema.split(", ")]
-            rows.select(*names, F.lit(number).alias("_number") if "_number" not in rows.columns else F.col("_number")).write.parquet(f"{self.path}/{name}/{t}")
+            own = tables[t] if t in tables else self.spark.createDataFrame([], schema)
+            own = own.select(*names, F.lit(number).alias("_number") if "_number" not in own.columns else F.col("_number"))
+            counts[t] = self._counted(own.sortWithinPartitions(*(k for k in self.keys if k in names)), f"{self.path}/{name}/{t}", t in tables)
         none = self.spark.createDataFrame([], ", ".join(f"{k} string" for k in self.keys))
-        keys = (none if gone is None else gone).select(*self.keys).distinct()
-        keys.withColumn("_number", F.lit(number)).write.parquet(f"{self.path}/{name}/_gone")
-
-    def commit(self, gone: DataFrame | None, tables: Mapping[str, DataFrame], about: Mapping[str, object] | None = None) -> None:
-        """One change; the rows must not be read from this log lazily after it."""
+        keys = (none if gone is None else gone).select(*self.keys).distinct().withColumn("_number", F.lit(number))
+        counts["gone"] = self._counted(keys, f"{self.path}/{name}/_gone", gone is not None)
+        return counts
+
+    @staticmethod
+    def _counted(rows: DataFrame, path: str, count: bool) -> int:
+        """Write the rows; how many there were is observed on the way."""
+        if not count:
+            rows.write.parquet(path)
+            return 0
+        seen = Observation()
+        rows.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+        return int(seen.get.get("n", 0))
+
+    def commit(self, gone: DataFrame | None, tables: Mapping[str, DataFrame], about: Mapping[str, object] | None = None) -> dict[str, int]:
+        """One change; the rows must not be read from this log lazily after it. How many rows came in, and keys went."""
         state, name = self.state(), f"c-{uuid.uuid4().hex}"
         number = state["number"] + 1
-        self._write(name, number, gone, tables)
+        counts = self._write(name, number, gone, tables)
         state = {"number": number, "changes": state["changes"] | {name: number}, "about": dict(about or state["about"])}
         self._mark(state)
         if len(state["changes"]) > self.MOST + 1:
             self.merge()
+        return counts
 
     def _size(self, names: Sequence[str]) -> int:
         fs, path = self._fs()
