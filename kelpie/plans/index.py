@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.functions import embed, paths, sparse
-from kelpie.operators import chunking, graph, resolve, retrieval
+from kelpie.operators import chunking, graph, impacts, resolve, retrieval
 from kelpie.sources import artifacts, projects, scan
 from kelpie.sources.cache import EmbeddingCache
 from kelpie.sources.store import ChangeLog, stored
@@ -25,9 +25,17 @@ EDGES = "project string, type string, source string, target string, file_path st
 class Index:
     """Tables below one folder that change together (files, chunks, postings, edges), and the embedding cache."""
 
-    def __init__(self, spark: SparkSession, path: str, identity: str = "hashing-64", embedder: embed.Embedder = embed.hashing_embedder, project: str = "default", analysers: str = "1"):
-        """analysers is the version of whatever writes artifacts; with another one all solutions count as changed."""
+    def __init__(self, spark: SparkSession, path: str, identity: str = "hashing-64", embedder: embed.Embedder = embed.hashing_embedder, project: str = "default", analysers: str = "1", sparse_mode: str = "bm25", expander: impacts.Expander = impacts.by_heads):
+        """analysers is the version of whatever writes artifacts; with another one all solutions count as changed.
+
+        sparse_mode is bm25, learned (vectors by the expander) or disabled (no sparse vectors: keywords
+        find nothing, and hybrid searches rank by meaning alone).
+        """
+        if sparse_mode not in impacts.MODES:
+            raise ValueError(f"sparse_mode must be one of {impacts.MODES}")
         self.spark, self.path, self.identity, self.embedder, self.project, self.analysers = spark, path, identity, embedder, project, analysers
+        self.sparse_mode, self.expander = sparse_mode, expander
+        self._blocks: tuple[int, impacts.BlockIndex] | None = None
         self._dimension: int | None = None
         self._resolved: tuple[int, DataFrame] | None = None
         self.log = ChangeLog(spark, f"{path}/log", {"files": FILES, "chunks": CHUNKS, "postings": POSTINGS, "edges": EDGES, "solutions": SOLUTIONS}, ["file_path"])
@@ -42,7 +50,7 @@ class Index:
     def needs_rebuild(self) -> bool:
         """Whether the index was made by another model or another kind of sparse vectors."""
         about = self.log.state()["about"]
-        return bool(about) and (about["identity"], about["sparse"], about["dimension"]) != (self.identity, "bm25", self.dimension())
+        return bool(about) and (about["identity"], about["sparse"], about["dimension"]) != (self.identity, self.sparse_mode, self.dimension())
 
     def dimension(self) -> int:
         """The length of the embedder's vectors."""
@@ -95,14 +103,39 @@ class Index:
         own = own.withColumn("chunk_id", F.sha2(F.concat_ws("\x00", "file_path", F.col("chunk_index").cast("string"), "content"), 256))
         names = [x.split()[0] for x in CHUNKS.split(", ")]
         new = stored(self.cache.embed(own).select(*names), "chunks")
-        new_postings = sparse.postings(new, "chunk_id", "content").join(new.select("chunk_id", "file_path"), "chunk_id").select("chunk_id", "file_path", "term", "tf")
+        new_postings = self._postings(new).join(new.select("chunk_id", "file_path"), "chunk_id").select("chunk_id", "file_path", "term", "tf")
         edges = records.filter("record = 'edge'").select(F.lit(self.project).alias("project"), F.col("node_type").alias("type"), "source", "target", "file_path")
         # one change: what breaks off before its end is as if it had never begun, and is taken in again
-        about = {"identity": self.identity, "sparse": "bm25", "dimension": self.dimension()}
+        about = {"identity": self.identity, "sparse": self.sparse_mode, "dimension": self.dimension()}
         rows = {"chunks": new, "postings": new_postings, "edges": edges, "files": fresh, "solutions": solved.withColumnRenamed("solution", "file_path")}
         self.log.commit(gone, rows, about)
         return out
 
+    def _postings(self, chunks: DataFrame) -> DataFrame:
+        """(chunk_id, term, tf) of new chunks; tf is the impact where vectors are learned."""
+        if self.sparse_mode == "learned":
+            return impacts.impact_postings(chunks, "chunk_id", "content", self.expander).select("chunk_id", "term", F.col("impact").cast("long").alias("tf"))
+        own = chunks if self.sparse_mode == "bm25" else chunks.limit(0)
+        return sparse.postings(own, "chunk_id", "content")
+
+    def _keyword_leg(self, queries: Sequence[tuple[int, str]], chunks: DataFrame, where: Column | None, n: int) -> DataFrame | None:
+        """(query_ord, chunk_id, score, rank) by sparse vectors, None where there are none."""
+        if self.sparse_mode == "disabled":
+            return None
+        postings = self.table("postings")
+        own = postings.join(chunks.filter(where).select("chunk_id"), "chunk_id", "left_semi") if where is not None else postings
+        if self.sparse_mode == "bm25":
+            weights = sparse.idf(postings, "chunk_id", chunks.count())
+            return retrieval.keyword_top_k(own, weights, retrieval.query_terms(self.spark, queries), "chunk_id", n).withColumn("score", F.col("score") / 1_000_000.0)
+        terms = impacts.query_impacts(self.spark, queries, self.expander)
+        if where is not None:  # blocks are made over all chunks
+            met = own.join(F.broadcast(terms), "term").groupBy("query_ord", "chunk_id").agg(F.sum(F.col("weight") * F.col("tf")).alias("score"))
+            return retrieval.top_k(met, n, "chunk_id").withColumn("score", F.col("score").cast("double"))
+        number = self.log.state()["number"]
+        if self._blocks is None or self._blocks[0] != number:
+            self._blocks = (number, impacts.build(postings.select("chunk_id", "term", F.col("tf").cast("int").alias("impact")), "chunk_id"))
+        return impacts.impact_top_k(self._blocks[1], terms, n).withColumn("score", F.col("score").cast("double"))
+
     def status(self) -> dict[str, object]:
         chunks = self.chunks()
         by = retrieval.category_counts(chunks, paths.CATEGORIES).collect()
@@ -128,15 +161,14 @@ class Index:
         chunks = self.chunks()
         where = retrieval.filters(filters)
         legs = []
-        if operator in ("keyword", "hybrid", "exact"):
-            postings = self.table("postings")
-            weights = sparse.idf(postings, "chunk_id", chunks.count())
-            own = postings.join(chunks.filter(where).select("chunk_id"), "chunk_id", "left_semi") if filters else postings
-            legs.append(retrieval.keyword_top_k(own, weights, retrieval.query_terms(self.spark, queries), "chunk_id", n).withColumn("score", F.col("score") / 1_000_000.0))
+        if operator in ("keyword", "hybrid", "exact") and (leg := self._keyword_leg(queries, chunks, where if filters else None, n)) is not None:
+            legs.append(leg)
         if operator in ("semantic", "hybrid", "exact"):
             distinct = list(dict.fromkeys(q for _, q in queries))  # each text goes to the model once
             vectors = dict(zip(distinct, self.embedder(distinct).tolist(), strict=True))
             legs.append(retrieval.semantic_top_k(chunks, "chunk_id", "embedding", [(i, vectors[q]) for i, q in queries], n, where if filters else None))
+        if not legs:
+            return self.spark.createDataFrame([], "query_ord int, chunk_id string, score double, rank int")
         out = legs[0] if len(legs) == 1 else retrieval.reciprocal_rank_fusion(legs, "chunk_id", n)
         if operator == "exact":
             texts = chunks.select("chunk_id", F.col("content").alias("text"))

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kelpie.functions import paths, sparse, text
-from kelpie.operators import chunking, evidence, graph, messaging, resolve, retrieval
+from kelpie.operators import chunking, evidence, graph, impacts, messaging, resolve, retrieval
 from kelpie.plans import fixtures
 from kelpie.sources import projects, scan, trace
 from kelpie.sources.graph_state import GraphState
@@ -155,6 +155,27 @@ def exact_search(spark, sf_dir):
     return retrieval.exact_top_k(hits, docs, "doc_id", SUBSTRING_QUERIES, 10)
 
 
+@query(
+    "learned_topk",
+    rf"""WITH words AS (SELECT doc_id, unnest({TOKENS}) AS w FROM documents),
+features AS (SELECT doc_id, w AS token FROM words UNION ALL SELECT doc_id, '~' || left(w, 4) FROM words WHERE length(w) > 4),
+tf AS (SELECT doc_id, token, count(*) AS n FROM features GROUP BY ALL),
+terms AS (SELECT token, {FOLD} AS term FROM (SELECT DISTINCT token FROM features)),
+impacts AS (SELECT doc_id, term, least(255, sum(least(255, greatest(1, round(32 * (CASE WHEN token LIKE '~%' THEN 0.5::DOUBLE ELSE 1 END) * ln(1 + n))))))::BIGINT AS impact FROM tf JOIN terms USING (token) GROUP BY ALL),
+qwords AS (SELECT query_ord, unnest(regexp_extract_all(lower(query), '[\p{{L}}\p{{N}}_]+')) AS w FROM {values(WORD_QUERIES, 'query_ord, query')}),
+qfeatures AS (SELECT query_ord, w AS token FROM qwords UNION ALL SELECT query_ord, '~' || left(w, 4) FROM qwords WHERE length(w) > 4),
+qtf AS (SELECT query_ord, token, count(*) AS n FROM qfeatures GROUP BY ALL),
+weights AS (SELECT query_ord, {FOLD} AS term, least(255, sum(least(255, greatest(1, round(32 * (CASE WHEN token LIKE '~%' THEN 0.5::DOUBLE ELSE 1 END) * ln(1 + n))))))::BIGINT AS weight FROM qtf GROUP BY ALL),
+scored AS (SELECT query_ord, doc_id, sum(weight * impact)::BIGINT AS score FROM impacts JOIN weights USING (term) GROUP BY ALL),
+ranked AS (SELECT query_ord::INTEGER AS query_ord, doc_id, score, (row_number() OVER (PARTITION BY query_ord ORDER BY score DESC, doc_id))::INTEGER AS rank FROM scored)
+SELECT * FROM ranked WHERE rank <= 10""",
+)
+def learned_topk(spark, sf_dir):
+    """The best documents by expanded, quantised vectors; blocks that can't reach the best ten stay closed."""
+    index = impacts.build(impacts.impact_postings(fixtures.documents(spark, sf_dir), "doc_id", "text"), "doc_id")
+    return impacts.impact_top_k(index, impacts.query_impacts(spark, WORD_QUERIES), 10)
+
+
 @query(
     "batch_merge",
     keyword_sql(30)
