@@ -40,11 +40,12 @@ FREQUENT, WORD_BYTES, HELD = 1 << 18, 64, 400_000
 CLASSES, CLASS_WORDS, KINDS = 32, 64, 31
 FIRST = KINDS + 1
 #: Rows of hashed weights of either level; tokens of a step; tokens that are scored at once.
-ROWS, STEP, BATCH = 1 << 13, 4096, 32_768
+ROWS, STEP, BATCH = 1 << 13, 8192, 32_768
 RATE, ROUNDS, NEIGHBOURS = 1.0, 1, 64
 #: Parts that a model's sums travel in, and groups of tasks that are summed first.
 BLOCKS, GROUPS = 64, 64
-NEVER = -30.0
+#: The logit of an outcome that no word has, and a weight's bound.
+NEVER, MOST = -30.0, 15.0
 END = b" "
 WHITE = re.compile(rb"[\t-\r ]")
 
@@ -256,19 +257,17 @@ class Level:
         z += self.bias[group]
         return z
 
-    def log_p(self, rows: np.ndarray, group: np.ndarray | int, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each target's log probability, and all outcomes' probabilities."""
+    def log_p(self, rows: np.ndarray, group: np.ndarray | int, target: np.ndarray) -> np.ndarray:
+        """Each target's log probability. Weights are bounded, so that sums of exponentials are too."""
         z = self.logits(rows, group)
-        z -= z.max(1, keepdims=True)
         own = z[np.arange(len(target)), target].astype(np.float64)
-        np.exp(z, out=z)
-        total = z.sum(1)
-        z /= total[:, None]
-        return own - np.log(total, dtype=np.float64), z
+        return own - np.log(np.exp(z, out=z).sum(1), dtype=np.float64)
 
     def learn(self, rows: np.ndarray, group: np.ndarray | int, target: np.ndarray, slack: np.ndarray, met: np.ndarray) -> None:
         """One AdaGrad step, a rate for each row; met counts how often each row was in use."""
-        _, p = self.log_p(rows, group, target)
+        p = self.logits(rows, group)
+        np.exp(p, out=p)
+        p *= (1 / p.sum(1))[:, None]
         p[np.arange(len(target)), target] -= 1
         flat = rows.ravel().astype(np.int16)  # sorted by radix
         order = np.argsort(flat, kind="stable")
@@ -278,7 +277,7 @@ class Level:
         g = sums_of(p, order % len(target), starts, sizes)
         slack[own] += np.einsum("ij,ij->i", g, g)
         g *= (RATE / np.sqrt(slack[own]))[:, None]
-        self.weights[own] -= g
+        self.weights[own] = np.clip(self.weights[own] - g, -MOST, MOST)
         met[own] += sizes
 
 
@@ -334,9 +333,9 @@ class Model:
         out = np.empty(history.shape[1])
         for lo in range(0, len(out), STEP):
             rows, target, two, within, c, place = self.features(history[:, lo : lo + STEP])
-            own = first.log_p(rows, 0, target)[0]
+            own = first.log_p(rows, 0, target)
             if len(two):
-                own[two] += second.log_p(within, c, place)[0]
+                own[two] += second.log_p(within, c, place)
             out[lo : lo + STEP] = own
         return out
 
