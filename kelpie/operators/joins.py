@@ -21,6 +21,7 @@ def skew_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     counts = left.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows)
     hot = F.broadcast(counts.select(*keys, F.ceil(F.col("_n") / hot_rows).cast("int").alias("_salts")))
     salts = F.coalesce("_salts", F.lit(1))
-    dealt = left.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*left.columns), salts).cast("int")).drop("_salts")
+    contents = [F.col(f"`{f.name}`") for f in left.schema.fields if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]  # these have no hash
+    dealt = left.join(hot, list(keys), "left").withColumn("_salt", F.pmod(F.xxhash64(*contents), salts).cast("int")).drop("_salts")
     copies = right.join(hot, list(keys), "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("_salts")
     return dealt.join(copies, [*keys, "_salt"], how).drop("_salt")
