@@ -33,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kelpie.llm.common import shared_dir, texts_of, tidy
+from kelpie.llm.common import shared_dir, stored, texts_of, tidy
+from kelpie.operators.joins import skew_join
 
 WHITE = b" \t\n\v\f\r"
 SLOTS = 4
@@ -41,6 +42,8 @@ SLOTS = 4
 MAX_FILTER_BYTES = 64 << 20
 #: Live keys of a shard, at most about, and shards at first; a task holds one shard's filter at a time.
 KEYS_PER_SHARD, SHARDS = 1_000_000, 8
+#: Documents of one text in one task, where texts meet what was found of them.
+HOT_TEXTS = 10_000
 
 
 def line_keys(text: str) -> list[bytes]:
@@ -164,6 +167,8 @@ class LineIndex:
     def __init__(self, spark: SparkSession, path: str | None = None, min_docs: int = 10):
         self.spark, self.path, self.min_docs = spark, path or shared_dir(spark, "lines"), min_docs
         self._fs, self._root = pafs.FileSystem.from_uri(self.path) if "://" in self.path else (pafs.LocalFileSystem(), self.path)
+        if (made := self.state.get("min_docs", min_docs)) != min_docs:  # its filters hold the keys of that bound
+            raise ValueError(f"the index in {self.path} was made with min_docs={made}, not {min_docs}")
 
     @property
     def state(self) -> dict:
@@ -264,7 +269,7 @@ class LineIndex:
         hits = self._hits(light, part, n_shards)
         wrong = hits.groupBy("shard").agg(F.array_join(F.array_sort(F.collect_list(F.concat(*(F.lpad(F.hex(c), 16, "0") for c in ("hi", "lo"))))), "").alias("wrong"))
         part.join(wrong, "shard", "left").select("shard", "slots", F.unhex(F.coalesce("wrong", F.lit(""))).alias("wrong")).write.parquet(at("filters"))
-        self._mark({"generation": before["generation"] + 1, "name": name, "shards": n_shards})
+        self._mark({"generation": before["generation"] + 1, "name": name, "shards": n_shards, "min_docs": live})
 
     @staticmethod
     def _bytes(filters: DataFrame) -> int:
@@ -283,10 +288,12 @@ class LineIndex:
 
             return own.mapInArrow(tidy(run), "shard int, hi long, lo long")
 
-        # a filter goes ahead of its shard's keys, which follow it batch by batch
+        # a shard's keys are dealt over as many parts as they need, and to each its filter goes ahead of them
+        parts = max(1, -(-keys.count() // int(n_shards * max(1, KEYS_PER_SHARD))))
         none = F.lit(None).cast("long")
-        heads = with_wrong(filters).select("shard", none.alias("hi"), none.alias("lo"), "slots", "wrong")
-        rows = heads.unionByName(own, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("slots").isNull())
+        heads = with_wrong(filters).select("shard", none.alias("hi"), none.alias("lo"), "slots", "wrong").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+        own = own.withColumn("part", F.pmod("lo", F.lit(parts)).cast("int"))
+        rows = heads.unionByName(own, allowMissingColumns=True).repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("slots").isNull()).drop("part")
 
         def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shard, probe = None, None
@@ -299,11 +306,15 @@ class LineIndex:
                         continue
                     if shard != int(shards[lo]):
                         shard, probe = int(shards[lo]), None
-                    if (slots := part.column(3)[0].as_py()) is not None:
-                        probe, part = Probe({shard: (slots, part.column(4)[0].as_py() or b"")}, n_shards), part.slice(1)
-                    if probe and part.num_rows:
-                        part = part.select([0, 1, 2])
-                        yield part.filter(pa.array(probe(key_rows(part)), pa.bool_()))
+                    # parts of a shard that lie in one task follow one another, each behind its own copy of the filter
+                    first = np.flatnonzero(part.column(3).is_valid().to_numpy(zero_copy_only=False)).tolist()
+                    for a, z in zip([0, *first], [*first, part.num_rows], strict=True):
+                        some = part.slice(a, z - a)
+                        if some.num_rows and (slots := some.column(3)[0].as_py()) is not None:
+                            probe, some = Probe({shard: (slots, some.column(4)[0].as_py() or b"")}, n_shards), some.slice(1)
+                        if probe and some.num_rows:
+                            some = some.select([0, 1, 2])
+                            yield some.filter(pa.array(probe(key_rows(some)), pa.bool_()))
 
         return rows.mapInArrow(tidy(probed), "shard int, hi long, lo long")
 
@@ -355,10 +366,11 @@ class LineIndex:
                 yield kept_batch(b.drop_columns(["_live", "_own"]), ts, per, np.array(gone, bool))
 
         digest = F.xxhash64(F.coalesce("text", F.lit("")))
-        keys = docs.select(digest.alias("own"), "text").mapInArrow(tidy(keyed), "own long, hi long, lo long").distinct()
+        keys = stored(docs.select(digest.alias("own"), "text").mapInArrow(tidy(keyed), "own long, hi long, lo long").distinct(), "line-keys")
         live = self._hits(keys.select("hi", "lo").distinct(), self.filters, self.state["shards"]).select("hi", "lo")
         found = keys.join(live, ["hi", "lo"]).groupBy(F.col("own").alias("_own")).agg(F.collect_set(F.struct("hi", "lo")).alias("_live"))
-        both = docs.join(found, F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_own"], "left")
+        # a text that many documents share is dealt over several tasks
+        both = skew_join(docs.withColumn("_own", F.xxhash64(F.coalesce(docs["text"], F.lit("")))), found, ["_own"], "left", HOT_TEXTS)
         return both.mapInArrow(tidy(cut), kept_schema(docs))
 
 

@@ -46,7 +46,9 @@ def test_filters_beyond_a_task(spark, sf, monkeypatch, keys_per_shard):
     monkeypatch.setattr(line_dedup, "KEYS_PER_SHARD", keys_per_shard)
     monkeypatch.setattr(line_dedup, "held", None)  # no filter comes to the driver
     own = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
-    for rows, least in ((ROWS, 2), (own, 2)):
+    monkeypatch.setattr(line_dedup, "HOT_TEXTS", 20)
+    hot = [*own, *((10**6 + k, own[k % 2][1]) for k in range(100)), *((10**7 + k, "") for k in range(60))]
+    for rows, least in ((ROWS, 2), (own, 2), (hot, 3)):
         assert out(dedup_lines(frame(spark, rows), least)) == brute(rows, least)
 
 
@@ -69,6 +71,17 @@ def test_an_index_is_opened_again(spark, tmp_path, monkeypatch):
     assert out(index.drop(frame(spark, ROWS))) == brute(ROWS, 2)
 
 
+def test_an_index_keeps_its_bound(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    LineIndex(spark, path, min_docs=10).insert(frame(spark, [(k, "shared\nown") for k in range(7)]))
+    with pytest.raises(ValueError, match="min_docs=10, not 5"):
+        LineIndex(spark, path, min_docs=5)
+    index = LineIndex(spark, path, min_docs=10)
+    more = [(k, "shared\nelse") for k in range(7, 11)]
+    index.insert(frame(spark, more))
+    assert [r["n_dropped"] for r in index.drop(frame(spark, more)).collect()] == [1] * 4
+
+
 def test_wrong_hits_are_listed():
     keys = np.frombuffer(b"".join(hashlib.md5(str(i).encode()).digest() for i in range(40)), "<i8").reshape(-1, 2)
     f = CuckooFilter.sized(40)
