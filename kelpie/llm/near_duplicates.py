@@ -2,16 +2,19 @@
 
 Equal texts are one node. A node's signature is ``TREES`` labels of ``DEPTH`` minima, each label
 a path in its tree; nodes that share a prefix of a path meet in that trie node. A link of
-similarity s is found at depth d with probability 1 - (1 - s^d)^TREES. The depth is the greatest
-at which a link right at the threshold has the target recall, so that every link has it, whatever
-others the table holds.
+similarity s is found at depth d with probability 1 - (1 - s^d)^TREES.
 
+Matching begins with whole paths and shortens the prefix step by step, until a link right at the
+threshold has the target recall, so that every link has it, whatever others the table holds.
 Nodes that meet form candidate clusters. A cluster of bounded size is verified whole, in pairs of
-blocks. Of a larger one (very many near copies of one text, or chance chains) each text goes once
-to a block of its largest trie node, which keeps the shingle sets in a file; blocks that share
-trie nodes are then compared as references to their files, for the pairs that meet. Links
-are counted where they are verified and are never written out as pairs; only links between
-blocks' components are, for the connected classes. Exact similarities come from whole shingle sets.
+blocks; one that a shorter prefix leaves as it is keeps what was verified, and only those that
+grow are verified again. In a larger cluster (very many near copies of one text, or chance
+chains) only pairs that share a trie node are compared, so there the prefix is shortened further,
+to ``SHORTEST``: each text goes once to a block of its largest trie node, which keeps the shingle
+sets in a file, and blocks that share trie nodes are compared as references to their files. Blocks
+are bounded in texts and in shingles. Links are counted where they are verified and are never
+written out as pairs; only links between blocks' components are, for the connected classes. Exact
+similarities come from whole shingle sets.
 
 Defined results: words are runs of characters other than ASCII white space; a text of one to
 four words is one shingle; texts without words link to nothing, but equal ones are copies (null
@@ -33,14 +36,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.llm.common import shared_dir, stored, texts_of, tidy
+from kelpie.operators.joins import skew_join
 
 TREES, DEPTH, SHORTEST, WORDS = 24, 6, 4, 5
 #: Members of clusters that are verified whole, in pairs of blocks of so many; a bound for the rows a join may broadcast (about 100 bytes each).
 CLUSTER, BLOCK, BROADCAST_ROWS = 4096, 512, 300_000
+#: Shingles of a block, about (a longer text is a block's by itself); rows of one text in one task.
+BLOCK_SHINGLES, HOT_TEXTS = 4_000_000, 1_000_000
 _RANDOM = np.random.default_rng(11)
 TIMES = _RANDOM.integers(1, 1 << 63, TREES * DEPTH, np.uint64) * np.uint64(2) + np.uint64(1)
 PLUS = _RANDOM.integers(1, 1 << 63, TREES * DEPTH, np.uint64)
@@ -76,19 +82,20 @@ def with_digest(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, copy (128 bits of the text), digest, signature (null without words)."""
+    """doc_id, copy (128 bits of the text), digest, signature (null without words), width (shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            copies, rows = [], []
+            copies, rows, widths = [], [], []
             for t in texts_of(b):
                 copies.append(xxhash.xxh3_128_digest(t.encode("utf-8", "surrogatepass")))
                 own = shingles(t)
                 rows.append(minima(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), b.column("digest"), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "copy", "digest", "signature"])
+                widths.append(len(own))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(copies, pa.binary()), b.column("digest"), pa.array(rows, pa.list_(pa.int32())), pa.array(widths, pa.int64())], ["doc_id", "copy", "digest", "signature", "width"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_digest(docs).mapInArrow(tidy(run), f"doc_id {kind}, copy binary, digest long, signature array<int>")
+    return with_digest(docs).mapInArrow(tidy(run), f"doc_id {kind}, copy binary, digest long, signature array<int>, width long")
 
 
 def similarities(sets: list[np.ndarray]) -> np.ndarray:
@@ -156,19 +163,24 @@ def depth_for(threshold: float, recall: float) -> int:
 
 
 def meeting(nodes: DataFrame, depth: int) -> DataFrame:
-    """node, tree and its prefix's key: the rows that share the prefix with another node.
+    """node, width, tree and its prefix's key: the rows that share the prefix with another node.
 
     How many nodes share a prefix is counted before it shuffles; where the shared ones are few
     enough, they go to the nodes, otherwise nodes' rows shuffle to them.
     """
     keys = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), F.xxhash64(t, F.slice("signature", t * DEPTH + 1, depth)).alias("key")))
-    rows = nodes.filter("signature IS NOT NULL").select("node", F.explode(keys).alias("x")).select("node", "x.*")
+    rows = nodes.filter("signature IS NOT NULL").select("node", "width", F.explode(keys).alias("x")).select("node", "width", "x.*")
     shared = stored(rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "shared")
     if shared.count() <= BROADCAST_ROWS:
         shared = F.broadcast(shared)
     return stored(rows.join(shared, "key"), "met")
 
 
+def load_of(rows: Column) -> Column:
+    """How many texts a group counts for when it is cut into blocks: as many as it has, or more where they are long."""
+    return F.greatest(rows, F.ceil(F.sum("width") * (BLOCK / BLOCK_SHINGLES)))
+
+
 def genuine(text: str, copy: bytes) -> bool:
     return xxhash.xxh3_128_digest(text.encode("utf-8", "surrogatepass")) == copy
 
@@ -408,9 +420,9 @@ def with_copies(df: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999) -> DataFrame:
     """The rows of near_duplicates with copy and root, which tell texts and classes apart where ids are repeated or null."""
     signed = stored(signatures(docs), "signatures")
-    nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.first("digest").alias("digest"), F.first("signature").alias("signature"))
+    nodes = signed.groupBy("copy").agg(F.min("doc_id").alias("copy_id"), F.first("digest").alias("digest"), F.first("signature").alias("signature"), F.first("width").alias("width"))
     nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")  # written once, so ids hold
-    found = stored(links_at(docs, nodes, meeting(nodes, depth_for(threshold, recall)), threshold), "links")
+    found = stored(forest_links(docs, nodes, threshold, recall), "links")
     # a node may have several rows; their roots join in the classes
     counts = found.groupBy("node").agg(F.sum("links").alias("n_links"))
     roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
@@ -418,24 +430,60 @@ def classes_of(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9999)
     known = stored(known.drop("node"), "known")
     classes = known.groupBy("root").agg(F.min("copy_id").alias("class_id"))
     known = known.join(classes, "root").select("copy", "root", "copy_id", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "copy").join(known, "copy").select("doc_id", "copy", "root", "class_id", "copy_id", "n_links")
-
-
-def links_at(docs: DataFrame, nodes: DataFrame, keys: DataFrame, threshold: float) -> DataFrame:
-    """Verified links among nodes that share a key (node, tree, key): node, links, root, in one or more rows a node."""
-    tries = keys.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1")
-    met = stored(keys.join(tries, ["tree", "key"]), "tries")
-    roots = components(met.filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct())
-    sizes = roots.groupBy("root").agg(F.count("*").alias("size"))
-    members = stored(roots.join(sizes, "root").join(nodes.select("node", "copy", "copy_id", "digest"), "node"), "members")
-    # a small cluster's rows once for each pair of blocks that theirs is in
-    small = members.filter(F.col("size") <= CLUSTER).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return skew_join(signed.select("doc_id", "copy"), known, ["copy"], "inner", HOT_TEXTS).select("doc_id", "copy", "root", "class_id", "copy_id", "n_links")
+
+
+def clusters(nodes: DataFrame, depth: int) -> DataFrame:
+    """node, root, size, load, copy, copy_id, digest of the nodes that meet others at a depth: their candidate clusters."""
+    keys = meeting(nodes, depth)
+    low = keys.groupBy("tree", "key").agg(F.count("*").alias("n"), F.min("node").alias("low")).filter("n > 1").drop("n")
+    edges = keys.join(low, ["tree", "key"]).filter("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct()
+    roots = components(edges).join(nodes.select("node", "width", "copy", "copy_id", "digest"), "node")
+    roots = stored(roots, "roots")
+    sizes = roots.groupBy("root").agg(F.count("*").alias("size"), load_of(F.count("*")).alias("load"))
+    return stored(roots.join(sizes, "root"), "members")
+
+
+def verified(docs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """Links within clusters of bounded size, each row once for each pair of blocks that its block is in."""
+    small = members.withColumn("blocks", F.ceil(F.col("load") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     small = small.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     i, j = F.least("block", "other"), F.greatest("block", "other")
     small = stored(small.select("node", "copy", "copy_id", "digest", F.struct("root", i.alias("i"), j.alias("j")).alias("group"), F.when(F.col("block") == i, F.lit(0)).otherwise(F.lit(1)).alias("side")), "rows")
-    found = whole_texts(docs, small).repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify(threshold)), FOUND)
-    big = members.filter(F.col("size") > CLUSTER).drop("root", "size")
-    return found if big.isEmpty() else found.unionByName(crowd_links(docs, big, met, threshold))
+    return whole_texts(docs, small).repartition("group").sortWithinPartitions("group").mapInArrow(tidy(verify(threshold)), FOUND)
+
+
+def unchanged(members: DataFrame, before: DataFrame) -> DataFrame:
+    """root of clusters that have just the nodes of one verified cluster of the depth before."""
+    old = before.select("node", F.col("root").alias("was"), F.col("size").alias("had"))
+    both = members.select("node", "root", "size").join(old, "node", "left").groupBy("root")
+    both = both.agg(F.first("size").alias("size"), F.count("was").alias("known"), F.min("was").alias("a"), F.max("was").alias("b"), F.max("had").alias("had"))
+    return both.filter("known = size AND a = b AND had = size").select("root")
+
+
+def forest_links(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Verified links: node, links, root, depth (of the prefixes that brought its cluster together), in one or more rows a node."""
+    before, kept = None, None
+    for depth in range(DEPTH, depth_for(threshold, recall) - 1, -1):
+        members = clusters(nodes, depth)
+        small = members.filter((F.col("size") <= CLUSTER) & (F.col("load") <= CLUSTER))
+        if before is not None:
+            same = stored(unchanged(small, before), "unchanged")
+            kept = kept.join(members.join(same, "root", "left_semi").select("node"), "node", "left_semi")
+            new = small.join(same, "root", "left_anti")
+        else:
+            new = small
+        new = verified(docs, new, threshold).withColumn("depth", F.lit(depth))
+        kept = stored(new if kept is None else kept.unionByName(new), "verified")
+        before = small
+    crowd = members.join(small.select("root").distinct(), "root", "left_anti").drop("root", "size", "load", "width")
+    if crowd.isEmpty():
+        return kept
+    own = nodes.join(crowd.select("node"), "node", "left_semi")
+    keys = meeting(own, SHORTEST)
+    tries = keys.groupBy("tree", "key").agg(F.count("*").alias("rows"), load_of(F.count("*")).alias("n")).filter("rows > 1").drop("rows")
+    met = stored(keys.drop("width").join(tries, ["tree", "key"]), "tries")
+    return kept.unionByName(crowd_links(docs, stored(crowd, "crowd"), met, threshold).withColumn("depth", F.lit(SHORTEST)))
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

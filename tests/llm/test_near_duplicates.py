@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kelpie.llm import near_duplicates as nd
 
@@ -170,3 +171,30 @@ def test_a_hot_group_sets_no_depth_for_others(spark):
         texts += pair(k)
     rows = list(enumerate(texts))
     assert got(spark, rows) == brute(rows)
+
+
+def test_prefixes_are_shortened_where_clusters_grow(spark, monkeypatch):
+    monkeypatch.setattr(nd, "CLUSTER", 30)
+    monkeypatch.setattr(nd, "BLOCK", 16)
+
+    def pair(k):  # 40 of 50 shingles shared, and no whole path in common
+        w = [f"p{k}x{j}" for j in range(49)]
+        return [" ".join(w), " ".join(w[:-5] + [f"q{k}x{j}" for j in range(5)])]
+
+    close = near_copies(2, 21, 400)
+    texts = [*close, *pair(466), *pair(1015), *near_copies(80, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    nodes = nd.stored(nd.signatures(docs).withColumnRenamed("doc_id", "copy_id").withColumn("node", F.col("copy_id")), "nodes")
+    depth = {r["node"]: r["depth"] for r in nd.forest_links(docs, nodes, 0.8, 0.9999).filter("links > 0").collect()}
+    assert {depth[k] for k in (0, 1)} == {nd.DEPTH} and {depth[k] for k in (2, 3, 4, 5)} == {5}
+    assert len(depth) > 40 and {d for k, d in depth.items() if k >= 6} == {nd.SHORTEST}
+    assert got(spark, list(enumerate(texts))) == brute(list(enumerate(texts)))
+
+
+def test_blocks_are_bounded_in_shingles(spark, monkeypatch):
+    monkeypatch.setattr(nd, "BLOCK_SHINGLES", 2000)
+    rows = list(enumerate(near_copies(30, 5, 300)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = nd.stored(nd.signatures(docs).withColumnRenamed("doc_id", "copy_id").withColumn("node", F.col("copy_id")), "nodes")
+    assert nd.clusters(nodes, 5).first()["load"] > 5 * nd.BLOCK / 2
+    assert got(spark, rows) == brute(rows)
