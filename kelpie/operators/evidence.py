@@ -155,3 +155,29 @@ def unseen_paths(hits: DataFrame, pool: DataFrame) -> DataFrame:
 
 def union_cards(parts: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def merge_analyses(outputs: DataFrame) -> DataFrame:
+    """One analysis for each search from several analysts', whatever order they come in.
+
+    outputs are (search_id, persona, priority, subject, actors array<struct<name, role>>, covered,
+    gaps, reasoning); a smaller priority counts first, then the persona's name. The subject is the
+    first that isn't empty; actors are one a name, covered and gaps one a text, each as the first
+    analyst has it and in the order of first mention; reasonings stand one after another.
+    """
+    rank = F.struct("priority", "persona")
+    base = outputs.groupBy("search_id").agg(
+        F.min(F.when(F.length("subject") > 0, F.struct("priority", "persona", "subject"))).alias("s"),
+        F.array_sort(F.collect_list(F.when(F.length("reasoning") > 0, F.struct("priority", "persona", "reasoning")))).alias("r"),
+    )
+    base = base.select("search_id", F.coalesce("s.subject", F.lit("")).alias("subject"), F.array_join(F.transform("r", lambda x: F.concat(F.lit("["), x["persona"], F.lit("] "), x["reasoning"])), " | ").alias("reasoning"))
+
+    def union(column: str, key: Column, value: Column) -> DataFrame:
+        each = outputs.select("search_id", rank.alias("rank"), F.posexplode(column).alias("place", "x")).withColumns({"k": key, "v": value}).filter(F.length("k") > 0)
+        first = each.groupBy("search_id", "k").agg(F.min_by("v", F.struct("rank", "place")).alias("v"), F.min(F.struct("rank", "place")).alias("at"))
+        return first.groupBy("search_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x["v"]).alias(column))
+
+    for column, key in (("actors", F.col("x.name")), ("covered", F.col("x")), ("gaps", F.col("x"))):
+        kind = outputs.schema[column].dataType
+        base = base.join(union(column, key, F.col("x")), "search_id", "left").withColumn(column, F.coalesce(column, F.array().cast(kind)))
+    return base.select("search_id", "subject", "actors", "covered", "gaps", "reasoning")

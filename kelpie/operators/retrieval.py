@@ -7,6 +7,8 @@ shuffle (Spark's window group limit). Ties go to the smaller key.
 
 from __future__ import annotations
 
+import importlib.util
+import warnings
 from collections import Counter
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
@@ -95,15 +97,15 @@ def reciprocal_rank_fusion(legs: Sequence[DataFrame], key: str, n: int, k: int =
     return top_k(fused, n, key)
 
 
-def exact_top_k(candidates: DataFrame, texts: DataFrame, key: str, queries: Sequence[tuple[int, str]], n: int, preview: int = 500) -> DataFrame:
-    """Candidates (query_ord, key, rank) whose preview holds the query in any case come first.
+def exact_top_k(candidates: DataFrame, texts: DataFrame, key: str, queries: Sequence[tuple[int, str]], n: int, preview: int | None = None) -> DataFrame:
+    """Candidates (query_ord, key, rank) whose text, or its first preview characters, holds the query in any case come first.
 
     Quotes around a query are dropped. Where fewer than half of n are hits, other candidates fill
     up to n, marked exact_match = false.
     """
     spark = candidates.sparkSession
     needles = spark.createDataFrame([(i, q.strip("\"'`").lower()) for i, q in queries], "query_ord int, needle string")
-    found = candidates.join(F.broadcast(needles), "query_ord").join(texts.select(key, F.lower(F.substring("text", 1, preview)).alias("head")), key)
+    found = candidates.join(F.broadcast(needles), "query_ord").join(texts.select(key, F.lower(F.substring("text", 1, preview) if preview else F.col("text")).alias("head")), key)
     found = found.withColumn("exact_match", F.coalesce(F.contains("head", F.col("needle")), F.lit(False)))
     by = W.partitionBy("query_ord")
     found = found.withColumn("hits", F.count_if("exact_match").over(by))
@@ -150,6 +152,37 @@ def model_rerank(hits: DataFrame, query: str, make_scorer: Callable[[], Callable
     return out.limit(m) if m else out
 
 
+#: Models of this process, which serves one task after another.
+_MODELS: dict[str, object] = {}
+
+
+def once_a_worker(name: str, make: Callable[[], object]) -> Callable[[], object]:
+    """Gives the model of a name, made when a worker first needs it and kept for its later tasks."""
+
+    def get() -> object:
+        from kelpie.operators import retrieval  # the module that lives on in the worker, not a copy of its names
+
+        if name not in retrieval._MODELS:
+            retrieval._MODELS[name] = make()
+        return retrieval._MODELS[name]
+
+    return get
+
+
+def make_reranker(name: str | None, make_scorer: Callable[[], Callable[[list[tuple[str, str]]], Sequence[float]]] | None = None, needs: Sequence[str] = ()) -> Callable[..., DataFrame]:
+    """A reranker (hits, query, text, m, key): by a model, one in each worker, or by rules.
+
+    Which one is settled when the plan is made: without a model, or where a module that it needs
+    can't be found, rules rank, and a warning names the module.
+    """
+    lost = [m for m in needs if importlib.util.find_spec(m) is None]
+    if lost:
+        warnings.warn(f"reranking by rules, as {name} needs {', '.join(lost)}", stacklevel=2)
+    if name is None or make_scorer is None or lost:
+        return lambda hits, query, text="text", m=20, key="doc_id": simple_rerank(hits, query, text, m=m, key=key)
+    return lambda hits, query, text="text", m=20, key="doc_id": model_rerank(hits, query, once_a_worker(name, make_scorer), text, m, key)
+
+
 def category_counts(chunks: DataFrame, categories: Sequence[str], column: str = "category") -> DataFrame:
     """Rows by category, zero where there are none."""
     fixed = chunks.sparkSession.createDataFrame([(c,) for c in categories], f"{column} string")

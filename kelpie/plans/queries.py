@@ -10,6 +10,7 @@ from kelpie.functions import paths, sparse, text
 from kelpie.operators import chunking, evidence, graph, impacts, messaging, resolve, retrieval
 from kelpie.plans import fixtures
 from kelpie.sources import projects, scan, trace
+from kelpie.sources.cache import EmbeddingCache
 from kelpie.sources.graph_state import GraphState
 from kelpie.sources.store import shared_folder, stored
 
@@ -50,10 +51,10 @@ def values(rows, names: str) -> str:
     return f"(VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)}) AS v({names})"
 
 
-def keyword_sql(k: int, where: str = "true") -> str:
+def keyword_sql(k: int, where: str = "true", queries: list[tuple[int, str]] = WORD_QUERIES) -> str:
     return f"""
 WITH {POSTINGS},
-qwords AS (SELECT query_ord, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM {values(WORD_QUERIES, 'query_ord, query')}),
+qwords AS (SELECT query_ord, unnest(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM {values(queries, 'query_ord, query')}),
 qterms AS (SELECT query_ord, {FOLD} AS term, count(*) AS q_tf FROM qwords GROUP BY ALL),
 scores AS (SELECT query_ord, doc_id, sum(q_tf * idf_q * tf)::BIGINT AS score
            FROM postings JOIN qterms USING (term) JOIN idf USING (term)
@@ -142,16 +143,17 @@ def hybrid_rrf(spark, sf_dir):
 
 @query(
     "exact_search",
-    keyword_sql(20)
+    keyword_sql(20, queries=SUBSTRING_QUERIES)
     + f""", needles AS (SELECT query_ord, lower(trim(query, '"''`')) AS needle FROM {values(SUBSTRING_QUERIES, 'query_ord, query')}),
-found AS (SELECT query_ord, doc_id, rank, contains(lower(substr(text, 1, 500)), needle) AS exact_match FROM hits JOIN needles USING (query_ord) JOIN documents USING (doc_id)),
+found AS (SELECT query_ord, doc_id, rank, contains(lower(text), needle) AS exact_match FROM hits JOIN needles USING (query_ord) JOIN documents USING (doc_id)),
 counted AS (SELECT *, count_if(exact_match) OVER (PARTITION BY query_ord) AS n FROM found),
 placed AS (SELECT query_ord, doc_id, exact_match, (row_number() OVER (PARTITION BY query_ord ORDER BY exact_match DESC, rank, doc_id))::INTEGER AS place FROM counted WHERE exact_match OR n < 5)
 SELECT query_ord, doc_id, exact_match, place AS rank FROM placed WHERE place <= 10""",
 )
 def exact_search(spark, sf_dir):
-    docs, postings, idf = built(spark, sf_dir, WORD_QUERIES)
-    hits = retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, WORD_QUERIES), "doc_id", 20)
+    """Each query's own candidates by its words, those first whose whole text holds it as it stands."""
+    docs, postings, idf = built(spark, sf_dir, SUBSTRING_QUERIES)
+    hits = retrieval.keyword_top_k(postings, idf, retrieval.query_terms(spark, SUBSTRING_QUERIES), "doc_id", 20)
     return retrieval.exact_top_k(hits, docs, "doc_id", SUBSTRING_QUERIES, 10)
 
 
@@ -652,9 +654,46 @@ SELECT content_hash, min(doc_id) AS doc_id FROM h WHERE content_hash NOT IN (SEL
 )
 def cache_misses(spark, sf_dir):
     """Distinct texts that a cache filled from every third document lacks."""
-    own = fixtures.documents(spark, sf_dir).select("doc_id", text.content_hash("text").alias("content_hash"))
-    kept = own.filter("doc_id % 3 = 0").select("content_hash").distinct()
-    return own.join(kept, "content_hash", "left_anti").groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))
+    own = fixtures.documents(spark, sf_dir).select("doc_id", "text", text.content_hash("text").alias("content_hash"))
+    cache = EmbeddingCache(spark, shared_folder(spark, "cache"), "hashing-64")
+    cache.embed(own.filter("doc_id % 3 = 0").select("text"), "text")
+    return cache.misses(own.groupBy("content_hash").agg(F.min("doc_id").alias("doc_id"))).select("content_hash", "doc_id")
+
+
+@query(
+    "search_records",
+    """WITH e AS (SELECT user_id || '-' || (event_id % 40) AS search_id, ts, value, CASE WHEN event_id % 9 = 0 THEN 'end' WHEN event_id % 9 = 1 THEN 'start' WHEN event_id % 9 < 5 THEN 'iteration' ELSE 'llm_call' END AS event FROM events),
+f AS (SELECT search_id, min(ts) FILTER (event = 'end') AS first_end FROM e GROUP BY search_id),
+own AS (SELECT e.* FROM e JOIN f USING (search_id) WHERE first_end IS NULL OR ts <= first_end)
+SELECT search_id, min(ts) AS began, max(ts) AS ended, count_if(event = 'iteration')::BIGINT AS iterations, count_if(event = 'llm_call')::BIGINT AS llm_calls,
+  round(coalesce(sum(round(value, 3)) FILTER (event = 'llm_call'), 0), 3) AS latency_ms, bool_or(event = 'end') AS closed FROM own GROUP BY search_id""",
+)
+def search_records(spark, sf_dir):
+    """A record for each search of a trace, which events are read as."""
+    k = F.col("event_id") % 9
+    event = F.when(k == 0, "end").when(k == 1, "start").when(k < 5, "iteration").otherwise("llm_call")
+    own = fixtures.read(spark, sf_dir, "events").select(F.concat_ws("-", "user_id", F.col("event_id") % 40).alias("search_id"), F.col("ts").alias("timestamp"), event.alias("event"), F.format_string('{"latency_ms": %.3f}', F.round("value", 3)).alias("data"))
+    return trace.searches(own).withColumn("latency_ms", F.round("latency_ms", 3))
+
+
+@query(
+    "merged_analyses",
+    """WITH o AS (SELECT conv_id::VARCHAR AS search_id, role AS persona, turn % 3 AS priority, turn, string_split(coalesce(text, ''), ' ') AS w FROM conversations),
+one AS (SELECT search_id, persona, priority, arg_min(w, turn) AS w FROM o GROUP BY ALL),
+c AS (SELECT search_id, x, min((priority, persona, i)) AS spot FROM (SELECT *, unnest(range(1, least(len(w), 6) + 1)) AS i, w[i] AS x FROM one) WHERE x <> '' GROUP BY ALL),
+g AS (SELECT search_id, x, min((priority, persona, i)) AS spot FROM (SELECT *, unnest(range(1, least(len(w), 12) - 6 + 1)) AS i, w[i + 6] AS x FROM one) WHERE x <> '' GROUP BY ALL)
+SELECT search_id, coalesce((SELECT arg_min(w[1], (priority, persona)) FROM one s WHERE s.search_id = b.search_id AND w[1] <> ''), '') AS subject,
+  coalesce((SELECT string_agg(x, ' ' ORDER BY spot) FROM c WHERE c.search_id = b.search_id), '') AS covered, coalesce((SELECT string_agg(x, ' ' ORDER BY spot) FROM g WHERE g.search_id = b.search_id), '') AS gaps,
+  coalesce((SELECT string_agg('[' || persona || '] ' || w[2], ' | ' ORDER BY priority, persona) FROM one s WHERE s.search_id = b.search_id AND w[2] <> ''), '') AS reasoning
+FROM (SELECT DISTINCT search_id FROM one) b""",
+)
+def merged_analyses(spark, sf_dir):
+    """Turns of a conversation read as analysts' outputs and merged."""
+    words = F.split(F.coalesce("text", F.lit("")), " ")
+    own = fixtures.read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("search_id"), F.col("role").alias("persona"), (F.col("turn") % 3).alias("priority"), "turn", words.alias("w"))
+    own = own.groupBy("search_id", "persona", "priority").agg(F.min_by("w", "turn").alias("w"))
+    outputs = own.select("search_id", "persona", "priority", F.get("w", F.lit(0)).alias("subject"), F.array().cast("array<struct<name:string,role:string>>").alias("actors"), F.slice("w", 1, 6).alias("covered"), F.slice("w", 7, 6).alias("gaps"), F.get("w", F.lit(1)).alias("reasoning"))
+    return evidence.merge_analyses(outputs).select("search_id", "subject", F.array_join("covered", " ").alias("covered"), F.array_join("gaps", " ").alias("gaps"), "reasoning")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from kelpie.functions import embed, text
@@ -16,6 +16,8 @@ class EmbeddingCache:
 
     def __init__(self, spark: SparkSession, path: str, identity: str, embedder: embed.Embedder = embed.hashing_embedder):
         self.log, self.identity, self.embedder = ChangeLog(spark, path, {"cache": SCHEMA}, ["identity", "content_hash"]), identity, embedder
+        #: Texts that went to the model and their tokens, about, observed as they did.
+        self.counters = {"embedded": 0, "tokens": 0}
 
     def entries(self) -> DataFrame:
         return self.log.read("cache").filter(F.col("identity") == self.identity)
@@ -27,9 +29,12 @@ class EmbeddingCache:
     def embed(self, rows: DataFrame, column: str = "content") -> DataFrame:
         """Adds embedding to the rows, and what was missing to the cache."""
         hashed = rows.drop("embedding").withColumn("content_hash", text.content_hash(column))
-        missing = self.misses(hashed).select("content_hash", column)
+        seen = Observation()
+        missing = self.misses(hashed).select("content_hash", column).observe(seen, F.count(F.lit(1)).alias("embedded"), F.sum(text.token_estimate(column)).alias("tokens"))
         new = embed.embed(missing, column, self.embedder).select(F.lit(self.identity).alias("identity"), "content_hash", "embedding")
         self.log.commit(None, {"cache": new})
+        for k, n in seen.get.items():
+            self.counters[k] += n or 0
         return hashed.join(self.entries().select("content_hash", "embedding"), "content_hash")
 
     def clear(self) -> None:

@@ -45,3 +45,22 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
     first = F.when(gap <= F.expr(f"INTERVAL '{gap_minutes}' MINUTE"), 0).otherwise(1)
     own = events.select("user_id", "ts", "event_id").withColumn("first", first).withColumn("session", F.sum("first").over(order))
     return own.groupBy("user_id", "session").agg(F.count("*").alias("n"), F.min("ts").alias("began"), F.max("ts").alias("ended"))
+
+
+RECORD = "search_id string, began timestamp, ended timestamp, iterations long, llm_calls long, latency_ms double, closed boolean"
+
+
+def searches(trace: DataFrame) -> DataFrame:
+    """RECORD of each search in a trace (search_id, timestamp, event, data): what happened up to its first end.
+
+    A search without an end is open, and ends with its last event so far. What a trace has of a
+    search after its end isn't counted.
+    """
+    end = F.when(F.col("event") == "end", F.col("timestamp"))
+    ends = trace.groupBy("search_id").agg(F.min(end).alias("first_end"))
+    own = trace.join(ends, "search_id").filter("first_end IS NULL OR timestamp <= first_end")
+    latency = F.when(F.col("event") == "llm_call", F.get_json_object("data", "$.latency_ms").cast("double"))
+    return own.groupBy("search_id").agg(
+        F.min("timestamp").alias("began"), F.max("timestamp").alias("ended"), F.count_if(F.col("event") == "iteration").alias("iterations"), F.count_if(F.col("event") == "llm_call").alias("llm_calls"),
+        F.coalesce(F.sum(latency), F.lit(0.0)).alias("latency_ms"), F.bool_or(F.col("event") == "end").alias("closed"),
+    )
