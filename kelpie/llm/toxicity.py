@@ -8,7 +8,7 @@ share of the words is dropped, so that few words alone don't make it sure. Label
 on documents: a document's logit is the smooth maximum (log of the mean exponential) over its
 half-overlapping windows, so that its likeliest windows learn most. A word that comes again
 within a window's length counts once, so that repetition adds nothing. A logistic curve on every
-fifth document, which embeddings don't see, turns logits into scores; both classes weigh alike.
+eighth document, which embeddings don't see, turns logits into scores; both classes weigh alike.
 A misspelling shares most n-grams with its word.
 
 Every whole text is scored; only training looks at a bounded sample, ``per_class`` labelled
