@@ -10,6 +10,7 @@ several symbols end with stays as it is and is said to be ambiguous.
 Scopes, imports and suffixes become candidates with a rank, and candidates meet symbols by
 equality, so that no name is compared with every symbol. A reference is worked out once for each
 distinct (project, file, scope, name), and what depends on the name alone once for each name.
+Edges with their names, references and symbols are stored, as each is read by many of the joins.
 """
 
 from __future__ import annotations
@@ -46,10 +47,8 @@ def type_name(name: Column | str) -> Column:
 
 def is_external(name: Column) -> Column:
     """Whether a name is a type that every program has, or lies in a library's namespace."""
-    found = name.isin(*PRIMITIVES) | (name == "")
-    for x in EXTERNAL_NAMESPACES:
-        found = found | (name.startswith(x) if x.endswith(".") else (name == x) | name.startswith(f"{x}."))
-    return found
+    own = "|".join(x.replace(".", r"\.") + ("" if x.endswith(".") else r"(?:\.|\z)") for x in EXTERNAL_NAMESPACES)
+    return name.isin(*PRIMITIVES, "") | name.rlike(f"^(?:{own})")  # a filter works out the name again wherever it stands
 
 
 def prefixes(name: Column) -> Column:
@@ -117,10 +116,14 @@ def resolve(edges: DataFrame, symbols: DataFrame, imports: DataFrame | None = No
     Targets that aren't found, are ambiguous or external stay as they are. imports are
     (project, file_path, target); a null target, source or file resolves nothing by them.
     """
+    from kelpie.sources.store import stored
+
     rest = [c for c in edges.columns if c not in ("how",)]
     named_edges = edges.select(*rest).withColumns({"name": type_name("target"), "scope": bare("source")})
-    references = named_edges.filter(~is_external(F.col("name"))).select("project", "file_path", "scope", "name").distinct()
-    own = named(symbols)
+    if not any(x in f.dataType.simpleString() for f in named_edges.schema.fields for x in ("void", "interval")):  # Parquet has no such columns
+        named_edges = stored(named_edges, "named-edges")
+    references = stored(named_edges.filter(~is_external(F.col("name"))).select("project", "file_path", "scope", "name").distinct(), "references")
+    own = stored(named(symbols), "named-symbols")
     # a target with parameters may be one of several overloads, and then is itself
     whole = symbols.filter("fqn LIKE '%(%'").select("project", F.col("fqn").alias("target")).distinct().withColumn("whole", F.lit(True))
     whole = whole.join(named_edges.select("project", "target").distinct(), ["project", "target"], "left_semi")

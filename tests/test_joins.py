@@ -89,6 +89,14 @@ def test_resolve_keeps_rows_with_nulls(spark):
     assert resolve.resolve(edges.limit(0), symbols).count() == 0
 
 
+def test_names_are_worked_out_once(spark):
+    edges = spark.createDataFrame([("p", "CALLS", "a.b", "List<c>", "f")], "project string, type string, source string, target string, file_path string")
+    symbols = spark.createDataFrame([("p", "a.c")], "project string, fqn string")
+    imports = spark.createDataFrame([], "project string, file_path string, target string")
+    plan = resolve.resolve(edges.withColumn("target", joins.F.replace("target", joins.F.lit("c"), joins.F.lit("d"))), symbols, imports)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" not in plan  # what the joins read is stored
+
+
 def plain_match(topic, pattern):
     def go(t, p):
         if not p:
