@@ -5,12 +5,18 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kelpie.functions.batches import pieces, tidy
+
+#: Tokens that a kernel counts at a time, but for a single text of more.
+PIECE_TOKENS = 500_000
 VOCABULARY = 30_000
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -28,8 +34,9 @@ def term_number(token: Column, vocabulary: int = VOCABULARY) -> Column:
     return F.aggregate(places, F.lit(0).cast("long"), lambda a, i: (a * 65536 + F.conv(F.substr(digest, i, F.lit(4)), 16, 10).cast("long")) % vocabulary).cast("int")
 
 
+@lru_cache(1 << 16)
 def term_number_of(token: str, vocabulary: int = VOCABULARY) -> int:
-    """The same on the driver."""
+    """The same in Python; the latest are kept."""
     return int(hashlib.md5(token.encode()).hexdigest(), 16) % vocabulary
 
 
@@ -41,13 +48,13 @@ def postings(df: DataFrame, key: str, text: str, only: Iterable[int] | None = No
     """(key, term, tf): raw term frequencies of texts whose keys are unique; tokens that share a number add up.
 
     A document's counts lie within its row, so nothing shuffles: tokens are found in the JVM and
-    counted in an Arrow kernel, which hashes each token once a batch. With ``only`` the terms of
-    some queries alone are handed on.
+    counted in an Arrow kernel, which hashes each token once in a piece of PIECE_TOKENS. With
+    ``only`` the terms of some queries alone are handed on.
     """
     kept = None if only is None else np.unique(np.fromiter(only, np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, pc.list_value_length(whole.column(1)), PIECE_TOKENS)):
             own = b.column(1)
             encoded = own.flatten().dictionary_encode()
             if not len(encoded):
@@ -62,7 +69,7 @@ def postings(df: DataFrame, key: str, text: str, only: Iterable[int] | None = No
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(term.astype(np.int32)), pa.array(tf.astype(np.int64))], [key, "term", "tf"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, tokens(text).alias("tokens")).mapInArrow(run, f"{key} {kind}, term int, tf long")
+    return df.select(key, tokens(text).alias("tokens")).mapInArrow(tidy(run), f"{key} {kind}, term int, tf long")
 
 
 def idf(postings: DataFrame, key: str, n_docs: Column | int) -> DataFrame:
