@@ -16,10 +16,12 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kelpie.functions.batches import pieces, tidy
 from kelpie.functions.sparse import VOCABULARY, term_number_of, tokens, tokens_of
 from kelpie.operators.retrieval import top_k
 
@@ -28,6 +30,8 @@ MODES = ("bm25", "learned", "disabled")
 #: Impacts a unit of weight, and the largest; documents of a block; blocks of a query that are scored first.
 SCALE, MOST, BLOCK_DOCS, SEEDS = 32, 255, 256, 4
 HEAD = 4
+#: Tokens that are Python's strings at a time in a task, but for a single text of more.
+PIECE_TOKENS = 100_000
 
 
 def by_heads(words: Sequence[str]) -> dict[str, float]:
@@ -50,7 +54,7 @@ def impact_postings(df: DataFrame, key: str, text: str, expander: Expander = by_
     """(key, term, impact) of texts whose keys are unique; a model is called in the tasks, a text at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (p for whole in batches for p in pieces(whole, pc.list_value_length(whole.column(1)), PIECE_TOKENS)):
             row, term, impact = [], [], []
             for k, words in enumerate(b.column(1).to_pylist()):
                 own = quantised(expander(words or []))
@@ -60,7 +64,7 @@ def impact_postings(df: DataFrame, key: str, text: str, expander: Expander = by_
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.int32()), pa.array(impact, pa.int32())], [key, "term", "impact"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, tokens(text).alias("tokens")).mapInArrow(run, f"{key} {kind}, term int, impact int")
+    return df.select(key, tokens(text).alias("tokens")).mapInArrow(tidy(run), f"{key} {kind}, term int, impact int")
 
 
 def query_impacts(spark: SparkSession, queries: Sequence[tuple[int, str]], expander: Expander = by_heads) -> DataFrame:

@@ -32,6 +32,13 @@ def test_closed_blocks_are_not_read(spark):
     assert max(r["n"] for r in index.blocks.selectExpr("size(entries) AS n").collect()) < 60
 
 
+def test_impacts_do_not_depend_on_pieces(spark, monkeypatch):
+    df = spark.createDataFrame([(k, " ".join(f"word{k * j % 13}" for j in range(k % 7))) for k in range(60)], "k long, t string").coalesce(1)
+    want = sorted(map(tuple, impacts.impact_postings(df, "k", "t").collect()))
+    monkeypatch.setattr(impacts, "PIECE_TOKENS", 3)
+    assert want and sorted(map(tuple, impacts.impact_postings(df, "k", "t").collect())) == want
+
+
 def test_a_model_plugs_in(spark):
     model = lambda words: {w: 0.0 if w == "void" else float(len(w)) for w in set(words)}
     postings = impacts.impact_postings(spark.createDataFrame([(1, "ab void abcdefghij" * 1)], "doc_id long, text string"), "doc_id", "text", model)
