@@ -7,12 +7,16 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from kelpie.functions.batches import pieces, tidy
 from kelpie.functions.sparse import term_number_of, tokens_of
 
 DIMENSION = 64
+#: Bytes of text that are with the model at a time, but for a single text of more.
+PIECE_BYTES = 4_000_000
 Embedder = Callable[[Sequence[str]], np.ndarray]
 
 
@@ -48,14 +52,13 @@ def with_retry(model: Embedder, retryable: type[Exception] | tuple = Exception,
 
 
 def embed(df: DataFrame, text: str = "content", embedder: Embedder = hashing_embedder, batch: int = 100) -> DataFrame:
-    """Adds embedding; the model is called with up to ``batch`` texts at a time, on the executors."""
+    """Adds embedding; the model is called with up to ``batch`` texts at a time, fewer where they are long, on the executors."""
     schema = df.drop("embedding").schema.add("embedding", T.ArrayType(T.DoubleType()))
     names = [c for c in df.columns if c != "embedding"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [t or "" for t in b.column(text).to_pylist()]
-            rows = [r for k in range(0, len(texts), batch) for r in np.asarray(embedder(texts[k : k + batch]), float).tolist()]
+        for b in (p for whole in batches for p in pieces(whole, pc.binary_length(whole.column(text)), PIECE_BYTES, batch)):
+            rows = np.asarray(embedder([t or "" for t in b.column(text).to_pylist()]), float).tolist()
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(rows, pa.list_(pa.float64()))], [*names, "embedding"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

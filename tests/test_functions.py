@@ -1,10 +1,13 @@
 import hashlib
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from kelpie.functions import paths, sparse, text
+from kelpie.functions import batches, embed, paths, sparse, text
 from kelpie.functions.embed import hashing_embedder
 
 
@@ -91,3 +94,30 @@ def test_tags_equal_whole_patterns(spark):
     got = {r["i"]: r["tags"] for r in spark.createDataFrame(rows, "i int, t string").select("i", text.tags("t", F.lit("")).alias("tags")).collect()}
     for i, t in rows:
         assert got[i] == sorted(k for k, p in text.TAG_PATTERNS.items() if re.search(p, (t or "").lower(), re.I)), t
+
+
+def test_pieces_are_bounded_and_whole():
+    own = pa.RecordBatch.from_pydict({"k": list(range(7)), "t": [["a"] * n if n is not None else None for n in (3, 0, None, 9, 2, 2, 1)]})
+    got = list(batches.pieces(own, pc.list_value_length(own.column(1)), 4))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([own]))
+    assert [g.column(0).to_pylist() for g in got] == [[0, 1, 2], [3], [4, 5], [6]]
+    assert [len(g) for g in batches.pieces(own, pc.list_value_length(own.column(1)), 100, 3)] == [3, 3, 1]
+    assert list(batches.pieces(own.slice(0, 0), pc.list_value_length(own.column(1).slice(0, 0)), 4)) == []
+
+
+def test_postings_do_not_depend_on_pieces(spark, monkeypatch):
+    rows = [(k, None if k % 11 == 5 else " ".join(f"w{k * j % 13}" for j in range(k % 7))) for k in range(60)]
+    df = spark.createDataFrame(rows, "k long, t string").coalesce(1)
+    want = sorted(map(tuple, sparse.postings(df, "k", "t").collect()))
+    monkeypatch.setattr(sparse, "PIECE_TOKENS", 3)
+    assert sorted(map(tuple, sparse.postings(df, "k", "t").collect())) == want
+    assert sum(n for *_, n in want) == sum(len((t or "").split()) for _, t in rows)
+
+
+def test_a_model_gets_long_texts_in_smaller_numbers(spark):
+    def model(texts):
+        return np.array([[float(len(texts)), float(sum(map(len, texts)))] for _ in texts])
+
+    df = spark.range(12).select("id", F.repeat(F.lit("ab "), 500_000).alias("content")).coalesce(1)
+    got = [r["embedding"] for r in embed.embed(df, "content", model).collect()]
+    assert len(got) == 12 and max(n for _, n in got) <= embed.PIECE_BYTES and max(k for k, _ in got) > 1
